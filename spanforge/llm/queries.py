@@ -21,6 +21,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"), F.expr("crc32(cast(cast(doc_id AS string) AS binary)) % 7 = 2"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
