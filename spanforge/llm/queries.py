@@ -27,6 +27,12 @@ def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), F.expr("crc32(cast(cast(doc_id AS string) AS binary)) % 7 = 2"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import similar
+
+    return similar(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
