@@ -40,6 +40,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import Repeats
+
+    return Repeats(table(spark, sf_dir, "documents")).removal()
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import exact_top_k
 
