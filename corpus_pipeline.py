@@ -1,11 +1,58 @@
-"""Corpus cleaning pipeline over documents."""
+"""A cleaning pipeline over documents: each stage keeps, drops or repeats documents and hands them on.
 
-STAGES: list = []
+quality      documents that the classifier rejects go
+exact_dedup  one of equal texts stays
+near_dedup   one of each class of similar texts stays
+mix          documents are taken as often as the sources' target weights ask
+encode       token ids of what is left, by digest, and their decoded bytes
+
+Each stage is a function (spark, docs, sf_dir) -> DataFrame that works on all that its predecessor kept; all but the
+last return the columns of docs.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanforge.llm import bpe, dedup, jaccard, mixing, quality
+from spanforge.llm.common import materialise, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    weights = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.add_scores(docs, weights, score_col="__score")
+    return scored.where(F.col("__score") >= quality.THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return dedup.exact_dedup(docs, own_names=("__keep_id", "__group_size", "__kept", "__sha256")).where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.one_of_each_class(docs)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.bpe_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("quality", quality_stage), ("exact_dedup", exact_dedup_stage), ("near_dedup", near_dedup_stage), ("mix", mix_stage), ("encode", encode_stage)]
+
+#: The classifier, the similarity classes and the encoding aren't expressible in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each but the last returns is written to the shared folder and read back."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = materialise(docs)
     return docs

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, replace_columns
+from .common import LOWER, UPPER, ascii_lower
 
 MAX_SLOTS = 1 << 25
 
@@ -35,7 +35,11 @@ def repeat_bitmap(docs: DataFrame, text: str, slots: int) -> DataFrame:
     return shared.groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", max_slots: int = MAX_SLOTS) -> DataFrame:
+def _named(names, *columns) -> list:
+    return [c.alias(n) for c, n in zip(columns, names, strict=True)]
+
+
+def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", max_slots: int = MAX_SLOTS, own_names: tuple[str, str, str, str] = ("keep_id", "group_size", "kept", "text_sha256")) -> DataFrame:
     """All rows and columns of docs plus keep_id, group_size, kept and text_sha256.
 
     Texts are equal when identical after lower-casing A-Z. A null text counts as empty. Of
@@ -48,8 +52,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", max
     slots = 1 << 10
     while slots < min(8 * rows, max_slots):
         slots *= 2
-    names = ("keep_id", "group_size", "kept", "text_sha256")
-    docs = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c.lower() not in names or c in (text, id_col)])
+    docs = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c.lower() not in own_names or c in (text, id_col)])
     bitmap = repeat_bitmap(docs, text, slots)
     col = F.coalesce(docs[text], F.lit(""))
     tested = docs
@@ -63,12 +66,12 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", max
     tested = tested.withColumn("__maybe", hit[0] & hit[1])
     own = [F.col(f"`{c}`") for c in docs.columns]
     sha = F.sha2(F.encode(ascii_lower(F.coalesce(F.col(text), F.lit(""))), "UTF-8"), 256)
-    through = tested.where(~F.col("__maybe")).select(*own, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha.alias("text_sha256"))
+    through = tested.where(~F.col("__maybe")).select(*own, *_named(own_names, F.col(id_col), F.lit(1).cast("long"), F.lit(True), sha))
     maybe = tested.where(F.col("__maybe")).select(*own, F.unhex(sha).alias("__sha"))
-    groups = maybe.groupBy("__sha").agg(F.max(id_col).alias("keep_id"), F.count("*").alias("group_size"))
+    groups = maybe.groupBy("__sha").agg(F.max(id_col).alias("__most"), F.count("*").alias("__n"))
     # a group of any size is one row of the aggregate; the join's large keys are split by adaptive execution
     joined = maybe.join(groups.withColumnRenamed("__sha", "__key"), F.col("__sha") == F.col("__key"))
-    repeated = joined.select(*own, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("__sha")).alias("text_sha256"))
+    repeated = joined.select(*own, *_named(own_names, F.col("__most"), F.col("__n"), F.col(id_col).eqNullSafe(F.col("__most")), F.lower(F.hex("__sha"))))
     return through.unionByName(repeated)
 
 

@@ -14,12 +14,12 @@ blocks to a task's turn, and yield at most one spanning edge and one count for e
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -283,7 +283,7 @@ def _in_turns(rows: DataFrame, payload: list[str], block: int) -> DataFrame:
 
 
 def signed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    """(doc_id, ref, node, sig, bands): node is the digest of the shingle set, null where there is none."""
+    """(doc_id, ref, text_md5, node, sig, bands): node is the digest of the shingle set, null where there is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -293,7 +293,7 @@ def signed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 node, sig, bands = [], [], []
-                for text_ in part.column(2).to_pylist():
+                for text_ in part.column(3).to_pylist():
                     s = shingles(text_, cache)
                     if not len(s):
                         node.append(None), sig.append(None), bands.append(None)
@@ -302,10 +302,21 @@ def signed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
                     node.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     sig.append(m.tobytes())
                     bands.append([xxhash.xxh3_64_intdigest(m[k : k + ROWS].tobytes(), seed=k) - (1 << 63) for k in range(0, HASHES, ROWS)])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "ref", "node", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(node, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "ref", "text_md5", "node", "sig", "bands"])
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), _ref(docs, text, id_col).alias("ref"), docs[text].alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ref long, node binary, sig binary, bands array<long>")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), _ref(docs, text, id_col).alias("ref"), text_md5(docs[text]).alias("text_md5"), docs[text].alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ref long, text_md5 binary, node binary, sig binary, bands array<long>")
+
+
+def text_md5(col: Column) -> Column:
+    return F.unhex(F.md5(F.encode(F.coalesce(col, F.lit("")), "UTF-8")))
+
+
+def one_of_each_class(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose class has a lesser doc_id: one document of each class stays, with all its columns."""
+    found = similar(docs, text, id_col)
+    drop = materialise(found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5")).distinct())
+    return docs.join(drop, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (text_md5(docs[text]) == F.col("__md5")), "left_anti")
 
 
 def _ref(docs: DataFrame, text: str, id_col: str):
@@ -314,7 +325,7 @@ def _ref(docs: DataFrame, text: str, id_col: str):
 
 
 def similar(docs: DataFrame, text: str = "text", id_col: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """(doc_id, class_id, copies, n_links), one row per document.
+    """(doc_id, text_md5, class_id, copies, n_links), one row per document.
 
     class_id: the least doc_id of the documents that chains of links connect; copies: the documents with the same
     shingle set, this one included; n_links: the other documents, copies included, whose similarity is 4/5 or
@@ -359,6 +370,6 @@ def similar(docs: DataFrame, text: str = "text", id_col: str = "doc_id", block:
     classes = classes.join(least, "label").join(links, "node").select("node", "class_least", "links")
     about = nodes.select("node", "copies", "least").join(classes, "node", "left")
     about = about.select(F.col("node").alias("__node"), "copies", F.coalesce("class_least", "least").alias("class_least"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = docs_signed.select("doc_id", "node").join(about, F.col("node") == F.col("__node"), "left")
+    out = docs_signed.select("doc_id", "text_md5", "node").join(about, F.col("node") == F.col("__node"), "left")
     one = F.lit(1).cast("long")
-    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_least")).alias("class_id"), F.coalesce("copies", one).alias("copies"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", one) - 1).alias("n_links"))
+    return out.select("doc_id", "text_md5", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_least")).alias("class_id"), F.coalesce("copies", one).alias("copies"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", one) - 1).alias("n_links"))

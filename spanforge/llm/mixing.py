@@ -103,7 +103,7 @@ def schedule(spark, sources: list[Source]) -> DataFrame:
     return out.selectExpr("t", "src", "rank", "epoch", "block", "least(b, size - block * b, take - epoch * size - block * b) as words")
 
 
-def mix(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, cap: float = 2.0, block_words: int = 4096, text: str = "text", source: str = "source", id_col: str = "doc_id", keep_columns: bool = True) -> tuple[DataFrame, DataFrame, list[Source]]:
+def mix(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, cap: float = 2.0, block_words: int = 4096, text: str = "text", source: str = "source", id_col: str = "doc_id", keep_columns: bool = True, own_names: tuple[str, str, str, str] = ("size", "source_size", "target", "taken")) -> tuple[DataFrame, DataFrame, list[Source]]:
     """(documents, slots, sources). The documents keep all rows and columns and gain size,
     source_size, target and taken: how many of the document's words the mix reads, repeats counted.
 
@@ -115,32 +115,38 @@ def mix(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, cap: float = 2.
     size = F.regexp_count(F.coalesce(docs[text], F.lit("")), F.lit(WORD)).cast("long")
     key = F.xxhash64(docs[id_col], docs[text])
     if keep_columns:
-        names = ("size", "source_size", "target", "taken")
-        cols = [docs[f"`{c}`"] for c in docs.columns if c.lower() not in names or c in (text, source, id_col)]
+        cols = [docs[f"`{c}`"] for c in docs.columns if c.lower() not in own_names or c in (text, source, id_col)]
     else:
         cols = [docs[id_col], docs[source]]
-    rows = docs.select(*cols, size.alias("size"), key.alias("__key"))
+    rows = docs.select(*cols, size.alias("__size"), key.alias("__key"))
+    own = [c for c in rows.columns if c not in ("__size", "__key")]
     if not keep_columns:
         rows = materialise(rows)  # two numbers a document: the texts are read once
-    totals = rows.groupBy(source).agg(F.sum("size"), F.count("*")).collect()  # one row a source
+    totals = rows.groupBy(source).agg(F.sum("__size"), F.count("*")).collect()  # one row a source
     sources = plan_sources([(r[0], r[1], r[2]) for r in totals], weights, budget, cap, block_words)
     slots = schedule(spark, sources)
-    index = {s.name: i for i, s in enumerate(sources)}
     buckets = [bucket_count(s.docs, DOCS_PER_BUCKET, 1 << 16) for s in sources]
     params = spark.createDataFrame(
-        [(s.name, s.name is None, index[s.name], s.size, s.target, s.block, n) for s, n in zip(sources, buckets, strict=True)],
-        "__name string, __null boolean, __src int, source_size long, target double, __block long, __n long",
+        [(s.name, i, s.size, s.target, s.block, n) for i, (s, n) in enumerate(zip(sources, buckets, strict=True))],
+        "__name string, __src int, __source_size long, __target double, __block long, __n long",
     )
-    same = F.col(source).cast("string").eqNullSafe(F.col("__name"))
     # one row a source, as many as the driver has seen
-    rows = rows.join(F.broadcast(params), same, "left").withColumn("__b", F.expr("pmod(__key, __n)"))
-    sums = rows.groupBy("__src", "__b").agg(F.sum("size").alias("__in"))
+    rows = rows.join(F.broadcast(params), F.col(source).cast("string").eqNullSafe(F.col("__name")), "left").withColumn("__b", F.expr("pmod(__key, __n)"))
+    sums = rows.groupBy("__src", "__b").agg(F.sum("__size").alias("__in"))
     base = sums.select("__src", "__b", (F.sum("__in").over(Window.partitionBy("__src").orderBy("__b")) - F.col("__in")).alias("__base"))
-    order = Window.partitionBy("__src", "__b").orderBy("__key", id_col)
-    placed = rows.join(base, ["__src", "__b"]).withColumn("__start", F.col("__base") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    spans = placed.where("size > 0").select("__src", "__start", "__block", "size", F.explode(F.expr("sequence(__start div __block, (__start + size - 1) div __block)")).alias("block"))
-    spans = spans.select(F.col("__src").alias("src"), "__start", "block", F.expr("greatest(__start - block * __block, 0L)").alias("a"), F.expr("least(__start + size - block * __block, __block)").alias("b"))
-    taken = spans.join(slots.select("src", "block", "words"), ["src", "block"]).groupBy("src", "__start").agg(F.sum(F.expr("greatest(least(b, words) - a, 0L)")).alias("taken"))
-    placed = placed.join(taken.select(F.col("src").alias("__s"), F.col("__start").alias("__at"), "taken"), F.expr("__src = __s and size > 0 and __start = __at"), "left")
-    kept = [F.col(f"`{c}`") for c in rows.columns if not c.startswith("__") and c not in ("size", "source_size", "target")]
-    return placed.select(*kept, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), slots, sources
+    order = Window.partitionBy("__src", "__b").orderBy("__key", id_col).rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.join(base, ["__src", "__b"]).withColumn("__start", F.col("__base") + F.sum("__size").over(order) - F.col("__size"))
+    spans = placed.where("__size > 0").select("__src", "__start", "__block", "__size", F.explode(F.expr("sequence(__start div __block, (__start + __size - 1) div __block)")).alias("block"))
+    spans = spans.select(F.col("__src").alias("src"), "__start", "block", F.expr("greatest(__start - block * __block, 0L)").alias("a"), F.expr("least(__start + __size - block * __block, __block)").alias("b"))
+    taken = spans.join(slots.select("src", "block", "words"), ["src", "block"]).groupBy("src", "__start").agg(F.sum(F.expr("greatest(least(b, words) - a, 0L)")).alias("__sum"))
+    placed = placed.join(taken.select(F.col("src").alias("__s"), F.col("__start").alias("__at"), "__sum"), F.expr("__src = __s and __size > 0 and __start = __at"), "left")
+    values = (F.col("__size"), F.col("__source_size"), F.col("__target"), F.coalesce("__sum", F.lit(0)).cast("long"))
+    return placed.select(*[F.col(f"`{c}`") for c in own], *[v.alias(n) for v, n in zip(values, own_names, strict=True)]), slots, sources
+
+
+def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents as the mix reads them, with the columns of docs: each as many times as its taken words fill it, to
+    the nearest whole number, so that one at the edge of what its source gives is in or out. Documents without words are out."""
+    out, _, _ = mix(docs, text=text, source=source, id_col=id_col, own_names=("__size", "__source_size", "__target", "__taken"), **options)
+    times = F.expr("cast(floor(__taken / __size + 0.5) as int)")
+    return out.where("__size > 0").withColumn("__times", times).where("__times > 0").select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.expr("sequence(1, __times)")).alias("__copy")).drop("__copy")

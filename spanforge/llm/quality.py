@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 6, 2, 8, 24, 16
 #: Positions in a block, blocks in a chunk and from one chunk to the next: 512 bytes, 64 of which overlap.
@@ -197,7 +198,7 @@ def add_scores(docs: DataFrame, weights: Weights, text: str = "text", score_col:
                 p = score(weights, [(x or "").encode() for x in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], names=[*part.schema.names, score_col])
 
-    return rows.mapInArrow(run, rows.schema.add(score_col, "double"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:

@@ -30,7 +30,7 @@ def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import similar
 
-    return similar(table(spark, sf_dir, "documents"))
+    return similar(table(spark, sf_dir, "documents")).drop("text_md5")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
