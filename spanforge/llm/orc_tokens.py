@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 END_ID = 1
 PART_BYTES = 64 << 20
-CACHE_WORDS = 900_000
+CACHE_WORDS = 800_000
 CHUNK_WORDS = 4096
 
 ORC_OPTIONS = {
-    "compression": "zstd",
+    "compression": "snappy",
     "orc.stripe.size": str(16 << 20),
     "orc.row.index.stride": "1000",
     "orc.create.index": "true",
@@ -54,20 +54,32 @@ class WordEncoder:
         return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
 
     def _learn(self, words: list[bytes]) -> None:
-        plain, other = [], []
+        known, plain, other, tails = self.known, {}, [], []
         for w in words:
             s = w.decode()
-            (plain if self._one_piece(s) else other).append((w, s))
-        for i in range(0, len(plain), CHUNK_WORDS):
-            part = plain[i : i + CHUNK_WORDS]
-            ids = np.array(self.tok.encode(" ".join(s for _, s in part), add_special_tokens=False).ids, dtype="<u4")
+            if self._one_piece(s):
+                plain[w] = s
+            elif w[-1:] in (b",", b".") and self._one_piece(s[:-1]):
+                # letters and other signs are never in one piece: the ids are the word's and the sign's
+                tails.append(w)
+                if w[:-1] not in known:
+                    plain[w[:-1]] = s[:-1]
+                if w[-1:] not in known:
+                    other.append((w[-1:], s[-1:]))
+                    known[w[-1:]] = b""
+            else:
+                other.append((w, s))
+        items = list(plain.items())
+        for i in range(0, len(items), CHUNK_WORDS):
+            part = items[i : i + CHUNK_WORDS]
+            ids = np.array(self.tok.encode_batch_fast([" ".join([s for _, s in part])], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part) or (len(stops) and stops[-1] != len(ids)):  # some word is not one piece here
                 other += part
                 continue
             raw, at = ids.tobytes(), 0
             for (w, _), stop in zip(part, (4 * stops).tolist(), strict=True):
-                self.known[w] = raw[at:stop]
+                known[w] = raw[at:stop]
                 at = stop
         for i in range(0, len(other), CHUNK_WORDS):
             part = other[i : i + CHUNK_WORDS]
@@ -75,7 +87,9 @@ class WordEncoder:
             ids, word = np.array(got.ids, dtype="<u4"), np.array(got.word_ids, dtype=np.int64)
             cut = np.searchsorted(word, np.arange(len(part) + 1))
             for k, (w, _) in enumerate(part):
-                self.known[w] = ids[cut[k] : cut[k + 1]].tobytes()
+                known[w] = ids[cut[k] : cut[k + 1]].tobytes()
+        for w in tails:
+            known[w] = known[w[:-1]] + known[w[-1:]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -84,13 +98,22 @@ class WordEncoder:
         while at < len(texts):
             rows, chars = [], 0
             while at < len(texts) and (not rows or chars < 4_000_000):
-                rows.append(texts[at].encode().split())  # bytes.split() takes the ASCII white space only
-                chars += len(texts[at])
+                raw = texts[at].encode()
+                if b"<|" not in raw:  # the tokenizer lower-cases all but its special tokens
+                    raw = raw.lower()
+                rows.append(raw.split())  # bytes.split() takes the ASCII white space only
+                chars += len(raw)
                 at += 1
             if len(self.known) > CACHE_WORDS:
                 self.known.clear()
-            self._learn([w for w in dict.fromkeys(w for r in rows for w in r) if w not in self.known])
-            out += [b"".join(map(self.known.__getitem__, r)) for r in rows]
+            get = self.known.get
+            found = [list(map(get, r)) for r in rows]
+            gaps = [[i for i, x in enumerate(f) if x is None] for f in found]
+            self._learn(list(dict.fromkeys(r[i] for r, g in zip(rows, gaps, strict=True) for i in g)))
+            for r, f, g in zip(rows, found, gaps, strict=True):
+                for i in g:
+                    f[i] = get(r[i])
+                out.append(b"".join(f))
         return out
 
 
