@@ -22,28 +22,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 700_000
 SLICE_CHARS = 3_000_000
 POSITIONS = 400_000
 LONG_PIECE = 1024
 
-# In one thread, with insertion order kept, rows stay in (piece, position) order. lead() over ()
-# then needs no sort; a row only pairs with one that starts where it ends, and encode() checks
-# that what comes out covers every piece.
+# The rows of a step are put in order of piece and position at its end, so that lead() and lag() over ()
+# see neighbours without sorting again; a row only pairs with one that starts where it ends, and
+# encode() checks that what comes out covers every piece.
 MERGE = """
 WITH RECURSIVE s(done, w, p, e, t) AS (
   SELECT false, w, p, p + 1, t FROM start
   UNION ALL
   SELECT * FROM (
     WITH pair AS MATERIALIZED (
-      SELECT w, p, e, t, lead(t) OVER () AS nt, lead(w) OVER () AS nw, lead(p) OVER () AS np, lead(e) OVER () AS ne FROM s WHERE NOT done),
+      SELECT w, p, e, t, lead(t) OVER () AS nt, lead(w) OVER () AS nw, lead(p) OVER () AS np, lead(e) OVER () AS ne,
+             CASE WHEN lag(w) OVER () = w THEN lag(p) OVER () END AS pp FROM s WHERE NOT done),
     ranked AS MATERIALIZED (
       SELECT pair.*, m.id FROM pair LEFT JOIN merges m ON m.pair = CASE WHEN nw = w AND np = e THEN (t::BIGINT << 32) | nt::BIGINT END),
     least_of AS MATERIALIZED (SELECT w, min((id::BIGINT << 32) | p::BIGINT) AS best FROM ranked GROUP BY w),
-    marked AS (SELECT r.*, best, p = (best & 4294967295) AS hit FROM ranked r JOIN least_of USING (w))
+    marked AS (SELECT r.*, best, p = (best & 4294967295) AS hit, pp = (best & 4294967295) AS gone FROM ranked r JOIN least_of USING (w))
     SELECT best IS NULL, w, p, CASE WHEN hit THEN ne ELSE e END, CASE WHEN hit THEN id ELSE t END
-    FROM (SELECT marked.*, lag(hit, 1, false) OVER () AS gone FROM marked) WHERE gone IS NOT TRUE))
-SELECT s.w, string_agg(s.t::VARCHAR, ',' ORDER BY p) AS ids, string_agg(v.hex, '' ORDER BY p) AS hex
+    FROM marked WHERE gone IS NOT TRUE ORDER BY w, p))
+SELECT s.w, array_to_string(list(s.t ORDER BY p), ',') AS ids, unhex(string_agg(v.hex, '' ORDER BY p)) AS decoded
 FROM s JOIN vocab v ON v.id = s.t WHERE done GROUP BY s.w
 """
 
@@ -87,9 +88,9 @@ class Encoder:
         found = self.db.sql(MERGE).to_arrow_table()
         self.db.unregister("start")
         out: list = [None] * len(pieces)
-        for i, ids, text in zip(found["w"].to_pylist(), found["ids"].to_pylist(), found["hex"].to_pylist(), strict=True):
-            out[i] = (ids.encode(), bytes.fromhex(text))
-        if any(x is None or len(x[1]) != len(p) for x, p in zip(out, pieces, strict=True)):
+        for i, ids, decoded in zip(found["w"].to_pylist(), found["ids"].cast(pa.binary()).to_pylist(), found["decoded"].to_pylist(), strict=True):
+            out[i] = (ids, decoded)
+        if len(found) != len(pieces) or sum(len(x[1]) for x in out) != len(at):
             raise RuntimeError("the recursive query lost rows")
         return out
 
