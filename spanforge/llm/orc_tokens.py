@@ -8,6 +8,7 @@ the id statistics and Bloom filters.
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 END_ID = 1
-PART_BYTES = 64 << 20
-CACHE_WORDS = 800_000
+PART_BYTES = 32 << 20
+CACHE_WORDS = 700_000
 CHUNK_WORDS = 4096
 
 ORC_OPTIONS = {
@@ -33,63 +34,82 @@ ORC_OPTIONS = {
 }
 
 
+#: Signs that stand in one piece when they end a word; an apostrophe can begin a piece of its own.
+SIGNS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'")
+
+
+def byte_letters() -> dict[int, str]:
+    """The visible character that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, the others from U+0100 on."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class WordEncoder:
-    """Encodes the space-separated words of texts with a tokenizers file that drops white space, so that
-    a text's ids are those of its words in turn. Words are encoded once and kept, up to CACHE_WORDS."""
+    """Encodes the space-separated words of texts with a tokenizers file that drops white space and lower-cases, so that
+    a text's ids are those of its words in turn. Words are encoded once and kept, up to CACHE_WORDS.
+
+    A word of letters is one piece and goes straight to the library's merges, in the byte letters that its pre-tokenizer would make;
+    with signs at its end it is two pieces; any other word, and every word of a file of another make, takes the library's whole way.
+    """
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        vocab = self.tok.get_vocab()
-        self.ends = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        made = json.loads(self.tok.to_str())
+        steps = [[x["type"] for x in (made[k] or {}).get(n, [])] for k, n in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        self.direct = steps == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] and made["model"]["type"] == "BPE"
+        if self.direct:
+            self.tok.model._resize_cache(0)  # words come once
+        self.letters = byte_letters()
         self.known: dict[bytes, bytes] = {}
 
-    @staticmethod
-    def _one_piece(word: str) -> bool:
-        return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+    def _letters(self, word: bytes) -> str | None:
+        """The word in byte letters if it is one piece, else None."""
+        if word.isalpha():  # ASCII letters
+            return word.decode().lower()
+        text = word.decode()
+        if text.isalpha() and "\u03a3" not in text:  # its lower case depends on where it stands
+            low = unicodedata.normalize("NFC", text).lower()
+            if low.isalpha():
+                return low.encode().decode("latin-1").translate(self.letters)
+        return None
 
     def _learn(self, words: list[bytes]) -> None:
-        known, plain, other, tails = self.known, {}, [], []
+        known, other, tails, merge = self.known, [], [], self.tok.model.tokenize
+        pack = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+        def put(word: bytes) -> bool:
+            letters = self._letters(word) if self.direct else None
+            if letters is None:
+                return False
+            ids = [t.id for t in merge(letters)]
+            known[word] = pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, dtype="<u4").tobytes()
+            return True
+
         for w in words:
-            s = w.decode()
-            if self._one_piece(s):
-                plain[w] = s
-            elif w[-1:] in (b",", b".") and self._one_piece(s[:-1]):
-                # letters and other signs are never in one piece: the ids are the word's and the sign's
-                tails.append(w)
-                if w[:-1] not in known:
-                    plain[w[:-1]] = s[:-1]
-                if w[-1:] not in known:
-                    other.append((w[-1:], s[-1:]))
-                    known[w[-1:]] = b""
-            else:
-                other.append((w, s))
-        items = list(plain.items())
-        for i in range(0, len(items), CHUNK_WORDS):
-            part = items[i : i + CHUNK_WORDS]
-            ids = np.array(self.tok.encode_batch_fast([" ".join([s for _, s in part])], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part) or (len(stops) and stops[-1] != len(ids)):  # some word is not one piece here
-                other += part
+            if w in known or put(w):
                 continue
-            raw, at = ids.tobytes(), 0
-            for (w, _), stop in zip(part, (4 * stops).tolist(), strict=True):
-                known[w] = raw[at:stop]
-                at = stop
+            stem = w.rstrip(SIGNS)
+            if stem and len(stem) < len(w) and (stem in known and self._letters(stem) is not None and self.direct or put(stem)):
+                tails.append((w, stem, w[len(stem) :]))
+            else:
+                other.append(w)
+        other += list({t for _, _, t in tails if t not in known})
         for i in range(0, len(other), CHUNK_WORDS):
             part = other[i : i + CHUNK_WORDS]
-            got = self.tok.encode([s for _, s in part], is_pretokenized=True, add_special_tokens=False)
+            got = self.tok.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
             ids, word = np.array(got.ids, dtype="<u4"), np.array(got.word_ids, dtype=np.int64)
             cut = np.searchsorted(word, np.arange(len(part) + 1))
-            for k, (w, _) in enumerate(part):
+            for k, w in enumerate(part):
                 known[w] = ids[cut[k] : cut[k + 1]].tobytes()
-        for w in tails:
-            known[w] = known[w[:-1]] + known[w[-1:]]
+        for w, stem, tail in tails:
+            known[w] = known[stem] + known[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
