@@ -146,7 +146,10 @@ def _unwrap(layer: Layer, limit: int) -> Iterator[tuple[str, np.ndarray, np.ndar
             yield _replaced(layer, pieces)
     for m in BASE64.finditer(text):
         token = m[0].rstrip("=")
-        if len(token) % 4 == 1 or len(token) >= limit:
+        if len(token) % 4 == 1:
+            continue
+        if len(token) > limit:
+            yield None
             continue
         try:
             raw = base64.b64decode(token.replace("-", "+").replace("_", "/") + "=" * (-len(token) % 4), validate=True)
