@@ -27,7 +27,7 @@ from .common import materialise
 
 LENGTH, GRAM = 400, 32
 BIN_LIMIT = 8192
-TURN_BYTES = 6 << 20
+TURN_BYTES = 1_500_000
 SLOTS = 1 << 25
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -79,10 +79,17 @@ def stretches(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarr
     w = length - gram + 1
     least = _sliding_least(h, w)
     cut = np.flatnonzero(least[1:] != least[:-1]) + 1
-    first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(least)])) - 1
+    # runs over w strings, as periodic text has, are cut, so that no stretch is longer than length + w - 1 and most are copies
+    run = np.concatenate(([0], cut))
+    inside = -(-np.diff(np.append(run, len(least))) // w)
+    first = np.repeat(run, inside) + w * (np.arange(int(inside.sum())) - np.repeat(np.cumsum(inside) - inside, inside))
+    last = np.append(first[1:], len(least)) - 1
     value = least[first]
-    # a value that occurs at two places of the run can hold a repeat of its own
-    order = np.argsort(h, kind="stable")
+    # a value that occurs at two places of its run can hold a repeat of its own; only the least of some window count
+    padded = np.zeros(len(least) + 2 * (w - 1), dtype=np.uint64)
+    padded[w - 1 : w - 1 + len(least)] = least
+    place = np.flatnonzero(h == ~_sliding_least(~padded, w))
+    order = place[np.argsort(h[place], kind="stable")]
     ranked = h[order]
     twice = np.zeros(len(value), dtype=bool)
     lo, hi = np.searchsorted(ranked, value, side="left"), np.searchsorted(ranked, value, side="right")
@@ -94,19 +101,28 @@ def stretches(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarr
 
 def _equal_runs(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
     """Whether the size bytes at a[i] and b[i] are equal, for each i."""
+    words = np.ndarray((len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,))  # eight bytes from each offset on
     out = np.ones(len(a), dtype=bool)
-    view = np.lib.stride_tricks.sliding_window_view(buf, 8)
     for at in [*range(0, size - 7, 8), size - 8]:
-        out &= (view[a + at] == view[b + at]).all(axis=1) if len(a) < 1000 else _words(buf, a + at) == _words(buf, b + at)
+        out &= words[a + at] == words[b + at]
     return out
 
 
-def _words(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.lib.stride_tricks.as_strided(buf, (len(buf) - 7, 8), (1, 1))[at].view(np.uint64).ravel() if len(at) else np.empty(0, dtype=np.uint64)
+class Family:
+    """Strings that agree in their first `length` bytes, as a piece of a suffix array, with its prefix intervals.
+
+    members: (content, start) in suffix order; intervals: (lo, hi, common length) of the maximal repeats, whose occurrences are
+    members[lo:hi]; reach: for each member the length of the longest maximal repeat that it is an occurrence of, or 0.
+    """
+
+    __slots__ = ("intervals", "members", "reach")
+
+    def __init__(self, members: list[tuple[int, int]]):
+        self.members, self.intervals, self.reach = members, [], [0] * len(members)
 
 
-def maximal_repeats(contents: list[bytes], length: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(common length, [(content, start)]): every maximal repeat of at least length bytes within and across contents.
+def maximal_repeats(contents: list[bytes], length: int) -> Iterator[Family]:
+    """Every maximal repeat of at least length bytes within and across contents.
 
     The suffix array holds the starts of strings of length bytes, sorted by a fingerprint of those bytes (checked
     byte by byte; above that depth any order does) and then by what follows.
@@ -126,16 +142,18 @@ def maximal_repeats(contents: list[bytes], length: int) -> Iterator[tuple[int, l
     fine = _equal_runs(buf, start[order[near]], start[order[near + 1]], length)
     if not fine.all():  # two strings share a fingerprint: the order of the bytes parts them
         for lo, hi in _spans(same):
-            part = order[lo:hi]
-            order[lo:hi] = sorted(part, key=lambda i: buf[start[i] : start[i] + length].tobytes())
+            order[lo:hi] = sorted(order[lo:hi], key=lambda i: buf[start[i] : start[i] + length].tobytes())
         same = _equal_runs(buf, start[order[1:]], start[order[:-1]], length)
-    left = np.where(start > begin[owner], buf[np.maximum(start - 1, 0)].astype(np.int64), 256 + owner)[order]
-    raw = buf.tobytes()
-    end = begin + size
-    for lo, hi in _spans(same, left):
-        rows = order[lo:hi].tolist()
-        tails = sorted((raw[start[i] + length : end[owner[i]]], i) for i in rows)
-        yield from _prefix_intervals(tails, length, start, owner, begin, left=dict(zip(rows, left[lo:hi].tolist(), strict=True)))
+    left = np.where(start > begin[owner], buf[np.maximum(start - 1, 0)].astype(np.int64), 256 + owner)
+    for lo, hi in _spans(same, left[order]):
+        rows = order[lo:hi]
+        c = owner[rows]
+        places, before = list(zip(c.tolist(), (start[rows] - begin[c]).tolist(), strict=True)), left[rows].tolist()
+        tails = [contents[k][at + length :] for k, at in places]
+        sort = sorted(range(len(tails)), key=tails.__getitem__)
+        family = Family([places[i] for i in sort])
+        _scan(family, [tails[i] for i in sort], [before[i] for i in sort], length)
+        yield family
 
 
 def _spans(same: np.ndarray, left: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -150,36 +168,39 @@ def _spans(same: np.ndarray, left: np.ndarray | None = None) -> list[tuple[int,
     return list(zip(lo.tolist(), hi.tolist(), strict=True))
 
 
-def _prefix_intervals(tails: list[tuple[bytes, int]], length: int, start, owner, begin, left: dict) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """Stack scan of the common-prefix intervals of sorted suffixes that agree in their first length bytes."""
-    stack: list[list] = [[0, 0, left[tails[0][1]]]]  # common length beyond `length`, first row, the byte before all of them or None
-    for k in range(1, len(tails) + 1):
-        if k < len(tails):
-            a, b = tails[k - 1][0], tails[k][0]
-            n = min(len(a), len(b))
-            if a[:n] == b[:n]:
-                common = n
-            else:
-                common, top = 0, n
-                while top - common > 1:  # the common prefix of a and b lies in [common, top)
-                    mid = (common + top) // 2
-                    common, top = (mid, top) if a[:mid] == b[:mid] else (common, mid)
-            byte = left[tails[k][1]]
-        else:
-            common, byte = -1, None
-        first, before = k - 1, left[tails[k - 1][1]]
+def _common_prefix(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low, top = 0, n
+    while top - low > 1:  # the common prefix's length lies in [low, top)
+        mid = (low + top) // 2
+        low, top = (mid, top) if a[low:mid] == b[low:mid] else (low, mid)
+    return low
+
+
+def _scan(family: Family, tails: list[bytes], left: list[int], length: int) -> None:
+    """Stack scan of the common-prefix intervals of sorted tails: keeps those whose members are preceded by different bytes.
+    An interval closes before those around it, so the first to hold a member is the longest: each member is settled once."""
+    stack: list[list] = []  # common length of the tails, first row, the byte before all rows or None
+    unsettled: list[int] = []
+    for k in range(len(tails)):
+        common = _common_prefix(tails[k], tails[k + 1]) if k + 1 < len(tails) else -1
+        unsettled.append(k)
+        first, mark = k, left[k]
         while stack and stack[-1][0] > common:
-            depth, at, mark = stack.pop()
-            mark = mark if mark == before else None
-            if mark is None and k - at > 1:
-                yield length + depth, [(int(owner[i]), int(start[i] - begin[owner[i]])) for _, i in tails[at:k]]
-            first, before = at, mark
+            depth, at, inner = stack.pop()
+            mark = mark if mark == inner else None
+            first = at
+            if mark is None:
+                family.intervals.append((at, k + 1, length + depth))
+                while unsettled and unsettled[-1] >= at:
+                    family.reach[unsettled.pop()] = length + depth
         if stack and stack[-1][0] == common:
-            if stack[-1][2] != before:
+            if stack[-1][2] != mark:
                 stack[-1][2] = None
         elif common >= 0:
-            stack.append([common, first, before])
-    return
+            stack.append([common, first, mark])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -197,23 +218,28 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 # ---- the tasks ----
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches, a few rows at a time: as Python objects a whole one can take many times its size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _bins(length: int, gram: int):
     """(tk, text) -> (tk, bin, strings): the bins of a text; strings is 2 where one stretch alone may hold a repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                rows, value, strings = [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    v, _, _, twice = stretches(text.encode(), length, gram)
-                    u, inverse = np.unique(v, return_inverse=True)
-                    n = np.bincount(inverse, weights=1 + twice, minlength=len(u)) if len(u) else np.empty(0)
-                    rows.append(np.full(len(u), i))
-                    value.append(u)
-                    strings.append(n)
-                take = pa.array(np.concatenate(rows).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), pa.array(np.concatenate(value).astype(np.int64)), pa.array(np.concatenate(strings).astype(np.int64))], names=["tk", "bin", "strings"])
+        for part in _slices(batches, 500):
+            rows, value, strings = [], [], []
+            for i, text in enumerate(part.column(1).to_pylist()):
+                v, _, _, twice = stretches(text.encode(), length, gram)
+                u, inverse = np.unique(v, return_inverse=True)
+                n = np.bincount(inverse, weights=1 + twice, minlength=len(u)) if len(u) else np.empty(0)
+                rows.append(np.full(len(u), i))
+                value.append(u)
+                strings.append(n)
+            take = pa.array(np.concatenate(rows).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(take), pa.array(np.concatenate(value).astype(np.int64)), pa.array(np.concatenate(strings).astype(np.int64))], names=["tk", "bin", "strings"])
 
     return run
 
@@ -223,59 +249,72 @@ def _contents(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bin", "digest", "tk", "first", "n", "twice", "content"]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                out: list[list] = [[] for _ in names]
-                for tk, text, n, bins in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
-                    raw = text.encode()
-                    v, first, last, twice = stretches(raw, length, gram)
-                    for i in np.flatnonzero(np.isin(v, np.array(bins, dtype=np.int64))).tolist():
-                        content = raw[first[i] : last[i] + length]
-                        for column, x in zip(out, (int(v[i]), hashlib.blake2b(content, digest_size=16).digest(), tk, int(first[i]), n, bool(twice[i]), content), strict=True):
-                            column.append(x)
-                types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
+        for part in _slices(batches, 200):
+            out: list[list] = [[] for _ in names]
+            for tk, text, n, bins in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
+                raw = text.encode()
+                v, first, last, twice = stretches(raw, length, gram)
+                for i in np.flatnonzero(np.isin(v, np.array(bins, dtype=np.int64))).tolist():
+                    content = raw[first[i] : last[i] + length]
+                    for column, x in zip(out, (int(v[i]), hashlib.blake2b(content, digest_size=16).digest(), tk, int(first[i]), n, bool(twice[i]), content), strict=True):
+                        column.append(x)
+            types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
 
     return run
 
 
-def _repeat_groups(length: int, turn_bytes: int = TURN_BYTES):
-    """(bin, digest, content) sorted by bin -> (bin, length, digests, starts): the maximal repeats of each bin.
+FAMILIES = "bin long, digests array<binary>, starts array<long>, reach array<long>, intervals array<struct<lo:int,hi:int,length:int>>"
+
+
+def _families(length: int, turn_bytes: int = TURN_BYTES):
+    """(bin, digest, content) sorted by bin -> FAMILIES: the maximal repeats of each bin.
     As many whole bins as make up turn_bytes share a suffix array; strings of different bins are never equal."""
+    interval = pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("length", pa.int32())])
+    types = (pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(interval))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, bytes]] = []
         size = 0
 
-        def flush(rows: list) -> pa.RecordBatch:
-            out: list[list] = [[], [], [], []]
-            for n, where in maximal_repeats([c for _, _, c in rows], length):
-                for column, x in zip(out, (rows[where[0][0]][0], n, [rows[i][1] for i, _ in where], [s for _, s in where]), strict=True):
+        def flush(rows: list) -> Iterator[pa.RecordBatch]:
+            out: list[list] = [[] for _ in types]
+            members = 0
+
+            def made() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["bin", "digests", "starts", "reach", "intervals"])
+
+            for f in maximal_repeats([c for _, _, c in rows], length):
+                values = (rows[f.members[0][0]][0], [rows[c][1] for c, _ in f.members], [s for _, s in f.members], f.reach, [{"lo": a, "hi": b, "length": n} for a, b, n in f.intervals])
+                for column, x in zip(out, values, strict=True):
                     column.append(x)
-            types = (pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["bin", "length", "digests", "starts"])
+                members += len(f.members)
+                if members > 50_000:
+                    yield made()
+                    out, members = [[] for _ in types], 0
+            yield made()
 
-        for batch in batches:
+        for batch in _slices(batches, 1000):
             for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if size >= turn_bytes and row[0] != held[-1][0]:
-                    yield flush(held)
+                    yield from flush(held)
                     held, size = [], 0
                 held.append(row)
                 size += len(row[2])
         if held:
-            yield flush(held)
+            yield from flush(held)
 
     return run
 
 
 def _stretch_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bin, length, digests, starts) -> (bin, digest, s, e): the repeats' spans in the stretches, joined as far as one batch shows them."""
-    for batch in batches:
+    """FAMILIES -> (bin, digest, s, e): the repeats' spans in the stretches, joined as far as one slice of a batch shows them."""
+    for batch in _slices(batches, 500):
         spans: dict = {}
-        for b, n, digests, starts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            for d, s in zip(digests, starts, strict=True):
-                spans.setdefault((b, d), []).append((s, s + n))
+        for b, digests, starts, reach in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for d, s, n in zip(digests, starts, reach, strict=True):
+                if n:
+                    spans.setdefault((b, d), []).append((s, s + n))
         rows = [(b, d, s, e) for (b, d), x in spans.items() for s, e in merged(x)]
         cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
         types = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
@@ -284,7 +323,7 @@ def _stretch_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(tk, text, spans) -> (tk, spans, n_removed, n_spans, kept_sha256), spans joined."""
-    for batch in batches:
+    for batch in _slices(batches, 200):
         out: list[list] = [[], [], [], [], []]
         for tk, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             raw, cover = text.encode(), merged([(x["s"], x["e"]) for x in spans])
@@ -342,11 +381,16 @@ class Repeats:
         tested = docs.withColumn("__slot", slot).join(F.broadcast(words), F.expr("__slot div 64 = __word"))
         return tested.where("(shiftright(__bits, cast(__slot % 64 as int)) & 1L) = 1L").select(*docs.columns)
 
-    def groups(self) -> DataFrame:
-        """(bin, length, digests, starts): maximal repeats of each bin with all their occurrences, for bins within bin_limit;
-        found maps a stretch's digest to its texts and places."""
+    def families(self) -> DataFrame:
+        """FAMILIES rows of the bins within bin_limit: suffix-array pieces with their maximal repeats as intervals."""
         rows = self.stretch.join(self.bins.where(F.col("different") <= self.bin_limit).select("bin"), "bin").select("bin", "digest", "content")
-        return rows.repartition("bin").sortWithinPartitions("bin", "digest").mapInArrow(_repeat_groups(self.length), "bin long, length long, digests array<binary>, starts array<long>")
+        return rows.repartition("bin").sortWithinPartitions("bin", "digest").mapInArrow(_families(self.length), FAMILIES)
+
+    def groups(self) -> DataFrame:
+        """(bin, length, digests, starts): each maximal repeat with all its occurrences; found maps a stretch's digest to its texts and places."""
+        each = self.families().select("bin", "digests", "starts", F.explode("intervals").alias("i"))
+        part = lambda c: F.slice(c, F.col("i.lo") + 1, F.col("i.hi") - F.col("i.lo"))
+        return each.select("bin", F.col("i.length").cast("long").alias("length"), part("digests").alias("digests"), part("starts").alias("starts"))
 
     def _large(self) -> DataFrame:
         """(bin, digest, s, e) for bins over bin_limit: every string by its digest."""
@@ -358,7 +402,7 @@ class Repeats:
 
     def spans(self) -> DataFrame:
         """(tk, spans): of each text with repeats the spans found, not yet joined."""
-        parts = self.groups().mapInArrow(_stretch_spans, "bin long, digest binary, s long, e long")
+        parts = self.families().mapInArrow(_stretch_spans, "bin long, digest binary, s long, e long")
         whole = self.stretch.where("n > 1").select("bin", "digest", F.lit(0).cast("long").alias("s"), F.length("content").cast("long").alias("e"))
         each = parts.unionByName(whole)
         if not self.bins.where(F.col("different") > self.bin_limit).isEmpty():
