@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..model import as_byte, as_parts, as_pattern
 
+#: Up to so many parts each aim is searched for; a search costs about as much as a look at a thousandth of the records.
+FEW_PARTS = 256
 RANGES = "array<struct<start:bigint,end_exclusive:bigint>>"
 
 
@@ -121,28 +123,47 @@ def partition_ranges(data: Column, parts: int, delimiter=0x0A) -> Column:
     """At most parts ranges that end with a delimiter (the last with the data), near equal cuts of the length.
 
     Cut i aims at floor(length * i / parts) and moves to the end of the record that holds that byte; an aim at or before the
-    last cut is passed over. One fold over the records: of the aims in a record only the greatest can cut it, so
-    each record is decided by arithmetic.
+    last cut is passed over. Few parts are folded over the aims, each with one search; many parts over the records: of the
+    aims in a record only the greatest can cut it, so each record is decided by arithmetic.
     """
     parts, byte = as_parts(parts), as_byte(delimiter)
     size = byte_length(data)
     n = F.least(F.lit(min(parts, 1 << 31)).cast("long"), F.greatest(size, F.lit(1).cast("long")))
-    pieces = _pieces(data, bytes([byte]))
     zero = F.lit(0).cast("long")
-    begin = F.struct(zero.alias("at"), zero.alias("start"), F.array().cast(RANGES).alias("out"))
+    if parts <= FEW_PARTS:
+        first = F.struct(zero.alias("start"), F.array().cast(RANGES).alias("out"), size.alias("size"), n.alias("n"), latin1(data).alias("text"))
+
+        def search(state: Column, i: Column) -> Column:
+            aim = _div(state["size"] * i, state["n"])
+            due = (i < state["n"]) & (aim > state["start"])
+            end = F.when(due, F.call_function("locate", F.lit(chr(byte)), state["text"], (aim + 1).cast("int")).cast("long")).otherwise(zero)
+            cut = due & (end > 0) & (end < state["size"])
+            return F.struct(
+                F.when(cut, end).otherwise(state["start"]).alias("start"),
+                F.when(cut, F.array_append(state["out"], _range(state["start"], end))).otherwise(state["out"]).alias("out"),
+                state["size"].alias("size"), state["n"].alias("n"), state["text"].alias("text"),
+            )
+
+        aims = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")), lambda i: i > 0)
+        return F.aggregate(aims, first, search, lambda s: _closed(s, s["size"]))
+    pieces = _pieces(data, bytes([byte]))
+    # size and n travel in the state: as expressions over data they would be worked out anew for every piece
+    begin = F.struct(zero.alias("at"), zero.alias("start"), F.array().cast(RANGES).alias("out"), size.alias("size"), n.alias("n"))
 
     def fold(state: Column, piece: Column) -> Column:
         end = state["at"] + piece + 1
-        i = F.least(_div(end * n - 1, size), n - 1)
-        aim = _div(size * i, n)
-        cut = (i >= 1) & (aim >= state["at"]) & (aim > state["start"]) & (end < size)
+        i = F.least(_div(end * state["n"] - 1, state["size"]), state["n"] - 1)
+        aim = _div(state["size"] * i, state["n"])
+        cut = (i >= 1) & (aim >= state["at"]) & (aim > state["start"]) & (end < state["size"])
         return F.struct(
             end.alias("at"),
             F.when(cut, end).otherwise(state["start"]).alias("start"),
             F.when(cut, F.array_append(state["out"], _range(state["start"], end))).otherwise(state["out"]).alias("out"),
+            state["size"].alias("size"),
+            state["n"].alias("n"),
         )
 
-    return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), begin, fold, lambda s: _closed(s, size))
+    return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), begin, fold, lambda s: _closed(s, s["size"]))
 
 
 def payload(data: Column, start: Column, length: Column) -> Column:

@@ -60,7 +60,7 @@ def multi_source(sources: DataFrame, data: str, parts: int, delimiter=0x0A, orde
         return spark.createDataFrame([], WORKER_RANGE_SCHEMA)
     n = min(parts, total)
     placed = running_start(sized.select("source_index", "size"), "source_index", "size", "prefix")
-    lo, hi = f"greatest(ceil(cast(prefix as decimal(38,0)) * {n} / {total}), 1)", f"least(ceil(cast(prefix + size as decimal(38,0)) * {n} / {total}) - 1, {n - 1})"
+    lo, hi = f"greatest(ceil(cast(prefix as decimal(38,0)) * {n} / {total}) - 1, 1)", f"least(ceil(cast(prefix + size as decimal(38,0)) * {n} / {total}), {n - 1})"  # one more on each side, as quotients are rounded
     aims = placed.where("size > 0").select("*", F.expr(lo).cast("long").alias("lo"), F.expr(hi).cast("long").alias("hi")).where("lo <= hi")
     aims = aims.select("source_index", "prefix", "size", F.explode(F.expr("sequence(lo, hi)")).alias("i"))
     aims = aims.withColumn("aim", F.expr(f"cast(floor(cast(i as decimal(38,0)) * {total} / {n}) as bigint)"))

@@ -86,7 +86,7 @@ def test_against_the_plain_planners(spark, seed):
     for size in (0, 1, 3, 10):
         pattern = rng.choice([b"\n", b"aa", b"\n\n", b"a\n", b"\xff"])
         assert got(df, B.delimited_ranges(F.col("data"), size, pattern)) == [S.delimited(d, size, pattern) for d in data], (size, pattern)
-    for parts in (1, 2, 5, 100):
+    for parts in (1, 2, 5, 100, 1000):
         byte = rng.choice([10, ord("a"), 255])
         assert got(df, B.partition_ranges(F.col("data"), parts, byte)) == [S.partition(d, parts, byte) for d in data], (parts, byte)
     df.unpersist()
