@@ -22,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHE_PIECES = 700_000
-SLICE_CHARS = 3_000_000
+from .common import worker_keeps
+
+CACHE_PIECES = 500_000
+SLICE_CHARS = 2_000_000
 POSITIONS = 400_000
 LONG_PIECE = 1024
 
@@ -68,7 +70,7 @@ class Encoder:
                 if left is not None and right is not None:
                     pairs.append(left << 32 | right)
                     ids.append(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "350MB", "temp_directory": "", "preserve_insertion_order": True})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": "", "preserve_insertion_order": True})
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         merges = pa.table({"pair": pa.array(pairs, pa.int64()), "id": pa.array(ids, pa.int32())})  # noqa: F841
@@ -160,19 +162,16 @@ class Encoder:
                 yield b",".join([x[0] for x in got]), b"".join([x[1] for x in got])
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
 RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 IDS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
 
 
 def _texts(batches: Iterator[pa.RecordBatch], path: str, pattern: str):
-    key = (path, pattern)
     for batch in batches:
-        if key not in _ENCODERS:
-            _ENCODERS[key] = Encoder(path, pattern)
-        column = batch.column(1)
-        yield batch.column(0), _ENCODERS[key].encode([x or "" for x in column.to_pylist()])
+        encoder = worker_keeps(("bpe", path, pattern), lambda: Encoder(path, pattern))
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            yield part.column(0), encoder.encode([x or "" for x in part.column(1).to_pylist()])
 
 
 def bpe_round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
-
-    Only where that setting is absent, as in tests, a local folder is taken and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="spanforge-")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/spanforge-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back."""
     path = scratch_dir(df.sparkSession)
@@ -51,3 +38,19 @@ def replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
 
 def bucket_count(rows: int, per_bucket: int, most: int = 1 << 20) -> int:
     return max(1, min(most, -(-rows // per_bucket)))
+
+
+_kept: dict = {}
+
+
+def worker_keeps(key, make: Callable):
+    """make(), kept in a Python worker for its later tasks with that key. Only one thing is kept: tasks of another
+    operator in the same worker give its memory back."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def worker_keeps_nothing() -> None:
+    _kept.clear()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, worker_keeps_nothing
 from .graph import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity of 4/5 or more
@@ -288,6 +288,7 @@ def signed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        worker_keeps_nothing()
         cache: dict[bytes, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import materialise, worker_keeps
+
 END_ID = 1
 PART_BYTES = 32 << 20
 CACHE_WORDS = 700_000
@@ -137,19 +139,15 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def _encode(path: str, end_id: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if path not in _ENCODERS:
-                _ENCODERS[path] = WordEncoder(path)
+            encoder = worker_keeps(("words", path), lambda: WordEncoder(path))
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                rows = [r + end for r in _ENCODERS[path].encode([x or "" for x in part.column(2).to_pylist()])]
+                rows = [r + end for r in encoder.encode([x or "" for x in part.column(2).to_pylist()])]
                 offsets = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int32)
                 values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(rows))])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "part", "ids"])
@@ -189,8 +187,6 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offs[:-1], offs[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offs).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "part", "n_tokens", "ids_crc32"])
 
-    from .common import materialise
-
     each = materialise(read_token_ids(spark, path).mapInArrow(run, "doc_id long, part int, n_tokens long, ids_crc32 long"))
     totals = sorted(each.groupBy("part").agg(F.sum("n_tokens")).collect())  # one row a range of ids
     before, rows = 0, []

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import worker_keeps_nothing
+
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 6, 2, 8, 24, 16
 #: Positions in a block, blocks in a chunk and from one chunk to the next: 512 bytes, 64 of which overlap.
 BLOCK, CHUNK, STEP = 32, 8, 7
@@ -192,6 +194,7 @@ def add_scores(docs: DataFrame, weights: Weights, text: str = "text", score_col:
     at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps_nothing()
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
@@ -208,6 +211,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, t
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps_nothing()
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
