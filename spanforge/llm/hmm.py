@@ -33,19 +33,39 @@ STATES, SINGLES, TAILS = 8, 1024, 96
 END = b"\n"  # no word holds white space
 ROUNDS, WARM_ROWS, WARM_BYTES, WARM_ROUNDS = 2, 400, 32_768, 12
 BUCKET_BYTES = 12 << 20
-BATCH_CELLS = 1 << 18
-CACHE_WORDS = 600_000
+BATCH_CELLS, SLICE_ROWS, SCALE_STEPS = 180_000, 3000, 16
+CACHE_WORDS = 400_000
 
 
 def tokens(text: str | None) -> list[bytes]:
     """Words between ASCII white space, A-Z lower-cased, and the end token."""
-    return [*(text or "").encode().lower().split(), END]
+    words = (text or "").encode().lower().split()
+    words.append(END)
+    return words
 
 
 def tail_class(word: bytes) -> int:
     return SINGLES + zlib.crc32(word[-3:]) % TAILS
 
 
+class Classes(dict):
+    """word -> class, for the words that a task has met: singles first, then by the last bytes."""
+
+    def __init__(self, singles: dict[bytes, int]):
+        super().__init__(singles)
+        self.singles = singles
+
+    def __missing__(self, word: bytes) -> int:
+        got = self[word] = tail_class(word)
+        return got
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+            self.update(self.singles)
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+
+
 @dataclass
 class Model:
     start: np.ndarray  # (S)
@@ -53,31 +73,21 @@ class Model:
     emit: np.ndarray  # (C, S): of class c from state s
     singles: dict[bytes, int]
 
-    def classes(self, words: list[bytes], cache: dict[bytes, int]) -> list[int]:
-        try:
-            return [cache[w] for w in words]
-        except KeyError:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            for w in words:
-                if w not in cache:
-                    cache[w] = self.singles[w] if w in self.singles else tail_class(w)
-            return [cache[w] for w in words]
-
-
-def _batches(sequences: list[list[int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(which, lengths, classes (time, sequence)), longest first, of at most BATCH_CELLS cells or one sequence."""
-    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
+
+def _batches(sequences: list[np.ndarray], cells: int = BATCH_CELLS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(which, lengths, classes (time, sequence)), longest first, of at most so many cells or one sequence."""
+    size = np.array([len(x) for x in sequences])
+    order = np.argsort(-size, kind="stable")
     at = 0
     while at < len(order):
-        n = max(1, BATCH_CELLS // len(sequences[order[at]]))
+        n = max(1, cells // int(size[order[at]]))
         part = order[at : at + n]
         at += n
-        length = np.array([len(sequences[i]) for i in part])
-        grid = np.zeros((length[0], len(part)), dtype=np.int64)
+        length = size[part]
+        grid = np.zeros((int(length[0]), len(part)), dtype=np.int64)
         for k, i in enumerate(part):
             grid[: length[k], k] = sequences[i]
-        yield np.array(part), length, grid
+        yield part, length, grid
 
 
 def _active(length: np.ndarray, steps: int) -> list[int]:
@@ -85,49 +95,62 @@ def _active(length: np.ndarray, steps: int) -> list[int]:
     return np.searchsorted(-length, -np.arange(steps), side="left").tolist()
 
 
-def forward(model: Model, length: np.ndarray, grid: np.ndarray, keep: bool = False):
-    """log10 of each sequence's probability; with keep also the scaled forward values and the scales."""
+def forward(model: Model, length: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 of each sequence's probability, forward values (time, sequence, state)).
+
+    The values are scaled to a sum of 1 every SCALE_STEPS steps and at a sequence's end; the logarithms of the scales add up to the result.
+    """
     steps, n = grid.shape
     active = _active(length, steps)
-    scales = np.ones((steps, n))
-    kept = np.zeros((steps, n, len(model.start))) if keep else None
-    alpha = None
-    for t in range(steps):
+    emitted = model.emit[grid]
+    alpha = np.zeros((steps, n, len(model.start)))
+    log = np.zeros(n)
+    np.multiply(model.start, emitted[0], out=alpha[0])
+    for t in range(1, steps):
         k = active[t]
-        alpha = (np.broadcast_to(model.start, (k, len(model.start))) if t == 0 else alpha[:k] @ model.move) * model.emit[grid[t, :k]]
-        total = alpha.sum(axis=1)
-        alpha = alpha / total[:, None]
-        scales[t, :k] = total
-        if keep:
-            kept[t, :k] = alpha
-    return np.log10(scales).sum(axis=0), kept, scales
-
-
-def expected_counts(model: Model, sequences: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if t % SCALE_STEPS == 0:
+            total = alpha[t - 1, :k].sum(axis=1)
+            alpha[t - 1, :k] /= total[:, None]
+            log[:k] += np.log10(total)
+        now = alpha[t, :k]
+        np.matmul(alpha[t - 1, :k], model.move, out=now)
+        now *= emitted[t, :k]
+    log += np.log10(alpha[length - 1, np.arange(n)].sum(axis=1))
+    return log, alpha
+
+
+def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch: expected starts, moves and emissions over the sequences."""
     s = len(model.start)
     start, move, emit = np.zeros(s), np.zeros((s, s)), np.zeros_like(model.emit)
+    back = np.ascontiguousarray(model.move.T)
     for _, length, grid in _batches(sequences):
         steps, n = grid.shape
-        active = _active(length, steps)
-        _, alpha, scales = forward(model, length, grid, keep=True)
-        gamma = np.zeros_like(alpha)
-        beta = np.ones((n, s))
-        onward = np.zeros_like(alpha)  # emission * beta / scale of step t + 1, for the moves out of step t
-        for t in range(steps - 1, -1, -1):
-            k = active[t]
-            g = alpha[t, :k] * beta[:k]
-            gamma[t, :k] = g / g.sum(axis=1, keepdims=True)
-            if t:
-                nxt = model.emit[grid[t, :k]] * beta[:k] / scales[t, :k, None]
-                onward[t - 1, :k] = nxt
-                beta[:k] = nxt @ model.move.T
-        start += gamma[0].sum(axis=0)
-        move += model.move * (alpha.reshape(-1, s).T @ onward.reshape(-1, s))
+        active = [*_active(length, steps), 0]
+        _, alpha = forward(model, length, grid)
+        emitted = model.emit[grid]
+        beta = np.ones_like(alpha)
+        onward = np.zeros_like(alpha)  # emission * beta of step t + 1, for the moves out of step t; scaled like beta of step t
+        for t in range(steps - 2, -1, -1):
+            k = active[t + 1]
+            nxt, now = onward[t, :k], beta[t, :k]
+            np.multiply(emitted[t + 1, :k], beta[t + 1, :k], out=nxt)
+            np.matmul(nxt, back, out=now)
+            if t % SCALE_STEPS == 0:
+                factor = 1 / now.sum(axis=1)[:, None]
+                nxt *= factor
+                now *= factor
         live = np.arange(steps)[:, None] < length[None, :]
-        where, weight = grid[live], gamma[live]
+        beta *= alpha
+        weight = beta.sum(axis=2)
+        weight[~live] = 1
+        beta /= weight[:, :, None]  # now the probability of each state at each step
+        alpha /= weight[:, :, None]
+        start += beta[0].sum(axis=0)
+        move += model.move * (alpha.reshape(-1, s).T @ onward.reshape(-1, s))
+        where, states = grid[live], beta[live]
         for j in range(s):
-            emit[:, j] += np.bincount(where, weights=weight[:, j], minlength=len(emit))
+            emit[:, j] += np.bincount(where, weights=states[:, j], minlength=len(emit))
     return start, move, emit
 
 
@@ -145,25 +168,34 @@ def initial(singles: dict[bytes, int], seed: int = 11) -> Model:
     return Model(np.full(STATES, 1 / STATES), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), singles)
 
 
-def _pack(counts) -> bytes:
-    return np.concatenate([x.ravel() for x in counts]).tobytes()
+def class_sequences(train: DataFrame, singles: dict[bytes, int]) -> DataFrame:
+    """(classes): of each training text, two bytes a token. Every round reads them, and the texts are cut into words once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = Classes(singles)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                rows = [classes.of(tokens(x)).astype(np.uint16).tobytes() for x in batch.column(0).slice(at, 1000).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["classes"])
+
+    return materialise(train.select("text").mapInArrow(run, "classes binary"))
 
-def baum_welch_round(train: DataFrame, model: Model) -> Model:
+
+def baum_welch_round(coded: DataFrame, model: Model) -> Model:
     """One round over all training texts: each task adds up its rows, the sums meet by number of the entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, cache = None, {}
+        total = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = [model.classes(tokens(x), cache) for x in batch.column(0).slice(at, 1000).to_pylist()]
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                rows = [np.frombuffer(x, dtype=np.uint16) for x in batch.column(0).slice(at, SLICE_ROWS).to_pylist()]
                 new = expected_counts(model, rows)
                 total = new if total is None else tuple(a + b for a, b in zip(total, new, strict=True))
         if total is not None:
             flat = np.concatenate([x.ravel() for x in total])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["k", "v"])
 
-    got = train.select("text").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    got = coded.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
     flat = np.zeros(STATES + STATES * STATES + (SINGLES + TAILS) * STATES)
     for k, v in got:  # as many entries as the model has
         flat[k] = v
@@ -242,13 +274,16 @@ def fit(rows: DataFrame, words: DataFrame, rounds: int) -> Fitted:
     model = initial(singles)
     train = rows.where(~F.col("held_out"))
     # where the rounds start from: at most WARM_ROWS texts of at most WARM_BYTES, in hash order
-    sample = train.where(F.octet_length("text") <= WARM_BYTES).orderBy(F.xxhash64("text"), "doc_id").select("text").limit(WARM_ROWS).collect()
-    warm = [model.classes(tokens(r[0]), {}) for r in sample]
+    short = train.where(F.octet_length("text") <= WARM_BYTES).withColumn("h", F.xxhash64("text", "doc_id"))
+    least = [r[0] for r in short.select("h").orderBy("h").limit(WARM_ROWS).collect()]
+    sample = short.where(F.col("h") <= max(least)).select("h", "text").limit(WARM_ROWS).collect() if least else []
+    warm = [Classes(singles).of(tokens(r[1])) for r in sorted(sample)]
     if n:
         for _ in range(WARM_ROUNDS if warm else 0):
             model = reestimate(model, *expected_counts(model, warm))
+        coded = class_sequences(train, singles)
         for _ in range(rounds):
-            model = baum_welch_round(train, model)
+            model = baum_welch_round(coded, model)
     return Fitted(model, int(n or 0), int(v or 0), np.log10(total))
 
 
@@ -258,15 +293,15 @@ def _scorer(fitted: Fitted):
     def run(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         number = {w: i for i, w in enumerate(words["word"])}
         count = words["c"].to_numpy(dtype=np.int64)
-        model, cache = fitted.model, {}
-        kind = np.array(model.classes(list(number), cache), dtype=np.int64)
+        model = fitted.model
+        kind = Classes(model.singles).of(list(number))
         log_c = np.log10(count + 1.0)
         inside = np.where(kind >= SINGLES, log_c - fitted.tail_log[np.maximum(kind - SINGLES, 0)], 0.0)
         out = {k: np.zeros(len(docs)) for k in ("base_score", "score")}
         n, known = np.zeros(len(docs), dtype=np.int64), np.zeros(len(docs), dtype=np.int64)
         texts = docs["text"].tolist()
-        for at in range(0, len(texts), 1000):
-            rows = [np.array([number[w] for w in tokens(t)], dtype=np.int64) for t in texts[at : at + 1000]]
+        for at in range(0, len(texts), SLICE_ROWS):
+            rows = [np.fromiter(map(number.__getitem__, w), dtype=np.int64, count=len(w)) for w in map(tokens, texts[at : at + SLICE_ROWS])]
             for i, r in enumerate(rows, at):
                 n[i], known[i] = len(r), int((count[r] > 0).sum())
                 out["base_score"][i] = log_c[r].sum() - len(r) * base
