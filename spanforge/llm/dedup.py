@@ -69,9 +69,15 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", max
     through = tested.where(~F.col("__maybe")).select(*own, *_named(own_names, F.col(id_col), F.lit(1).cast("long"), F.lit(True), sha))
     maybe = tested.where(F.col("__maybe")).select(*own, F.unhex(sha).alias("__sha"))
     groups = maybe.groupBy("__sha").agg(F.max(id_col).alias("__most"), F.count("*").alias("__n"))
-    # a group of any size is one row of the aggregate; the join's large keys are split by adaptive execution
-    joined = maybe.join(groups.withColumnRenamed("__sha", "__key"), F.col("__sha") == F.col("__key"))
-    repeated = joined.select(*own, *_named(own_names, F.col("__most"), F.col("__n"), F.col(id_col).eqNullSafe(F.col("__most")), F.lower(F.hex("__sha"))))
+    # groups over a thousandth of all rows, of which there are fewer than a thousand, come to their rows by broadcast;
+    # in the join by digest such rows get keys that match nothing and spread them out
+    large = F.broadcast(groups.where(F.col("__n") > max(1000, rows // 1000)).toDF("__large", "__large_most", "__large_n"))
+    marked = maybe.join(large, F.col("__sha") == F.col("__large"), "left")
+    apart = F.unhex(F.md5(F.concat_ws(",", F.col(id_col).cast("string"), F.spark_partition_id()).cast("binary")))
+    marked = marked.withColumn("__at", F.when(F.col("__large").isNull(), F.col("__sha")).otherwise(apart))
+    joined = marked.join(groups.withColumnRenamed("__sha", "__key"), F.col("__at") == F.col("__key"), "left")
+    most = F.when(F.col("__large").isNull(), F.col("__most")).otherwise(F.col("__large_most"))
+    repeated = joined.select(*own, *_named(own_names, most, F.coalesce("__large_n", "__n"), F.col(id_col).eqNullSafe(most), F.lower(F.hex("__sha"))))
     return through.unionByName(repeated)
 
 

@@ -109,3 +109,9 @@ def test_mix_awkward(awkward, nothing):
 def test_targets_reshare():
     assert mixing.targets([("a", 10), ("b", 100)], (3, 1), 1.5, 2.0) == [20.0, 145.0]
     assert mixing.targets([("a", 0)], (3,), 1.5, 2.0) == [0.0]
+
+
+def test_dedup_of_one_large_group(spark):
+    rows = [(i, "same text" if i % 3 == 0 else f"text {i // 2}") for i in range(6000)] + [(None, "same text")] * 5
+    got = dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    assert sorted(map(tuple, got.drop("text").collect()), key=repr) == dedup_brute(rows)
