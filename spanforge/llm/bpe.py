@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .common import worker_keeps
 
-CACHE_PIECES = 500_000
+CACHE_PIECES = 450_000
 SLICE_CHARS = 2_000_000
 POSITIONS = 400_000
 LONG_PIECE = 1024
@@ -156,10 +156,15 @@ class Encoder:
                 at += 1
             if len(self.known) > CACHE_PIECES:
                 self.known.clear()
-            self.learn([p for p in dict.fromkeys(x for part in parts for x in part) if p not in self.known])
-            for part in parts:
-                got = [self.known[p] for p in part]
-                yield b",".join([x[0] for x in got]), b"".join([x[1] for x in got])
+            get = self.known.get
+            found = [list(map(get, part)) for part in parts]
+            gaps = [[i for i, x in enumerate(f) if x is None] for f in found]
+            self.learn(list(dict.fromkeys(part[i] for part, g in zip(parts, gaps, strict=True) for i in g)))
+            for part, f, g in zip(parts, found, gaps, strict=True):
+                for i in g:
+                    f[i] = get(part[i])
+                ids, decoded = zip(*f, strict=True) if f else ((), ())
+                yield b",".join(ids), b"".join(decoded)
 
 
 RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
