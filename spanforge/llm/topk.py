@@ -59,7 +59,8 @@ def nra_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray
     both = np.concatenate((up, down), axis=1)
     lists = np.sort(x, axis=0)  # each dimension's list
     low, high = lists[0], lists[-1]
-    open_ = np.ones((len(q), n), dtype=bool)
+    own = q_ids[:, None] == x_ids  # pairs of a row with its own id are no candidates and must not raise the bar
+    open_ = ~own
     full = 0
     for depth in DEPTHS:
         at = min(n - 1, int(depth * n))
@@ -68,13 +69,12 @@ def nra_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray
         bar = best.bar.copy()
         if not np.isfinite(bar).all() and n >= best.k:
             lower = both @ np.concatenate((np.where(x >= top, x, low), np.where(x <= bottom, x, high)), axis=1).astype(kind).T
+            lower[own] = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
             bar = np.maximum(bar, np.partition(lower, n - best.k, axis=1)[:, n - best.k])
         open_ &= upper >= bar[:, None]
         if open_.sum() <= 4 * best.k * len(q):
             break
     qi, xi = np.nonzero(open_)
-    same = q_ids[qi] == x_ids[xi]
-    qi, xi = qi[~same], xi[~same]
     cut = np.searchsorted(qi, np.arange(len(q) + 1))
     wide = x.astype(np.int64)
     for i in range(len(q)):

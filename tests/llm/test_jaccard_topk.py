@@ -154,3 +154,20 @@ def test_bounds_leave_most_pairs_unread():
     first = K.nra_block(x[:16], ids[:16], x[:2048], ids[:2048], best)
     second = K.nra_block(x[:16], ids[:16], x[2048:], ids[2048:], best)
     assert second < first and second < 0.25 * 16 * 2048
+
+
+@pytest.mark.parametrize("scale", [1, 10**4, 10**6])  # sums in float32, float64, int64
+@pytest.mark.parametrize("copies", [19, 20, 21, 22])
+def test_own_row_does_not_raise_the_bar(copies, scale):
+    rng = np.random.default_rng(3)
+    x = np.floor(64 * rng.normal(0, 0.12, (500, 64))).astype(np.int64) * scale
+    x[:copies] = 4 * x[0]  # the query and its copies, far above all others
+    x[100] = x[200]
+    ids = np.arange(500)
+    ids[1] = 0  # a row that repeats the query's id
+    best = K.Best(3, 20)
+    at = [0, 5, 100]
+    K.nra_block(x[at], ids[at], x, ids, best)
+    for q, (got_ids, got_scores) in zip(at, best.rows, strict=True):
+        want = sorted((-int(s), int(j)) for s, j in zip(x @ x[q], ids, strict=True) if j != ids[q])[:20]
+        assert list(zip((-got_scores).tolist(), got_ids.tolist(), strict=True)) == want
