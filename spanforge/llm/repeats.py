@@ -6,17 +6,19 @@ minimiser value form one stretch. Only stretches of bins that hold two or more s
 become one that counts them. For the stretches of a bin a suffix array of the strings' starts is built,
 with the longest common prefixes between neighbours; a stack scan over it enumerates the prefix intervals of at least
 `length` bytes, and those whose occurrences are preceded by different bytes, or begin their stretch,
-are maximal repeats, given out with all their occurrences.
+are maximal repeats, given out with all their occurrences. A stretch that stands n times counts as n occurrences.
 
 Bins meet by key after one count and one content per stretch; texts with equal content travel once. A bin
 of more than bin_limit different stretches, as a passage in a large part of all documents has, is not
-given to one task: its strings are dealt by their digests instead, which keeps the result exact.
+given to one task: its strings are dealt by their digests instead, each with all that agree in its first `length` bytes,
+in suffix order; the same scan gives their intervals.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -112,17 +114,18 @@ class Family:
     """Strings that agree in their first `length` bytes, as a piece of a suffix array, with its prefix intervals.
 
     members: (content, start) in suffix order; intervals: (lo, hi, common length) of the maximal repeats, whose occurrences are
-    members[lo:hi]; reach: for each member the length of the longest maximal repeat that it is an occurrence of, or 0.
+    members[lo:hi] in all copies of their contents; reach: for each member the length of the longest maximal repeat that it is
+    an occurrence of, or 0.
     """
 
     __slots__ = ("intervals", "members", "reach")
 
-    def __init__(self, members: list[tuple[int, int]]):
-        self.members, self.intervals, self.reach = members, [], [0] * len(members)
+    def __init__(self, members: list[tuple]):
+        self.members, self.intervals, self.reach = members, [], []
 
 
-def maximal_repeats(contents: list[bytes], length: int) -> Iterator[Family]:
-    """Every maximal repeat of at least length bytes within and across contents.
+def maximal_repeats(contents: list[bytes], length: int, copies: list[int] | None = None) -> Iterator[Family]:
+    """Every maximal repeat of at least length bytes within and across contents, of which copies[i] stand for contents[i] (one if not given).
 
     The suffix array holds the starts of strings of length bytes, sorted by a fingerprint of those bytes (checked
     byte by byte; above that depth any order does) and then by what follows.
@@ -145,14 +148,17 @@ def maximal_repeats(contents: list[bytes], length: int) -> Iterator[Family]:
             order[lo:hi] = sorted(order[lo:hi], key=lambda i: buf[start[i] : start[i] + length].tobytes())
         same = _equal_runs(buf, start[order[1:]], start[order[:-1]], length)
     left = np.where(start > begin[owner], buf[np.maximum(start - 1, 0)].astype(np.int64), 256 + owner)
-    for lo, hi in _spans(same, left[order]):
+    n = np.ones(len(contents), dtype=np.int64) if copies is None else np.array(copies, dtype=np.int64)
+    alone = ~np.concatenate(([False], same)) & ~np.concatenate((same, [False]))
+    alone &= (left[order] > 255) & (n[owner[order]] > 1)  # a copied content that shares its first string with no other
+    for lo, hi in sorted(_spans(same, left[order]) + [(i, i + 1) for i in np.flatnonzero(alone).tolist()]):
         rows = order[lo:hi]
         c = owner[rows]
-        places, before = list(zip(c.tolist(), (start[rows] - begin[c]).tolist(), strict=True)), left[rows].tolist()
+        places, before, often = list(zip(c.tolist(), (start[rows] - begin[c]).tolist(), strict=True)), left[rows].tolist(), n[c].tolist()
         tails = [contents[k][at + length :] for k, at in places]
         sort = sorted(range(len(tails)), key=tails.__getitem__)
         family = Family([places[i] for i in sort])
-        _scan(family, [tails[i] for i in sort], [before[i] for i in sort], length)
+        _scan(family, ((tails[i], before[i], often[i]) for i in sort), length)
         yield family
 
 
@@ -179,15 +185,27 @@ def _common_prefix(a: bytes, b: bytes) -> int:
     return low
 
 
-def _scan(family: Family, tails: list[bytes], left: list[int], length: int) -> None:
-    """Stack scan of the common-prefix intervals of sorted tails: keeps those whose members are preceded by different bytes.
+def _scan(family: Family, rows: Iterable[tuple[bytes, int, int]], length: int) -> None:
+    """Stack scan of the common-prefix intervals of sorted (tail, byte before or a number above 255, copies): keeps those whose members are
+    preceded by different bytes. Copies of a content share a whole tail; where it begins they are preceded by different bytes.
     An interval closes before those around it, so the first to hold a member is the longest: each member is settled once."""
     stack: list[list] = []  # common length of the tails, first row, the byte before all rows or None
     unsettled: list[int] = []
-    for k in range(len(tails)):
-        common = _common_prefix(tails[k], tails[k + 1]) if k + 1 < len(tails) else -1
+    rows = iter(rows)
+    here, k = next(rows, None), -1
+    while here is not None:
+        (tail, mark, n), here, k = here, next(rows, None), k + 1
+        common = _common_prefix(tail, here[0]) if here is not None else -1
+        family.reach.append(0)
         unsettled.append(k)
-        first, mark = k, left[k]
+        first = k
+        if n > 1:
+            mark = None if mark > 255 else mark
+            if stack and stack[-1][0] == len(tail):
+                if stack[-1][2] != mark:
+                    stack[-1][2] = None
+            else:
+                stack.append([len(tail), k, mark])
         while stack and stack[-1][0] > common:
             depth, at, inner = stack.pop()
             mark = mark if mark == inner else None
@@ -267,46 +285,77 @@ def _contents(length: int, gram: int):
 FAMILIES = "bin long, digests array<binary>, starts array<long>, reach array<long>, intervals array<struct<lo:int,hi:int,length:int>>"
 
 
-def _families(length: int, turn_bytes: int = TURN_BYTES):
-    """(bin, digest, content) sorted by bin -> FAMILIES: the maximal repeats of each bin.
-    As many whole bins as make up turn_bytes share a suffix array; strings of different bins are never equal."""
+def _family_rows(families: Iterator[tuple[int, list[bytes], Family]]) -> Iterator[pa.RecordBatch]:
+    """(bin, digest of each member, family) -> FAMILIES."""
     interval = pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("length", pa.int32())])
     types = (pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(interval))
+    out: list[list] = [[] for _ in types]
+    members = 0
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["bin", "digests", "starts", "reach", "intervals"])
+
+    for key, digests, f in families:
+        values = (key, digests, [s for _, s in f.members], f.reach, [{"lo": a, "hi": b, "length": n} for a, b, n in f.intervals])
+        for column, x in zip(out, values, strict=True):
+            column.append(x)
+        members += len(f.members)
+        if members > 50_000:
+            yield made()
+            out, members = [[] for _ in types], 0
+    yield made()
+
+
+def _families(length: int, turn_bytes: int = TURN_BYTES):
+    """(bin, digest, n, content) sorted by bin -> FAMILIES: the maximal repeats of each bin.
+    As many whole bins as make up turn_bytes share a suffix array; strings of different bins are never equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, bytes]] = []
+        held: list[tuple[int, bytes, int, bytes]] = []
         size = 0
 
         def flush(rows: list) -> Iterator[pa.RecordBatch]:
-            out: list[list] = [[] for _ in types]
-            members = 0
-
-            def made() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["bin", "digests", "starts", "reach", "intervals"])
-
-            for f in maximal_repeats([c for _, _, c in rows], length):
-                values = (rows[f.members[0][0]][0], [rows[c][1] for c, _ in f.members], [s for _, s in f.members], f.reach, [{"lo": a, "hi": b, "length": n} for a, b, n in f.intervals])
-                for column, x in zip(out, values, strict=True):
-                    column.append(x)
-                members += len(f.members)
-                if members > 50_000:
-                    yield made()
-                    out, members = [[] for _ in types], 0
-            yield made()
+            found = maximal_repeats([c for *_, c in rows], length, [n for _, _, n, _ in rows])
+            yield from _family_rows((rows[f.members[0][0]][0], [rows[c][1] for c, _ in f.members], f) for f in found)
 
         for batch in _slices(batches, 1000):
-            for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if size >= turn_bytes and row[0] != held[-1][0]:
                     yield from flush(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[2])
+                size += len(row[3])
         if held:
             yield from flush(held)
 
     return run
 
 
+def _dealt_families(length: int):
+    """(string, tail, bin, digest, s, n, before) sorted by string and tail -> FAMILIES: the maximal repeats that begin with each string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for part in _slices(batches, 1000) for row in zip(*(part.column(k).to_pylist() for k in range(7)), strict=True))
+
+        def families() -> Iterator[tuple[int, list[bytes], Family]]:
+            for _, of in groupby(rows, key=lambda row: row[0]):
+                family, bins = Family([]), []
+
+                def read(of=of, family=family, bins=bins) -> Iterator[tuple[bytes, int, int]]:
+                    for _, tail, b, digest, s, n, before in of:
+                        bins[:] = [b]
+                        family.members.append((digest, s))
+                        yield tail, 256 + len(family.members) if before is None else before, n
+
+                _scan(family, read(), length)
+                if family.intervals:
+                    yield bins[0], [d for d, _ in family.members], family
+
+        yield from _family_rows(families())
+
+    return run
+
+
 def _stretch_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """FAMILIES -> (bin, digest, s, e): the repeats' spans in the stretches, joined as far as one slice of a batch shows them."""
     for batch in _slices(batches, 500):
@@ -366,8 +415,8 @@ class Repeats:
         self.found = materialise(found)
         stretch = self.found.groupBy("bin", "digest").agg(F.sum("n").alias("n"), F.max("twice").alias("twice"), F.first("content").alias("content"))
         self.stretch = materialise(stretch)
-        bins = self.stretch.groupBy("bin").agg(F.count("*").alias("different"), F.max("twice").alias("own"))
-        self.bins = bins.where("different > 1 OR own")
+        bins = self.stretch.groupBy("bin").agg(F.count("*").alias("different"), F.max("twice").alias("own"), F.max("n").alias("most"))
+        self.bins = bins.where("different > 1 OR own OR most > 1")
 
     @staticmethod
     def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -382,31 +431,38 @@ class Repeats:
         return tested.where("(shiftright(__bits, cast(__slot % 64 as int)) & 1L) = 1L").select(*docs.columns)
 
     def families(self) -> DataFrame:
-        """FAMILIES rows of the bins within bin_limit: suffix-array pieces with their maximal repeats as intervals."""
-        rows = self.stretch.join(self.bins.where(F.col("different") <= self.bin_limit).select("bin"), "bin").select("bin", "digest", "content")
-        return rows.repartition("bin").sortWithinPartitions("bin", "digest").mapInArrow(_families(self.length), FAMILIES)
+        """FAMILIES rows: suffix-array pieces with their maximal repeats as intervals."""
+        rows = self.stretch.join(self.bins.where(F.col("different") <= self.bin_limit).select("bin"), "bin").select("bin", "digest", "n", "content")
+        out = rows.repartition("bin").sortWithinPartitions("bin", "digest").mapInArrow(_families(self.length), FAMILIES)
+        if self.bins.where(F.col("different") > self.bin_limit).isEmpty():
+            return out
+        return out.unionByName(self._large())
 
     def groups(self) -> DataFrame:
-        """(bin, length, digests, starts): each maximal repeat with all its occurrences; found maps a stretch's digest to its texts and places."""
+        """(bin, length, digests, starts): each maximal repeat with all its occurrences; found maps a stretch's digest to its texts and places,
+        of which there may be many to one digest (a stretch that stands twice repeats as a whole)."""
         each = self.families().select("bin", "digests", "starts", F.explode("intervals").alias("i"))
         part = lambda c: F.slice(c, F.col("i.lo") + 1, F.col("i.hi") - F.col("i.lo"))
         return each.select("bin", F.col("i.length").cast("long").alias("length"), part("digests").alias("digests"), part("starts").alias("starts"))
 
     def _large(self) -> DataFrame:
-        """(bin, digest, s, e) for bins over bin_limit: every string by its digest."""
+        """FAMILIES rows of bins over bin_limit: strings are dealt by their digests. Only those preceded by different bytes, or that
+        begin a stretch, go on with what follows them: all others are occurrences of a longer repeat that begins before them."""
         rows = self.stretch.join(self.bins.where(F.col("different") > self.bin_limit).select("bin"), "bin")
-        strings = rows.select("bin", "digest", "content", F.explode(F.sequence(F.lit(0), F.length("content") - self.length)).alias("s"))
-        strings = strings.select("bin", "digest", F.col("s").cast("long").alias("s"), F.unhex(F.sha2(F.expr(f"substring(content, s + 1, {self.length})"), 256)).alias("string"))
-        twice = strings.groupBy("string").agg(F.count("*").alias("__n")).where("__n > 1").select("string")
-        return strings.join(twice, "string").select("bin", "digest", "s", (F.col("s") + self.length).alias("e"))
+        before = F.conv(F.hex(F.expr("substring(content, s, 1)")), 16, 10).cast("int")
+        strings = rows.select("bin", "digest", "n", "content", F.explode(F.sequence(F.lit(0), F.length("content") - self.length)).alias("s"))
+        strings = strings.select("bin", "digest", "n", F.col("s").cast("long").alias("s"), F.when(F.col("s") > 0, before).alias("before"), F.unhex(F.sha2(F.expr(f"substring(content, s + 1, {self.length})"), 256)).alias("string"))
+        of = strings.groupBy("string").agg(F.count("*").alias("c"), F.count("before").alias("inner"), F.min("before").alias("lo"), F.max("before").alias("hi"), F.max(F.when(F.col("s") == 0, F.col("n"))).alias("whole"))
+        kept = of.where("(c > 1 AND (c > inner OR lo < hi)) OR whole > 1").select("string")
+        hits = strings.join(kept, "string").groupBy("bin", "digest").agg(F.collect_list(F.struct("string", "s", "before")).alias("hits"))  # within one stretch
+        each = rows.join(hits, ["bin", "digest"]).select("bin", "digest", "n", "content", F.explode("hits").alias("h"))
+        tail = F.expr(f"substring(content, cast(h.s AS int) + 1 + {self.length})")
+        each = each.select("h.string", tail.alias("tail"), "bin", "digest", "h.s", "n", "h.before")
+        return each.repartition("string").sortWithinPartitions("string", "tail").mapInArrow(_dealt_families(self.length), FAMILIES)
 
     def spans(self) -> DataFrame:
         """(tk, spans): of each text with repeats the spans found, not yet joined."""
-        parts = self.families().mapInArrow(_stretch_spans, "bin long, digest binary, s long, e long")
-        whole = self.stretch.where("n > 1").select("bin", "digest", F.lit(0).cast("long").alias("s"), F.length("content").cast("long").alias("e"))
-        each = parts.unionByName(whole)
-        if not self.bins.where(F.col("different") > self.bin_limit).isEmpty():
-            each = each.unionByName(self._large())
+        each = self.families().mapInArrow(_stretch_spans, "bin long, digest binary, s long, e long")
         of = each.groupBy("bin", "digest").agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # within one stretch
         placed = self.found.select("bin", "digest", "tk", "first").join(of, ["bin", "digest"])
         shifted = placed.select("tk", F.transform("spans", lambda x: F.struct((x["s"] + F.col("first")).alias("s"), (x["e"] + F.col("first")).alias("e"))).alias("spans"))

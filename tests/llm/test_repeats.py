@@ -106,3 +106,54 @@ def test_groups_have_all_occurrences(spark):
 
 def test_merged():
     assert R.merged([(5, 9), (0, 3), (3, 4), (6, 7)]) == [(0, 4), (5, 9)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("ab", max_size=20).map(str.encode), max_size=4).map(lambda x: x + x[:2] + x[:1]), st.integers(8, 11))
+def test_copies_count_as_occurrences(contents, length):
+    often = Counter(contents)
+    once = list(often)
+    got = {}
+    for f in R.maximal_repeats(once, length, list(often.values())):
+        for lo, hi, n in f.intervals:
+            c, i = f.members[lo]
+            got[once[c][i : i + n]] = sum(often[once[c]] for c, _ in f.members[lo:hi])
+    assert got == {s: len(at) for s, at in maximal_brute(contents, length).items()}
+
+
+def repeats_of(df, length, limit):
+    """{(string, its places in the rows)} of groups()."""
+    r = R.Repeats(df, length=length, gram=8, bin_limit=limit)
+    text = {bytes(x["tk"]): (x["text"].encode(), x["n"]) for x in r.texts.collect()}
+    found = {}
+    for x in r.found.collect():
+        found.setdefault((x["bin"], bytes(x["digest"])), []).append((bytes(x["tk"]), x["first"]))
+    out = set()
+    for g in r.groups().collect():
+        at = [(tk, first + s) for d, s in zip(g["digests"], g["starts"], strict=True) for tk, first in found[g["bin"], bytes(d)]]
+        strings = {text[tk][0][p : p + g["length"]] for tk, p in at}
+        assert len(strings) == 1
+        out.add((strings.pop(), tuple(sorted(at))))
+    return out, text
+
+
+@pytest.mark.parametrize("limit", [8192, 1])  # bins over 1 stretch are dealt by digest
+def test_groups_of_copies_and_long_passages(spark, limit):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    twin, passage = word(300), word(400)
+    rows = [twin, twin, *[word(30) + passage + word(30) for _ in range(5)]]
+    groups, text = repeats_of(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), 50, limit)
+    by_string = {}
+    for t, n in text.values():
+        for k in range(len(t) - 49):
+            by_string.setdefault(t[k : k + 50], []).append(n)
+    cover = {string[k : k + 50] for string, _ in groups for k in range(len(string) - 49)}
+    assert cover == {s for s, n in by_string.items() if sum(n) > 1}
+    assert all(sum(text[tk][1] for tk, _ in at) == sum(n for t, n in text.values() for k in range(len(t)) if t.startswith(s, k)) for s, at in groups)
+
+
+def test_groups_do_not_depend_on_the_bin_limit(spark):
+    df = spark.createDataFrame(corpus(random.Random(3)), "doc_id long, text string")
+    few, many = repeats_of(df, 40, 1)[0], repeats_of(df, 40, 8192)[0]
+    assert few == many and few
