@@ -16,6 +16,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,13 @@ HINTS = ("passw", "secret", "token", "apikey", "api_key")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPES = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
+#: Runs of base64 characters over line breaks, plain or written as \\n, and one line of them.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n|[\r\n]|\\r\\n|\\n)[ \t]*+[A-Za-z0-9+/_-]++)++")
+LINE_END = re.compile(r"([A-Za-z0-9+/_-]++)(?:[ \t]*+(?:\r\n|[\r\n]|\\r\\n|\\n)[ \t]*+)?")
+#: Bytes in URL form; those that need no quoting may stand plainly.
+QUOTED = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/!*'()@+^-])++")
+UNIT = re.compile(r"%..|.")
+MAGIC = re.compile(rb"\x1f\x8b|x[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00")
 #: A decoded or decompressed layer above this many bytes is left closed and counted in n_unopened.
 MAX_LAYER_BYTES = 64 << 20
 
@@ -49,25 +57,39 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _decompress(blob: bytes, limit: int) -> bytes | None:
-    """The content of a gzip, zlib, bzip2 or xz blob; None if it is none of these. OverflowError beyond limit."""
+def _tool(blob: bytes):
+    """What decompresses a gzip, zlib, bzip2 or xz blob; None if it is none of these."""
     if blob[:2] == b"\x1f\x8b":
-        tool = zlib.decompressobj(31)
-    elif blob[:1] == b"\x78" and len(blob) > 2 and (blob[0] * 256 + blob[1]) % 31 == 0:
-        tool = zlib.decompressobj(15)
-    elif blob[:3] == b"BZh":
-        tool = bz2.BZ2Decompressor()
-    elif blob[:6] == b"\xfd7zXZ\x00":
-        tool = lzma.LZMADecompressor()
-    else:
-        return None
-    try:
-        out = tool.decompress(blob, limit + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+        return zlib.decompressobj(31)
+    if blob[:1] == b"\x78" and len(blob) > 2 and (blob[0] * 256 + blob[1]) % 31 == 0:
+        return zlib.decompressobj(15)
+    if blob[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if blob[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def _decompress(blob: bytes, limit: int) -> tuple[bytes, int, bool] | None:
+    """(content of all members of a compressed blob, bytes read, whether it is whole); None if it is none. OverflowError beyond limit."""
+    out, size, rest, tool = [], 0, blob, _tool(blob)
+    if tool is None:
         return None
-    if len(out) > limit:
-        raise OverflowError
-    return out
+    while True:
+        try:
+            out.append(tool.decompress(rest, limit + 1 - size))
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            return (b"".join(out), len(blob), False) if out else None
+        size += len(out[-1])
+        if size > limit:
+            raise OverflowError
+        if not tool.eof:
+            return b"".join(out), len(blob), False
+        used = len(blob) - len(tool.unused_data)
+        rest = tool.unused_data.lstrip(b"\0")  # padding between members
+        tool = _tool(rest)
+        if tool is None:
+            return b"".join(out), used, True
 
 
 def _as_text(raw: bytes) -> str | None:
@@ -80,6 +102,46 @@ def _as_text(raw: bytes) -> str | None:
     return text if text and good * 10 >= len(text) * 9 else None
 
 
+def _start_as_text(raw: bytes) -> str | None:
+    """As _as_text, of bytes that may end within a character."""
+    return next((t for k in range(4) if (t := _as_text(raw[: len(raw) - k])) is not None), None)
+
+
+def _base64_bytes(token: str) -> bytes | None:
+    if len(token) % 4 == 1:
+        return None
+    try:
+        return base64.b64decode(token.replace("-", "+").replace("_", "/") + "=" * (-len(token) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return None
+
+
+def _wrapped(text: str) -> Iterator[list[list[tuple[int, int]]]]:
+    """Base64 over several lines: for each place the [start, end) of the lines it may have, longest reading first. A blob is lines of one
+    width and a shorter one; all lines of a run are tried as well, and so are those of one width only, as a word may follow."""
+    for m in WRAPPED.finditer(text):
+        lines, at = [], m.start()
+        while at < m.end():
+            one = LINE_END.match(text, at)
+            lines.append((one.start(1), one.end(1)))
+            at = one.end()
+        width = [e - s for s, e in lines]
+        readings: dict[int, list[list[tuple[int, int]]]] = {0: [lines]} if max(width) >= 12 else {}
+        i = 0
+        while i < len(lines):
+            j = i + 1
+            while j < len(lines) and width[j] == width[i]:
+                j += 1
+            if width[i] >= 12:
+                mine = readings.setdefault(i, [])
+                if j < len(lines) and width[j] < width[i]:
+                    mine.append(lines[i : j + 1])
+                if j - i > 1:
+                    mine.append(lines[i:j])
+            i = j
+        yield from (x for x in readings.values() if x)
+
+
 def _char_bytes(text: str) -> np.ndarray:
     """For each code point the offset of its first UTF-8 byte, and at the end the length."""
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -104,29 +166,54 @@ def _replaced(layer: Layer, pieces: list[tuple[int, int, str, list[int]]]) -> tu
 
 
 def _unwrap(layer: Layer, limit: int) -> Iterator[tuple[str, np.ndarray, np.ndarray] | None]:
-    """The layers directly inside; None for one that is too large to open."""
+    """The layers directly inside; None for one that is too large to open or cut off."""
     text, starts, ends, _ = layer
 
-    def whole(inner: bytes, s: int, e: int) -> Iterator[tuple[str, np.ndarray, np.ndarray] | None]:
-        """Of a compressed blob at [s, e): every character of the content maps to all of it."""
+    opened: list[tuple[int, int]] = []
+    shut: dict[int, int] = {}
+
+    def whole(inner: bytes, s: int, ends_at) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        """Of a compressed blob from s on: every character of the content maps to all of it. ends_at: where the first n bytes end."""
         try:
-            out = _decompress(inner, limit)
+            got = _decompress(inner, limit)
+            if got is None:
+                return
+            out, used, fine = got
+            e = ends_at(used)
+            if not fine and any(a <= s and e <= b for a, b in opened):
+                return  # a piece of a blob that is open
             rounds = 0
-            while out is not None and (more := _decompress(out, limit)) is not None and more != out and rounds < 64:
-                out, rounds = more, rounds + 1
+            while (more := _decompress(out, limit)) is not None and more[0] != out and rounds < 64:
+                out, fine, rounds = more[0], fine and more[2], rounds + 1
         except OverflowError:
-            yield None
+            shut[s] = ends_at(len(inner))
             return
-        if out is not None and (plain := _as_text(out)) is not None:
+        if fine:
+            opened.append((s, e))
+        elif _as_text(inner) is None:
+            shut[s] = e
+        if (plain := _as_text(out) if fine else _start_as_text(out)) is not None:
             a, b = (s, e) if starts is None else (starts[s], ends[e - 1])
             yield plain, np.full(len(plain), a, dtype=np.int64), np.full(len(plain), b, dtype=np.int64)
 
     if "%" in text:
+        for m in QUOTED.finditer(text):
+            if "%" not in m[0]:
+                continue
+            for form in dict.fromkeys((m[0].replace("+", " "), m[0])):  # a plus is a space in forms and itself elsewhere
+                raw, at = unquote_to_bytes(form), 0
+                units, before = None, len(opened)
+                while (magic := MAGIC.search(raw, at)) is not None:
+                    if units is None:
+                        units = np.array([u.end() for u in UNIT.finditer(form)]) + m.start()
+                    k = magic.start()
+                    yield from whole(raw[k:], int(units[k - 1]) if k else m.start(), lambda n, k=k, units=units: int(units[k + n - 1]))
+                    at = k + 1
+                    if len(opened) > before:
+                        before, at = len(opened), int(np.searchsorted(units, opened[-1][1])) + 1
         pieces = []
         for m in PERCENT.finditer(text):
             raw = binascii.unhexlify(m[0].replace("%", ""))
-            if raw[:2] in (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"BZ", b"\xfd7"):
-                yield from whole(raw, m.start(), m.end())
             try:
                 new = raw.decode()
                 offs = _char_bytes(new)
@@ -144,28 +231,44 @@ def _unwrap(layer: Layer, limit: int) -> Iterator[tuple[str, np.ndarray, np.ndar
                 pieces.append((m.start(), m.end(), chr(code), [m.start(), m.end()]))
         if pieces:
             yield _replaced(layer, pieces)
+    for readings in _wrapped(text):
+        for lines in readings:
+            token = "".join(text[a:b] for a, b in lines)
+            if len(token) > limit:
+                shut[lines[0][0]] = lines[-1][1]
+                continue
+            if (raw := _base64_bytes(token)) is None:
+                continue
+            before, plain = len(opened), _as_text(raw)
+            if plain is None and MAGIC.match(raw) is None:
+                continue
+            place = np.concatenate([np.arange(a, b) for a, b in lines])
+            yield from whole(raw, lines[0][0], lambda n, place=place: int(place[min((n * 4 + 2) // 3, len(place)) - 1]) + 1)
+            if plain is not None:
+                at = _char_bytes(plain)
+                first, last = place[at[:-1] * 4 // 3], place[np.minimum((at[1:] * 4 + 2) // 3, len(token)) - 1]
+                yield (plain, first, last + 1) if starts is None else (plain, starts[first], ends[last])
+            if plain is not None or len(opened) > before:
+                break
     for m in BASE64.finditer(text):
         token = m[0].rstrip("=")
-        if len(token) % 4 == 1:
-            continue
         if len(token) > limit:
-            yield None
+            if len(token) % 4 != 1:
+                shut[m.start()] = m.end()
             continue
-        try:
-            raw = base64.b64decode(token.replace("-", "+").replace("_", "/") + "=" * (-len(token) % 4), validate=True)
-        except (binascii.Error, ValueError):
+        if (raw := _base64_bytes(token)) is None:
             continue
-        if raw[:2] in (b"\x1f\x8b", b"BZ", b"\xfd7") or raw[:1] == b"\x78":
-            yield from whole(raw, m.start(), m.end())
+        yield from whole(raw, m.start(), lambda n, m=m: m.end())
         if (plain := _as_text(raw)) is None:
             continue
         at = _char_bytes(plain)
         first, last = m.start() + at[:-1] * 4 // 3, m.start() + np.minimum((at[1:] * 4 + 2) // 3, len(token)) - 1
         yield (plain, first, last + 1) if starts is None else (plain, starts[first], ends[last])
+    yield from (None for s, e in shut.items() if not any(a <= s and e <= b for a, b in opened))
 
 
 def find_secrets(text: str | None, limit: int = MAX_LAYER_BYTES) -> tuple[list, list, int, int]:
-    """(base spans, all spans, layers scanned, layers too large to open); spans are sorted (start, kind, end)."""
+    """(base spans, all spans, layers scanned, layers too large to open or cut off); spans are sorted (start, kind, end)."""
     text = text or ""
     base = sorted(scan(text))
     found, layers, closed = set(base), 1, 0

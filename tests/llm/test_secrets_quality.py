@@ -1,7 +1,9 @@
 """The secret scan on planted secrets, and the classifier's gradients, cover and accuracy."""
 
 import base64
+import bz2
 import gzip
+import lzma
 import re
 import urllib.parse
 import zlib
@@ -136,3 +138,47 @@ def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     r = Q.classify(docs, labels).join(labels, "doc_id").where("held_out").selectExpr("avg(cast(predicted = quality as int))", "count(*)").first()
     assert r[0] >= 0.9, r
+
+
+LONG = "".join(f"line {k} of some words {k * k}\n" for k in range(40)) + KEY + " and more after it\n" + "x y z " * 30
+
+
+def lines_of(data, width, end="\n"):
+    coded = base64.b64encode(data).decode()
+    return end.join(coded[k : k + width] for k in range(0, len(coded), width))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", "\n    "])
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("pack", [str.encode, lambda t: gzip.compress(t.encode(), mtime=0), lambda t: zlib.compress(t.encode()), lambda t: bz2.compress(t.encode()), lambda t: lzma.compress(t.encode())])
+def test_base64_over_lines(pack, width, end):
+    for shift in range(6):  # the secret and the last line's width move
+        coded = lines_of(pack("a" * shift * 9 + LONG), width, end)
+        text = f"-----BEGIN DATA-----{end}{coded}{end}-----END DATA-----"
+        _, spans, _, closed = S.find_secrets(text)
+        got = [(s, e) for s, k, e in spans if k == 0]
+        assert any(20 <= s and e <= 20 + len(end) + len(coded) and e - s >= 4 * len(KEY) // 3 for s, e in got), (shift, got)
+        assert closed == 0
+
+
+@pytest.mark.parametrize("pack", [lambda b: gzip.compress(b, mtime=0), bz2.compress, lzma.compress])
+def test_all_members(pack):
+    coded = base64.b64encode(pack(b"nothing here") + pack(b"nor here") + pack(KEY.encode())).decode()
+    assert "assign" in [k for k, _ in spans_of(f"<{coded}>")] and S.find_secrets(coded)[3] == 0
+
+
+@pytest.mark.parametrize("quote", [urllib.parse.quote, urllib.parse.quote_plus])
+@pytest.mark.parametrize("pack", [lambda b: gzip.compress(b, mtime=0), zlib.compress, bz2.compress, lzma.compress])
+def test_url_form_with_plain_characters(pack, quote):
+    for k in range(10):
+        coded = quote(pack(LONG.encode() + bytes([65 + k]) * k))
+        text = f"a=b%20c&data={coded}&tail=1"
+        got = [(s, e) for s, kind, e in S.find_secrets(text)[1] if kind == 0]
+        assert (13, 13 + len(coded)) in got and S.find_secrets(text)[3] == 0
+
+
+def test_cut_off_blobs_count():
+    blob = gzip.compress((KEY + " " + "".join(map(str, range(4000)))).encode(), mtime=0)
+    assert S.find_secrets(base64.b64encode(blob[:-300]).decode())[3] == 1
+    assert S.find_secrets(base64.b64encode(blob).decode())[3] == 0
+    assert "assign" in [k for k, _ in spans_of(base64.b64encode(blob[:-300]).decode())]
