@@ -14,8 +14,8 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import unquote_to_bytes
 
 import numpy as np
@@ -39,9 +39,12 @@ LINE_END = re.compile(r"([A-Za-z0-9+/_-]++)(?:[ \t]*+(?:\r\n|[\r\n]|\\r\\n|\\n)[
 QUOTED = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/!*'()@+^-])++")
 UNIT = re.compile(r"%..|.")
 MAGIC = re.compile(rb"\x1f\x8b|x[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00")
-#: A decoded or decompressed layer above this many bytes is left closed and counted in n_unopened.
+#: A decompressed layer above this many bytes is scanned in blocks that overlap by a quarter, and counted in n_unopened, as what is
+#: encoded in it is opened only where it lies within a block.
 MAX_LAYER_BYTES = 64 << 20
+BLOCK_BYTES = 4 << 20
 
+END = object()
 Layer = tuple[str, "np.ndarray | None", "np.ndarray | None", frozenset]
 
 
@@ -92,6 +95,53 @@ def _decompress(blob: bytes, limit: int) -> tuple[bytes, int, bool] | None:
             return b"".join(out), used, True
 
 
+def _inflated(source: Iterator[bytes], piece: int) -> Iterator[bytes]:
+    """The content of all members of a compressed blob that comes in pieces, in pieces; it ends where the blob breaks off."""
+    tool, data = None, b""
+    for more in source:
+        data += more
+        while data:
+            if tool is None:
+                if len(data) < 6:
+                    break
+                if (tool := _tool(data)) is None:
+                    return
+            while True:
+                try:
+                    out = tool.decompress(data, piece)
+                except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+                    return
+                if out:
+                    yield out
+                if tool.eof:
+                    tool, data = None, tool.unused_data.lstrip(b"\0")
+                    break
+                data = getattr(tool, "unconsumed_tail", b"")
+                if not data and len(out) < piece:
+                    break
+
+
+def _blocks(blob: bytes, size: int) -> Iterator[str]:
+    """The text in directly nested compressed layers of any size, in blocks that overlap by a quarter."""
+    pieces: Iterator[bytes] = (blob[at : at + 65536] for at in range(0, len(blob), 65536))
+    for _ in range(256):
+        pieces = _inflated(pieces, 1 << 16)
+        first = next(pieces, b"")
+        pieces = chain([first], pieces)
+        if _tool(first) is None:
+            break
+    held, begun = bytearray(), False
+    for piece in chain(pieces, [b""]):
+        held += piece
+        if len(held) < size and piece:
+            continue
+        raw = bytes(held)
+        skip = next((k for k in range(4) if len(raw) > k and raw[k] & 0xC0 != 0x80), 0) if begun else 0
+        if (plain := _start_as_text(raw[skip:])) is not None:
+            yield plain
+        held, begun = held[len(held) - size // 4 :], True
+
+
 def _as_text(raw: bytes) -> str | None:
     """raw as text if it is UTF-8 and nine tenths printable."""
     try:
@@ -172,6 +222,10 @@ def _unwrap(layer: Layer, limit: int) -> Iterator[tuple[str, np.ndarray, np.ndar
     opened: list[tuple[int, int]] = []
     shut: dict[int, int] = {}
 
+    def all_of(plain: str, s: int, e: int) -> tuple[str, np.ndarray, np.ndarray]:
+        a, b = (s, e) if starts is None else (starts[s], ends[e - 1])
+        return plain, np.broadcast_to(np.int64(a), len(plain)), np.broadcast_to(np.int64(b), len(plain))
+
     def whole(inner: bytes, s: int, ends_at) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         """Of a compressed blob from s on: every character of the content maps to all of it. ends_at: where the first n bytes end."""
         try:
@@ -182,19 +236,21 @@ def _unwrap(layer: Layer, limit: int) -> Iterator[tuple[str, np.ndarray, np.ndar
             e = ends_at(used)
             if not fine and any(a <= s and e <= b for a, b in opened):
                 return  # a piece of a blob that is open
-            rounds = 0
-            while (more := _decompress(out, limit)) is not None and more[0] != out and rounds < 64:
-                out, fine, rounds = more[0], fine and more[2], rounds + 1
+            met = set()
+            while (more := _decompress(out, limit)) is not None and (key := hashlib.blake2b(out).digest()) not in met:
+                met.add(key)
+                out, fine = more[0], fine and more[2]
         except OverflowError:
-            shut[s] = ends_at(len(inner))
+            shut[s] = e = ends_at(len(inner))
+            for plain in _blocks(inner, min(limit, BLOCK_BYTES)):
+                yield all_of(plain, s, e)
             return
         if fine:
             opened.append((s, e))
         elif _as_text(inner) is None:
             shut[s] = e
         if (plain := _as_text(out) if fine else _start_as_text(out)) is not None:
-            a, b = (s, e) if starts is None else (starts[s], ends[e - 1])
-            yield plain, np.full(len(plain), a, dtype=np.int64), np.full(len(plain), b, dtype=np.int64)
+            yield all_of(plain, s, e)
 
     if "%" in text:
         for m in QUOTED.finditer(text):
@@ -234,9 +290,6 @@ def _unwrap(layer: Layer, limit: int) -> Iterator[tuple[str, np.ndarray, np.ndar
     for readings in _wrapped(text):
         for lines in readings:
             token = "".join(text[a:b] for a, b in lines)
-            if len(token) > limit:
-                shut[lines[0][0]] = lines[-1][1]
-                continue
             if (raw := _base64_bytes(token)) is None:
                 continue
             before, plain = len(opened), _as_text(raw)
@@ -252,10 +305,6 @@ def _unwrap(layer: Layer, limit: int) -> Iterator[tuple[str, np.ndarray, np.ndar
                 break
     for m in BASE64.finditer(text):
         token = m[0].rstrip("=")
-        if len(token) > limit:
-            if len(token) % 4 != 1:
-                shut[m.start()] = m.end()
-            continue
         if (raw := _base64_bytes(token)) is None:
             continue
         yield from whole(raw, m.start(), lambda n, m=m: m.end())
@@ -274,24 +323,28 @@ def find_secrets(text: str | None, limit: int = MAX_LAYER_BYTES) -> tuple[list,
     found, layers, closed = set(base), 1, 0
     digest = lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
     seen: set = set()
-    work: deque[Layer] = deque([(text, None, None, frozenset())])
+    top: Layer = (text, None, None, frozenset())
+    work = [(top, _unwrap(top, limit))]  # depth first: of a large layer one block at a time is held
     while work:
-        layer = work.popleft()
-        mine = None
-        for inner in _unwrap(layer, limit):
-            if inner is None:
-                closed += 1
-                continue
-            mine = mine or layer[3] | {digest(layer[0])}
-            new, starts, ends = inner
-            key = digest(new)
-            # a layer that contains itself is a cycle; the same content at the same place was seen
-            if key in mine or (key, int(starts[0]), int(ends[-1])) in seen:
-                continue
-            seen.add((key, int(starts[0]), int(ends[-1])))
-            layers += 1
-            found.update((int(starts[s]), k, int(ends[e - 1])) for s, k, e in scan(new))
-            work.append((new, starts, ends, mine))
+        layer, inside = work[-1]
+        inner = next(inside, END)
+        if inner is END:
+            work.pop()
+            continue
+        if inner is None:
+            closed += 1
+            continue
+        mine = layer[3] | {digest(layer[0])}
+        new, starts, ends = inner
+        key = digest(new)
+        # a layer that contains itself is a cycle; the same content at the same place was seen
+        if key in mine or (key, int(starts[0]), int(ends[-1])) in seen:
+            continue
+        seen.add((key, int(starts[0]), int(ends[-1])))
+        layers += 1
+        found.update((int(starts[s]), k, int(ends[e - 1])) for s, k, e in scan(new))
+        below: Layer = (new, starts, ends, mine)
+        work.append((below, _unwrap(below, limit)))
     return base, sorted(found), layers, closed
 
 

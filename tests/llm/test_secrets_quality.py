@@ -182,3 +182,26 @@ def test_cut_off_blobs_count():
     assert S.find_secrets(base64.b64encode(blob[:-300]).decode())[3] == 1
     assert S.find_secrets(base64.b64encode(blob).decode())[3] == 0
     assert "assign" in [k for k, _ in spans_of(base64.b64encode(blob[:-300]).decode())]
+
+
+def test_long_base64_is_opened():
+    coded = base64.b64encode(b"word " * 5000 + KEY.encode()).decode()
+    _, spans, _, closed = S.find_secrets(coded, limit=1000)
+    assert any(k == 0 for _, k, _ in spans) and closed == 0
+
+
+@pytest.mark.parametrize("pack", [lambda b: gzip.compress(b, mtime=0), zlib.compress, bz2.compress, lzma.compress])
+def test_large_layers_are_scanned_in_blocks(pack):
+    for at in range(100_000, 100_900, 37):  # over the edges of blocks, which cut characters of two bytes
+        data = ("é" * 3 + "z") * 20_000
+        data = data.encode()[: at - at % 7] + KEY.encode() + b" " + base64.b64encode(b"x AKIA" + b"Q7" * 8) + b" " + data.encode()[at - at % 7 :]
+        coded = base64.b64encode(pack(pack(data))).decode()
+        _, spans, _, closed = S.find_secrets(coded, limit=1000)
+        assert {(s, k, e) for s, k, e in spans if k < 2} >= {(0, 0, len(coded)), (0, 1, len(coded))} and closed == 1
+
+
+def test_many_directly_nested_layers():
+    data = KEY.encode()
+    for _ in range(100):
+        data = gzip.compress(data, mtime=0)
+    assert "assign" in [k for k, _ in spans_of(base64.b64encode(data).decode())]
