@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm import bpe, dedup, jaccard, mixing, quality
-from spanforge.llm.common import materialise, table
+from spanforge.llm.common import materialise, one_of_each, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup.exact_dedup(docs, own_names=("__keep_id", "__group_size", "__kept", "__sha256")).where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = dedup.exact_dedup(docs, own_names=("__keep_id", "__group_size", "__kept", "__sha256")).where("__kept")
+    # of rows that share the largest id, or have none, one stays
+    groups = one_of_each(found.where("__group_size > 1"), [F.col("__sha256")], docs.columns)
+    return found.where("__group_size = 1").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(groups)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,16 @@ def replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in names], *[c.alias(n) for n, c in new.items()])
 
 
+def one_of_each(rows: DataFrame, keys: list[Column], columns: list[str]) -> DataFrame:
+    """One row for each value of keys, of the least digest of columns; tasks choose among their own rows before any meet."""
+    own = [F.col(f"`{c}`") for c in columns]
+    names = [f"__key{i}" for i in range(len(keys))]
+    digest = F.md5(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(own)])))
+    row = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(own)])
+    least = rows.select(*[k.alias(n) for k, n in zip(keys, names, strict=True)], row.alias("__row"), digest.alias("__digest")).groupBy(*names).agg(F.min_by("__row", "__digest").alias("__row"))
+    return least.select(*[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def bucket_count(rows: int, per_bucket: int, most: int = 1 << 20) -> int:
     return max(1, min(most, -(-rows // per_bucket)))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, worker_keeps_nothing
+from .common import materialise, one_of_each, worker_keeps_nothing
 from .graph import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity of 4/5 or more
@@ -314,10 +314,18 @@ def text_md5(col: Column) -> Column:
 
 
 def one_of_each_class(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose class has a lesser doc_id: one document of each class stays, with all its columns."""
-    found = similar(docs, text, id_col)
-    drop = materialise(found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5")).distinct())
-    return docs.join(drop, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (text_md5(docs[text]) == F.col("__md5")), "left_anti")
+    """One row of each class of docs, with all its columns: that of the least doc_id, null being greater than any, and of the least text digest
+    where ids repeat. Texts without shingles all stay."""
+    found = materialise(_classes(docs, text, id_col, BLOCK, keep=True))
+    key = [F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5")]
+    same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (text_md5(docs[text]) == F.col("__md5"))
+    drop = materialise(found.where("NOT keep").select(*key).distinct())
+    left = docs.join(drop, same, "left_anti")
+    again = materialise(found.where("keep").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select("__id", "__md5"))
+    if again.isEmpty():
+        return left
+    rows = left.join(again, same, "left_semi")
+    return left.join(again, same, "left_anti").unionByName(one_of_each(rows, [rows[id_col].cast("long"), text_md5(rows[text])], rows.columns))
 
 
 def _ref(docs: DataFrame, text: str, id_col: str):
@@ -334,9 +342,15 @@ def similar(docs: DataFrame, text: str = "text", id_col: str = "doc_id", block:
     nothing, not even to others like it, and is a class of its own, as is a null id without links (class_id null).
     Rows that repeat an id count each; extra columns are ignored; an empty table gives an empty result.
     """
+    return _classes(docs, text, id_col, block)
+
+
+def _classes(docs: DataFrame, text: str, id_col: str, block: int, keep: bool = False) -> DataFrame:
+    """similar(); with keep also whether a row has the least id and text digest of its class (null without shingles)."""
+    top = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")
     docs_signed = materialise(signed(docs, text, id_col))
     some = docs_signed.where(F.col("node").isNotNull())
-    nodes = materialise(some.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("ref").alias("ref"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    nodes = materialise(some.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("ref").alias("ref"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), *([F.min(top).alias("top")] if keep else [])))
 
     # buckets of two nodes or more
     banded = nodes.select("node", F.explode("bands").alias("key"))
@@ -368,9 +382,13 @@ def similar(docs: DataFrame, text: str = "text", id_col: str = "doc_id", block:
     links = partial.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(partial.select(F.col("node").alias("a"), F.col("label").alias("b")))
     least = classes.join(nodes.select("node", "least"), "node").groupBy("label").agg(F.min("least").alias("class_least"))
-    classes = classes.join(least, "label").join(links, "node").select("node", "class_least", "links")
-    about = nodes.select("node", "copies", "least").join(classes, "node", "left")
-    about = about.select(F.col("node").alias("__node"), "copies", F.coalesce("class_least", "least").alias("class_least"), F.coalesce("links", F.lit(0)).alias("links"))
+    if keep:
+        tops = classes.join(nodes.select("node", "top"), "node").groupBy("label").agg(F.min("top").alias("class_top"))
+        least = least.join(tops, "label")
+    classes = classes.join(least, "label").join(links, "node").select("node", "class_least", "links", *(["class_top"] if keep else []))
+    about = nodes.select("node", "copies", "least", *(["top"] if keep else [])).join(classes, "node", "left")
+    chosen = [F.coalesce("class_top", "top").alias("top")] if keep else []
+    about = about.select(F.col("node").alias("__node"), "copies", F.coalesce("class_least", "least").alias("class_least"), F.coalesce("links", F.lit(0)).alias("links"), *chosen)
     out = docs_signed.select("doc_id", "text_md5", "node").join(about, F.col("node") == F.col("__node"), "left")
     one = F.lit(1).cast("long")
-    return out.select("doc_id", "text_md5", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_least")).alias("class_id"), F.coalesce("copies", one).alias("copies"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", one) - 1).alias("n_links"))
+    return out.select("doc_id", "text_md5", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_least")).alias("class_id"), F.coalesce("copies", one).alias("copies"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", one) - 1).alias("n_links"), *([F.when(F.col("node").isNotNull(), top.eqNullSafe(F.col("top"))).alias("keep")] if keep else []))

@@ -74,3 +74,20 @@ def test_empty(spark, sf_dir, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_one_row_stays_where_ids_repeat_or_are_null(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    near, far = long + " x", " ".join(f"v{k}" for k in range(60))
+    rows = [(7, long, "a"), (7, long, "a"), (7, long.upper(), "b"), (3, long, "c"), (None, far, "d"), (None, far, "d"), (None, far.upper(), "e"), (9, "one", "f"), (None, None, "g"), (None, "", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    exact = corpus_pipeline.exact_dedup_stage(spark, df, "")
+    got = exact.collect()
+    assert exact.columns == df.columns and all(tuple(r) in rows for r in got)
+    assert sorted(((r["text"] or "").lower(), r["doc_id"]) for r in got) == sorted([("", None), (long, 7), (far, None), ("one", 9)], key=lambda r: r[0])
+    rows = [(7, long, "a"), (7, long, "a"), (7, near, "b"), (8, near, "c"), (None, near, "i"), (None, far, "d"), (None, far, "d"), (None, far + " y", "e"), (7, "one", "f"), (None, None, "g"), (None, "", "h"), (7, "two", "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect()]
+    assert len(got) == 6 and set(got) <= set(rows)
+    assert sum(t is not None and t.startswith("w0") and i == 7 for i, t, _ in got) == 1 and sum(t is not None and t.startswith("v0") for _, t, _ in got) == 1
+    assert {t for _, t, _ in got} >= {"one", "two", "", None}
