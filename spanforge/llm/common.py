@@ -36,6 +36,16 @@ def replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in names], *[c.alias(n) for n, c in new.items()])
 
 
+def numbered(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns under the names c0, c1, ...: names with dots or signs don't reach what resolves names."""
+    return df.select(*[df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(columns)])
+
+
+def renamed(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with these names, in order of its columns."""
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names, strict=True)])
+
+
 def one_of_each(rows: DataFrame, keys: list[Column], columns: list[str]) -> DataFrame:
     """One row for each value of keys, of the least digest of columns; tasks choose among their own rows before any meet."""
     own = [F.col(f"`{c}`") for c in columns]
@@ -62,5 +72,38 @@ def worker_keeps(key, make: Callable):
     return _kept[key]
 
 
+class Bounded(dict):
+    """A table that is emptied by make_room() when its keys and values have passed `most` bytes."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def put(self, key, value, size: int) -> None:
+        """size: bytes of key and value; what Python adds to them is counted here."""
+        self[key] = value
+        self.held += size + 200
+
+    def make_room(self) -> None:
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
+
+
 def worker_keeps_nothing() -> None:
     _kept.clear()
+
+
+def give_memory_back() -> None:
+    """At a task's end: what a Python worker has freed goes back to the system, as the worker stays for other tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        return

@@ -5,9 +5,10 @@ their rectified responses are max-pooled over overlapping chunks. A document's c
 the mean, maximum and minimum of each filter, and a hidden layer turns those into one probability. Text of little variety
 shows as few filters responding, noise as the filters that learned it, and a document with both by the mean.
 
-The network is fitted on the driver on a bounded sample of labelled rows (fit_rows per class, texts of at
-most fit_bytes, taken in hash order) with weights that restore the classes' shares among all labelled rows. Every text is then
-scored whole, in parallel, with the weights (some tens of kilobytes) sent along with the tasks.
+The network is fitted on the driver on a bounded sample of labelled rows (fit_rows per class in hash order, as far as their texts of
+any length add up to fit_bytes) with weights that restore the classes' shares among all labelled rows. Every text is then
+scored whole, in parallel, with the weights (some tens of kilobytes) sent along with the tasks. Responses are made
+SLICE_BLOCKS blocks at a time, so that a text takes a few bytes of memory a byte, however long it is.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import worker_keeps_nothing
+from .common import give_memory_back, numbered, renamed, worker_keeps_nothing
 
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 6, 2, 8, 24, 16
 #: Positions in a block, blocks in a chunk and from one chunk to the next: 512 bytes, 64 of which overlap.
 BLOCK, CHUNK, STEP = 32, 8, 7
-FIT_ROWS, FIT_BYTES, EPOCHS, BATCH, LEAST_STEPS = 1500, 16_384, 14, 32, 700
-SLICE_BYTES = 1 << 19
+FIT_ROWS, FIT_BYTES, EPOCHS, BATCH, LEAST_STEPS = 1500, 64 << 20, 14, 32, 700
+SLICE_BYTES, SLICE_BLOCKS = 1 << 19, 1 << 13
 THRESHOLD = 0.3
 
 Weights = dict[str, np.ndarray]
@@ -57,9 +58,9 @@ class Layout:
         self.data = np.zeros(int(blocks.sum()) * unit + WIDTH, dtype=np.uint8)
         for t, b in zip(texts, first.tolist(), strict=True):
             self.data[b * unit : b * unit + len(t)] = np.frombuffer(t, dtype=np.uint8)
-        rows = int(blocks.sum()) * BLOCK
-        position = np.arange(rows) - np.repeat(first, blocks).repeat(BLOCK) * BLOCK
-        self.outside = np.flatnonzero(position * STRIDE >= np.repeat(size, blocks).repeat(BLOCK))
+        self.n_blocks = int(blocks.sum())
+        #: the positions behind the end of each text, in order
+        self.outside = np.concatenate([np.arange(f * BLOCK - (-n // STRIDE), (f + b) * BLOCK) for f, b, n in zip(first.tolist(), blocks.tolist(), size.tolist(), strict=True)])
         chunks = np.maximum(1, -(-(blocks - CHUNK) // STEP) + 1)
         self.chunk_first = np.cumsum(chunks) - chunks
         self.chunks = chunks
@@ -69,19 +70,30 @@ class Layout:
         #: blocks of each chunk; the last chunk of a text repeats its last block
         self.blocks = np.minimum(start[:, None] + np.arange(CHUNK), last[:, None])
 
-    def windows(self) -> np.ndarray:
-        """(positions, WIDTH) view of the bytes under the filters."""
-        return np.lib.stride_tricks.sliding_window_view(self.data, WIDTH)[: len(self.data) - WIDTH : STRIDE]
+    def window_bytes(self, at: np.ndarray) -> np.ndarray:
+        """The WIDTH bytes under the filters at positions of any shape, in a last axis."""
+        return self.data[at[..., None] * STRIDE + np.arange(WIDTH)]
 
 
-def responses(w: Weights, lay: Layout) -> np.ndarray:
-    embedded = w["embed"][lay.data]
-    rows = (len(lay.data) - WIDTH) // STRIDE
-    view = np.lib.stride_tricks.as_strided(embedded, (rows, WIDTH * EMBED), (STRIDE * EMBED * 4, 4))
+def responses(w: Weights, lay: Layout, first: int, last: int) -> np.ndarray:
+    """(blocks, BLOCK, filters): the rectified responses in the blocks [first, last)."""
+    data = lay.data[first * BLOCK * STRIDE : last * BLOCK * STRIDE + WIDTH]
+    embedded = w["embed"][data]
+    view = np.lib.stride_tricks.as_strided(embedded, ((last - first) * BLOCK, WIDTH * EMBED), (STRIDE * EMBED * 4, 4))
     out = view @ w["filters"]
     out += w["bias"]
     np.maximum(out, 0, out=out)
-    out[lay.outside] = 0
+    lo, hi = np.searchsorted(lay.outside, (first * BLOCK, last * BLOCK))
+    out[lay.outside[lo:hi] - first * BLOCK] = 0
+    return out.reshape(-1, BLOCK, FILTERS)
+
+
+def block_maxima(w: Weights, lay: Layout) -> np.ndarray:
+    """(blocks, filters): the greatest response of each filter in each block."""
+    out = np.empty((lay.n_blocks, FILTERS), dtype=np.float32)
+    for at in range(0, lay.n_blocks, SLICE_BLOCKS):
+        end = min(lay.n_blocks, at + SLICE_BLOCKS)
+        responses(w, lay, at, end).max(axis=1, out=out[at:end])
     return out
 
 
@@ -94,6 +106,14 @@ def head(w: Weights, pooled: np.ndarray, lay: Layout):
     return feats, hidden, 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def pooled_chunks(blocks: np.ndarray, lay: Layout) -> np.ndarray:
+    """(chunks, filters): the greatest of each chunk's blocks."""
+    out = blocks[lay.blocks[:, 0]]
+    for k in range(1, CHUNK):
+        np.maximum(out, blocks[lay.blocks[:, k]], out=out)
+    return out
+
+
 def score(w: Weights, texts: list[bytes]) -> np.ndarray:
     """The probability of each whole text to have label 1, rounded so that grouping of texts can't show."""
     out, at = [], 0
@@ -104,15 +124,18 @@ def score(w: Weights, texts: list[bytes]) -> np.ndarray:
             size += len(texts[at])
             at += 1
         lay = Layout(part)
-        blocks = responses(w, lay).reshape(-1, BLOCK, FILTERS).max(axis=1)
-        out.append(head(w, blocks[lay.blocks].max(axis=1), lay)[2])
+        blocks = block_maxima(w, lay)
+        out.append(head(w, pooled_chunks(blocks, lay), lay)[2])
     return np.round(np.concatenate(out), 6) if out else np.empty(0)
 
 
 def gradients(w: Weights, lay: Layout, y: np.ndarray, weight: np.ndarray) -> Weights:
-    resp = responses(w, lay).reshape(-1, BLOCK, FILTERS)
-    inside = resp.argmax(axis=1)
-    blocks = np.take_along_axis(resp, inside[:, None], axis=1)[:, 0]
+    inside, blocks = np.empty((lay.n_blocks, FILTERS), dtype=np.int64), np.empty((lay.n_blocks, FILTERS), dtype=np.float32)
+    for first in range(0, lay.n_blocks, SLICE_BLOCKS):
+        last = min(lay.n_blocks, first + SLICE_BLOCKS)
+        resp = responses(w, lay, first, last)
+        inside[first:last] = resp.argmax(axis=1)
+        blocks[first:last] = np.take_along_axis(resp, inside[first:last, None], axis=1)[:, 0]
     per_chunk = blocks[lay.blocks]
     pick = per_chunk.argmax(axis=1)
     pooled = np.take_along_axis(per_chunk, pick[:, None], axis=1)[:, 0]
@@ -129,7 +152,7 @@ def gradients(w: Weights, lay: Layout, y: np.ndarray, weight: np.ndarray) -> Wei
         hit = pooled == ends[doc]
         d = d + part[doc] * hit / np.add.reduceat(hit, lay.chunk_first, axis=0, dtype=np.float32)[doc]
     d = (d * (pooled > 0)).astype(np.float32)
-    seen = lay.windows()[at]  # (chunks, filters, WIDTH) bytes
+    seen = lay.window_bytes(at)  # (chunks, filters, WIDTH) bytes
     dx = d[:, :, None] * w["filters"].T[None]
     dembed = np.empty_like(w["embed"])
     flat, dx = seen.ravel(), dx.reshape(-1, EMBED)
@@ -173,51 +196,61 @@ def in_training(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, text: str = "text", id_col: str = "doc_id", label: str = "quality") -> Weights:
-    """Fits on at most fit_rows labelled training rows of each class; the rest of the labels gives the classes' shares."""
+    """Fits on at most fit_rows labelled training rows of each class, in hash order; the rest of the labels gives the classes' shares.
+    A row whose text doesn't fit into what the rows before it leave of fit_bytes, which bounds the driver's memory, is passed over."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & in_training(F.col(id_col))).groupBy(F.col(id_col).alias("__id")).agg(F.max(label).alias("__y"))
     counts = dict(known.groupBy("__y").count().collect())
-    rows = docs.select(F.col(id_col).alias("__doc"), F.coalesce(docs[text], F.lit("")).alias("__text")).where((F.octet_length("__text") <= fit_bytes))
+    own = F.coalesce(docs[text], F.lit(""))
+    rows = docs.select(docs[id_col].alias("__doc"), own.alias("__text"), F.octet_length(own).alias("__size"), F.xxhash64(own).alias("__hash"))
     sample: list = []
     for y in (0, 1):
-        # ids only, in hash order, three times as many as are wanted, so that enough have fitting texts
+        # ids only, in hash order; some have no text
         ids = known.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(3 * fit_rows).select("__id")
-        got = rows.join(F.broadcast(ids), F.col("__doc") == F.col("__id")).orderBy(F.xxhash64("__id"), "__id", "__text").select("__text").limit(fit_rows)
-        sample += [(r[0].encode(), y) for r in got.collect()]
+        met = rows.join(F.broadcast(ids), F.col("__doc") == F.col("__id"))
+        chosen, left = [], fit_bytes // 2
+        for r in met.select("__id", "__hash", "__size").orderBy(F.xxhash64("__id"), "__id", "__hash").limit(fit_rows).collect():
+            if r["__size"] <= left:
+                left -= r["__size"]
+                chosen.append((r["__id"], r["__hash"]))
+        if chosen:
+            picked = docs.sparkSession.createDataFrame(chosen, met.select(F.col("__id").alias("__i"), F.col("__hash").alias("__h")).schema).distinct()
+            got = rows.join(F.broadcast(picked), (F.col("__doc") == F.col("__i")) & (F.col("__hash") == F.col("__h")))
+            texts = got.groupBy("__i", "__h").agg(F.first("__text").alias("__text")).orderBy(F.xxhash64("__i"), "__i", "__h").select("__text").collect()
+            sample += [(r[0].encode(), y) for r in texts]
     total = sum(counts.values())
     return fit([t for t, _ in sample], np.array([y for _, y in sample], dtype=np.int64), counts.get(1, 0) / total if total else 0.5)
 
 
-def add_scores(docs: DataFrame, weights: Weights, text: str = "text", score_col: str = "score") -> DataFrame:
-    """All rows and columns of docs and the score of each whole text; a null text scores as an empty one."""
-    kept = [c for c in docs.columns if c.lower() != score_col.lower() or c == text]
-    rows = docs.select(*[docs[f"`{c}`"] for c in kept])
-    at = kept.index(text)
+def _scored(weights: Weights, at: int):
+    """Arrow batches with the score of the text in column `at` behind their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_keeps_nothing()
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
                 p = score(weights, [(x or "").encode() for x in part.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], names=[*part.schema.names, score_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], names=[*part.schema.names, "__score"])
+        give_memory_back()
+
+    return run
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(score_col, T.DoubleType())]))
+
+def add_scores(docs: DataFrame, weights: Weights, text: str = "text", score_col: str = "score") -> DataFrame:
+    """All rows and columns of docs and the score of each whole text; a null text scores as an empty one, a very long one
+    in slices, repeated rows alike. A column named like score_col is replaced; any other name will do. An empty table gives an empty result."""
+    kept = [c for c in docs.columns if c.lower() != score_col.lower() or c == text]
+    rows = numbered(docs, kept)
+    scored = rows.mapInArrow(_scored(weights, kept.index(text)), T.StructType([*rows.schema.fields, T.StructField("__score", T.DoubleType())]))
+    return renamed(scored, [*kept, score_col])
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """(doc_id, held_out, score, predicted), one row per document. A null id is not held out. Rows that repeat
-    an id are scored each by their own text. With no labels every score is the share of label 1, or 0.5."""
+    """(doc_id, held_out, score, predicted), one row per document. A null id is not held out. A null text scores as an empty
+    one. Rows that repeat an id are scored each by their own text. With no labels every score is the share of label 1, or 0.5. Other columns
+    are ignored. An empty table gives an empty result."""
     weights = train(docs, labels, text=text, id_col=id_col, **options)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text].alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_keeps_nothing()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
-                p = score(weights, [(x or "").encode() for x in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
-
-    scored = rows.mapInArrow(run, rows.select("doc_id").schema.add("score", "double"))
+    scored = rows.mapInArrow(_scored(weights, 1), T.StructType([*rows.schema.fields, T.StructField("__score", T.DoubleType())]))
     held_out = F.coalesce(~in_training(F.col("doc_id")), F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))

@@ -91,12 +91,12 @@ def test_gradients():
     y, weight = np.array([0, 1, 0, 1, 1]), np.array([1.0, 2, 1, 0.5, 1])
     w = {k: v.astype(np.float32) for k, v in Q.initial(3).items()}
     w["bias"] += 0.01
+    w["b1"] += rng.uniform(0.03, 0.09, Q.HIDDEN).astype(np.float32)  # off the kink, where the empty text's hidden units would lie
     lay = Q.Layout(texts)
     g = Q.gradients(w, lay, y, weight)
 
     def loss(w):
-        blocks = Q.responses(w, lay).reshape(-1, Q.BLOCK, Q.FILTERS).max(axis=1)
-        p = Q.head(w, blocks[lay.blocks].max(axis=1), lay)[2]
+        p = Q.head(w, Q.pooled_chunks(Q.block_maxima(w, lay), lay), lay)[2]
         return -(weight * np.where(y == 1, np.log(p), np.log(1 - p))).sum() / len(y)
 
     for k in w:
@@ -108,6 +108,66 @@ def test_gradients():
             assert abs((loss(up) - loss(down)) / 2e-3 - g[k].ravel()[i]) < 0.05 * flat[i] + 2e-3, (k, i)
 
 
+def network_brute(w, text):
+    """The network in plain loops over bytes, positions, blocks and chunks."""
+    unit = Q.BLOCK * Q.STRIDE
+    blocks = (len(text) + Q.WIDTH + unit - 1) // unit
+    padded = text + bytes(blocks * unit + Q.WIDTH - len(text))
+    block = []
+    for b in range(blocks):
+        best = [0.0] * Q.FILTERS
+        for k in range(Q.BLOCK):
+            at = (b * Q.BLOCK + k) * Q.STRIDE
+            if at >= len(text):
+                continue
+            x = [float(v) for byte in padded[at : at + Q.WIDTH] for v in w["embed"][byte]]
+            for f in range(Q.FILTERS):
+                best[f] = max(best[f], float(w["bias"][f]) + sum(v * float(c) for v, c in zip(x, w["filters"][:, f], strict=True)))
+        block.append(best)
+    chunks, first = [], 0
+    while True:
+        inside = block[first : first + Q.CHUNK]
+        chunks.append([max(b[f] for b in inside) for f in range(Q.FILTERS)])
+        if first + Q.CHUNK >= blocks:
+            break
+        first += Q.STEP
+    by_filter = list(zip(*chunks, strict=True))
+    feats = [sum(c) / len(c) for c in by_filter] + [max(c) for c in by_filter] + [min(c) for c in by_filter]
+    hidden = [max(0.0, float(w["b1"][h]) + sum(x * float(c) for x, c in zip(feats, w["w1"][:, h], strict=True))) for h in range(Q.HIDDEN)]
+    z = float(w["b2"][0]) + sum(h * float(c) for h, c in zip(hidden, w["w2"], strict=True))
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_equal_plain_loops(monkeypatch):
+    rng = np.random.default_rng(5)
+    w = {k: (v + rng.normal(0, 0.05, v.shape)).astype(np.float32) for k, v in Q.initial(4).items()}
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (0, 1, 5, 57, 58, 59, 63, 64, 500, 512, 513, 900, 1500)]
+    want = [network_brute(w, t) for t in texts]
+    assert np.allclose(Q.score(w, texts), want, atol=2e-5)
+    monkeypatch.setattr(Q, "SLICE_BLOCKS", 3)  # texts are scored in slices
+    monkeypatch.setattr(Q, "SLICE_BYTES", 100)
+    assert np.allclose(Q.score(w, texts), want, atol=2e-5)
+
+
+def test_a_long_text_takes_little_memory():
+    import resource
+
+    text = b"some words of a long text " * 800_000  # 20 MB
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    Q.score(Q.initial(), [text])
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # kilobytes
+
+
+def test_texts_of_any_length_are_fitted_on(spark):
+    docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "%%%&&&*** ") * (2000 if i % 5 == 0 else 3)) for i in range(30)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    w = Q.train(docs, labels)
+    assert Q.score(w, [b"good words here " * 2000])[0] > 0.8 > 0.2 > Q.score(w, [b"%%%&&&*** " * 2000])[0]
+    assert np.array_equal(Q.train(docs.repartition(5), labels)["filters"], w["filters"])
+    few = Q.train(docs, labels, fit_bytes=2000)  # only short texts fit
+    assert not np.array_equal(few["filters"], w["filters"])
+
+
 def test_scores_cover_the_whole_text_and_do_not_depend_on_company():
     rng = np.random.default_rng(1)
     good = [bytes(rng.choice(list(b"abcdefgh "), 600).astype(np.uint8)) for _ in range(60)]
@@ -130,7 +190,8 @@ def test_classify(spark, sf_dir, awkward, nothing):
     none = labels.limit(0)
     assert {r["score"] for r in Q.classify(awkward, none).collect()} == {0.5}
     scored = Q.add_scores(awkward, Q.initial(), score_col="score")
-    assert scored.columns.count("score") == 1 and scored.count() == 10
+    assert scored.columns.count("score") == 1 and "a.b" in scored.columns and scored.count() == 10
+    assert {r["a.b"] for r in scored.collect()} == {"dot", None}
 
 
 def test_held_out_accuracy(spark):
