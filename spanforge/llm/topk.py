@@ -2,12 +2,13 @@
 
 Queries and candidates are dealt into blocks. In a block every dimension is a list of the
 candidates sorted by that component, read from the top for positive query components and from the
-bottom for negative ones. After reading a list to some depth, a candidate met there contributes its
-own value; any other contributes at most the value at the frontier and at least the list's last
-value, which gives upper and lower bounds of every score. Candidates whose upper bound is below the
-k-th lower bound (or below the k-th score that earlier blocks settled) cannot qualify;
-reading goes deeper for the rest until none but the answers' candidates remain, whose lists are then
-read to the end. The bounds of all queries of a block come from matrix products.
+bottom for negative ones. The lists are read in rounds, all to the same depth. What a candidate has shown counts; in
+each dimension not yet shown it has at most the value at the list's frontier and at least the list's last value. That gives
+lower and upper bounds of its score; one that no list has shown yet has the frontier everywhere, which is the bound of all outsiders. A
+pair of query and candidate closes when its upper bound falls below the k-th best lower bound (or the k-th score
+that earlier blocks settled). When few pairs are open, outsiders can't qualify any more, and reading goes on for the open
+ones alone: their scores grow by what the next stretch of each list shows, pairs close on the way, and those left at the lists' ends have their
+final scores. No candidate is looked up out of turn.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from pyspark.sql import functions as F
 
 from .common import bucket_count, materialise
 
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 4096
+QUERIES_AT_ONCE = 1024
 CANDIDATE_BLOCK = 2048
 GROUP_ROWS = 16384
-#: Fractions of a list that are read before the bounds are looked at again.
-DEPTHS = (0.5, 0.8)
+#: Eighths of the lists that have been read when bounds are looked at; more dimensions need more depth before anything closes.
+ROUNDS = (2, 4, 5, 6, 7)
+PAIRS = 20_000
 
 
 def _kind(q: np.ndarray, x: np.ndarray):
@@ -51,7 +54,7 @@ class Best:
 
 def nra_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, best: Best) -> int:
     """Adds the candidates x (rows of integers) to the best of the queries q; returns how many pairs were read to the end."""
-    n, dims = x.shape
+    n = len(x)
     if not n:
         return 0
     kind = _kind(q, x)
@@ -61,10 +64,10 @@ def nra_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray
     low, high = lists[0], lists[-1]
     own = q_ids[:, None] == x_ids  # pairs of a row with its own id are no candidates and must not raise the bar
     open_ = ~own
-    full = 0
-    for depth in DEPTHS:
-        at = min(n - 1, int(depth * n))
+    depths = [min(n - 1, n * e // 8) for e in ROUNDS]
+    for at in depths:
         top, bottom = lists[n - 1 - at], lists[at]  # the frontiers
+        # the greater of value and frontier: what is behind the frontier isn't shown yet
         upper = both @ np.concatenate((np.maximum(x, top), np.minimum(x, bottom)), axis=1).astype(kind).T
         bar = best.bar.copy()
         if not np.isfinite(bar).all() and n >= best.k:
@@ -74,17 +77,36 @@ def nra_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray
         open_ &= upper >= bar[:, None]
         if open_.sum() <= 4 * best.k * len(q):
             break
+    full = 0
     qi, xi = np.nonzero(open_)
-    cut = np.searchsorted(qi, np.arange(len(q) + 1))
-    wide = x.astype(np.int64)
-    for i in range(len(q)):
-        mine = xi[cut[i] : cut[i + 1]]
-        if len(mine):
-            full += len(mine)
-            best.add(i, x_ids[mine], wide[mine] @ q[i].astype(np.int64))
+    for start in range(0, len(qi), PAIRS):
+        pairs, scores = _read_on(q, x, qi[start : start + PAIRS], xi[start : start + PAIRS], lists, [d for d in (*depths, n - 1) if d > at], (top, bottom), bar)
+        full += len(scores)
+        cut = np.flatnonzero(np.diff(pairs[0])) + 1
+        for of, ids, got in zip(np.split(pairs[0], cut), np.split(x_ids[pairs[1]], cut), np.split(scores, cut), strict=True):
+            if len(of):
+                best.add(int(of[0]), ids, got)
     return full
 
 
+def _read_on(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray, lists: np.ndarray, depths: list[int], frontier: tuple, bar: np.ndarray):
+    """((query rows, candidate rows), scores) of the pairs that stay open while the lists are read on to their ends."""
+    n = len(lists)
+    qs, xs = q[qi].astype(np.int64), x[xi].astype(np.int64)
+    shown = np.where(qs > 0, xs >= frontier[0], xs <= frontier[1])
+    scores = (qs * xs * shown).sum(axis=1)
+    for at in depths:
+        top, bottom = lists[n - 1 - at], lists[at]
+        more = np.where(qs > 0, xs >= top, xs <= bottom) & ~shown
+        scores += (qs * xs * more).sum(axis=1)
+        shown |= more
+        if at < n - 1:
+            upper = scores + (qs * np.where(qs > 0, top, bottom) * ~shown).sum(axis=1)
+            keep = upper >= bar[qi]
+            qi, xi, qs, xs, shown, scores = (v[keep] for v in (qi, xi, qs, xs, shown, scores))
+    return (qi, xi), scores
+
+
 def _matrix(vectors, dims: int) -> np.ndarray:
     """Rows of floor values, shorter ones filled up with zeros."""
     out = np.zeros((len(vectors), dims), dtype=np.int64)
@@ -115,11 +137,15 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0,
         queries, candidates = queries.sort_values(["vec_id", "h"]), candidates.sort_values(["vec_id", "h"])
         q, x = _matrix(queries["v"].tolist(), dims), _matrix(candidates["v"].tolist(), dims)
         q_ids, x_ids = queries["vec_id"].to_numpy(), candidates["vec_id"].to_numpy()
-        best = Best(len(q), k)
-        for at in range(0, len(x), CANDIDATE_BLOCK):
-            nra_block(q, q_ids, x[at : at + CANDIDATE_BLOCK], x_ids[at : at + CANDIDATE_BLOCK], best)
-        lens = [len(r[0]) for r in best.rows]
-        cat = lambda i: np.concatenate([r[i] for r in best.rows]) if best.rows else np.empty(0, dtype=np.int64)
+        rows: list = []
+        for first in range(0, len(q), QUERIES_AT_ONCE):
+            some = slice(first, first + QUERIES_AT_ONCE)
+            best = Best(len(q[some]), k)
+            for at in range(0, len(x), CANDIDATE_BLOCK):
+                nra_block(q[some], q_ids[some], x[at : at + CANDIDATE_BLOCK], x_ids[at : at + CANDIDATE_BLOCK], best)
+            rows += best.rows
+        lens = [len(r[0]) for r in rows]
+        cat = lambda i: np.concatenate([r[i] for r in rows]) if rows else np.empty(0, dtype=np.int64)
         return pd.DataFrame({"query_id": np.repeat(q_ids, lens), "qrow": np.repeat(np.arange(len(q)), lens), "vec_id": cat(0), "score": cat(1)})
 
     part = left.groupBy("qb", "g").cogroup(right.groupBy("qb", "g")).applyInPandas(run, "query_id long, qrow long, vec_id long, score long")
