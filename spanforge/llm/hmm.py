@@ -8,10 +8,13 @@ probability is (c + 1) / (N_class + V_class + 1) with its count c in the trainin
 Word counts are made per bucket of documents, summed by word over all buckets, and sent back to the buckets
 that use them, so nothing that grows with the vocabulary is broadcast or collected. Expected transition and
 emission counts of each Baum-Welch round are accumulated over the rows of a task and summed across
-tasks; the driver holds only the model: STATES * (STATES + SINGLES + TAILS) numbers. The model starts from a few rounds on a
-bounded sample on the driver; the rounds that count run over all training rows.
+tasks; the driver holds only the model: STATES * (STATES + SINGLES + TAILS) numbers. From a random start the first rounds read
+a share of the training rows each, by hash, which doubles every other round (SHARES); the last ones read all. Every round's rows are
+read on the cluster, and grow with the input.
 
-The scaled forward recursion gives the exact likelihood of the class sequence; texts of a batch advance together.
+The scaled forward recursion gives the exact likelihood of the class sequence; texts of a batch advance together, and
+only the current step of the forward values is held. Training goes back over blocks of steps, whose forward values are made again from the
+block's first, so that a text of any length takes bounded memory.
 """
 
 from __future__ import annotations
@@ -27,14 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import give_memory_back, materialise
 
 STATES, SINGLES, TAILS = 8, 1024, 96
 END = b"\n"  # no word holds white space
-ROUNDS, WARM_ROWS, WARM_BYTES, WARM_ROUNDS = 2, 400, 32_768, 12
-BUCKET_BYTES = 12 << 20
+#: 1 / share of the training rows that each round before the full ones reads.
+SHARES, ROUNDS = (32, 32, 16, 16, 8, 8, 4, 4, 2), 2
+BUCKET_BYTES, LEAST_BUCKETS, RUN_BUCKETS = 12 << 20, 24, 1000
 BATCH_CELLS, SLICE_ROWS, SCALE_STEPS = 180_000, 3000, 16
-CACHE_WORDS = 400_000
+CACHE_BYTES = 64 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -53,16 +57,18 @@ class Classes(dict):
 
     def __init__(self, singles: dict[bytes, int]):
         super().__init__(singles)
-        self.singles = singles
+        self.singles, self.held = singles, 0
 
     def __missing__(self, word: bytes) -> int:
         got = self[word] = tail_class(word)
+        self.held += len(word) + 200
         return got
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.clear()
             self.update(self.singles)
+            self.held = 0
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
 
@@ -95,63 +101,92 @@ def _active(length: np.ndarray, steps: int) -> list[int]:
     return np.searchsorted(-length, -np.arange(steps), side="left").tolist()
 
 
-def forward(model: Model, length: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 of each sequence's probability, forward values (time, sequence, state)).
+def _advance(model: Model, before: np.ndarray, classes: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """(forward values of step t, what those of step t - 1 were divided by first, if so)."""
+    total = None
+    if t % SCALE_STEPS == 0:
+        total = before.sum(axis=1)
+        before = before / total[:, None]
+    return before @ model.move * model.emit[classes], total
 
-    The values are scaled to a sum of 1 every SCALE_STEPS steps and at a sequence's end; the logarithms of the scales add up to the result.
+
+def log_likelihood(model: Model, length: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """log10 of each sequence's probability.
+
+    The forward values are scaled to a sum of 1 every SCALE_STEPS steps; the logarithms of the scales and of the last sum add up to the result.
     """
     steps, n = grid.shape
-    active = _active(length, steps)
-    emitted = model.emit[grid]
-    alpha = np.zeros((steps, n, len(model.start)))
+    active = [*_active(length, steps), 0]
     log = np.zeros(n)
-    np.multiply(model.start, emitted[0], out=alpha[0])
-    for t in range(1, steps):
+    alpha = model.start * model.emit[grid[0]]
+    for t in range(1, steps + 1):
         k = active[t]
-        if t % SCALE_STEPS == 0:
-            total = alpha[t - 1, :k].sum(axis=1)
-            alpha[t - 1, :k] /= total[:, None]
-            log[:k] += np.log10(total)
-        now = alpha[t, :k]
-        np.matmul(alpha[t - 1, :k], model.move, out=now)
-        now *= emitted[t, :k]
-    log += np.log10(alpha[length - 1, np.arange(n)].sum(axis=1))
-    return log, alpha
+        if k < len(alpha):  # these have ended
+            log[k : len(alpha)] += np.log10(alpha[k:].sum(axis=1))
+            alpha = alpha[:k]
+        if k:
+            alpha, total = _advance(model, alpha, grid[t, :k], t)
+            if total is not None:
+                log[:k] += np.log10(total)
+    return log
 
 
 def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch: expected starts, moves and emissions over the sequences."""
     s = len(model.start)
-    start, move, emit = np.zeros(s), np.zeros((s, s)), np.zeros_like(model.emit)
-    back = np.ascontiguousarray(model.move.T)
+    counts = np.zeros(s), np.zeros((s, s)), np.zeros_like(model.emit)
     for _, length, grid in _batches(sequences):
-        steps, n = grid.shape
-        active = [*_active(length, steps), 0]
-        _, alpha = forward(model, length, grid)
-        emitted = model.emit[grid]
+        _add_counts(model, length, grid, *counts)
+    return counts
+
+
+def _add_counts(model: Model, length: np.ndarray, grid: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
+    """Adds one batch's expected counts, block of steps by block, last first."""
+    steps, n = grid.shape
+    s, block = len(model.start), max(1, BATCH_CELLS // n)
+    active = [*_active(length, steps), 0]
+    back = np.ascontiguousarray(model.move.T)
+    firsts, alpha = [], model.start * model.emit[grid[0]]  # forward values of each block's first step
+    for t in range(steps):
+        if t:
+            alpha, _ = _advance(model, alpha[: active[t]], grid[t, : active[t]], t)
+        if t % block == 0:
+            firsts.append(alpha)
+    later = None  # beta of the step behind the block
+    for first in range((len(firsts) - 1) * block, -1, -block):
+        size, k = min(block, steps - first), active[first]
+        part, live = grid[first : first + size, :k], np.arange(first, first + size)[:, None] < length[None, :k]
+        alpha = np.zeros((size, k, s))
+        alpha[0] = firsts[first // block]
+        for i in range(1, size):
+            m = active[first + i]
+            alpha[i, :m] = _advance(model, alpha[i - 1, :m], part[i, :m], first + i)[0]
         beta = np.ones_like(alpha)
         onward = np.zeros_like(alpha)  # emission * beta of step t + 1, for the moves out of step t; scaled like beta of step t
-        for t in range(steps - 2, -1, -1):
-            k = active[t + 1]
-            nxt, now = onward[t, :k], beta[t, :k]
-            np.multiply(emitted[t + 1, :k], beta[t + 1, :k], out=nxt)
+        for i in range(size - 1, -1, -1):
+            t = first + i
+            m = active[t + 1]
+            if not m:
+                continue
+            nxt, now = onward[i, :m], beta[i, :m]
+            np.multiply(model.emit[grid[t + 1, :m]], beta[i + 1, :m] if i + 1 < size else later[:m], out=nxt)
             np.matmul(nxt, back, out=now)
             if t % SCALE_STEPS == 0:
                 factor = 1 / now.sum(axis=1)[:, None]
                 nxt *= factor
                 now *= factor
-        live = np.arange(steps)[:, None] < length[None, :]
+        later = beta[0].copy()
         beta *= alpha
         weight = beta.sum(axis=2)
         weight[~live] = 1
         beta /= weight[:, :, None]  # now the probability of each state at each step
         alpha /= weight[:, :, None]
-        start += beta[0].sum(axis=0)
+        if not first:
+            start += beta[0].sum(axis=0)
         move += model.move * (alpha.reshape(-1, s).T @ onward.reshape(-1, s))
-        where, states = grid[live], beta[live]
+        where, states = part[live], beta[live]
         for j in range(s):
             emit[:, j] += np.bincount(where, weights=states[:, j], minlength=len(emit))
-    return start, move, emit
 
 
 def reestimate(model: Model, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
@@ -169,20 +204,24 @@ def initial(singles: dict[bytes, int], seed: int = 11) -> Model:
 
 
 def class_sequences(train: DataFrame, singles: dict[bytes, int]) -> DataFrame:
-    """(classes): of each training text, two bytes a token. Every round reads them, and the texts are cut into words once."""
+    """(share, classes) of each training text: a number below the first of SHARES, by hash, and two bytes a token. Every round reads them,
+    and the texts are cut into words once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(singles)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                rows = [classes.of(tokens(x)).astype(np.uint16).tobytes() for x in batch.column(0).slice(at, 1000).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["classes"])
+                part = batch.slice(at, 1000)
+                rows = [classes.of(tokens(x)).astype(np.uint16).tobytes() for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], names=["share", "classes"])
+        give_memory_back()
 
-    return materialise(train.select("text").mapInArrow(run, "classes binary"))
+    share = F.pmod(F.xxhash64("text", "doc_id"), F.lit(max(SHARES))).cast("int")
+    return materialise(train.select(share.alias("share"), "text").mapInArrow(run, "share int, classes binary"))
 
 
 def baum_welch_round(coded: DataFrame, model: Model) -> Model:
-    """One round over all training texts: each task adds up its rows, the sums meet by number of the entry."""
+    """One round over the rows of coded: each task adds up its rows, the sums meet by number of the entry. Without rows the model stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -195,7 +234,9 @@ def baum_welch_round(coded: DataFrame, model: Model) -> Model:
             flat = np.concatenate([x.ravel() for x in total])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["k", "v"])
 
-    got = coded.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    got = coded.select("classes").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    if not got:
+        return model
     flat = np.zeros(STATES + STATES * STATES + (SINGLES + TAILS) * STATES)
     for k, v in got:  # as many entries as the model has
         flat[k] = v
@@ -203,6 +244,19 @@ def baum_welch_round(coded: DataFrame, model: Model) -> Model:
     return reestimate(model, flat[:a], flat[a:b].reshape(STATES, STATES), flat[b:].reshape(-1, STATES))
 
 
+def train_model(coded: DataFrame, model: Model, shares=SHARES, rounds: int = ROUNDS) -> Model:
+    """Rounds over growing shares of the rows, then over all of them."""
+    at = 0
+    for one_in in shares:
+        n = max(shares) // one_in
+        at = at if at + n <= max(shares) else 0  # the next rows in turn
+        model = baum_welch_round(coded.where(f"share >= {at} AND share < {at + n}"), model)
+        at += n
+    for _ in range(rounds):
+        model = baum_welch_round(coded, model)
+    return model
+
+
 @dataclass
 class Fitted:
     model: Model
@@ -243,21 +297,32 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", id_col: str = "do
     repeat an id are scored each by itself; a null id or a null held_out counts as not held out. With no training rows every token is unseen.
     Extra columns are ignored. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("string").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-size // bucket_bytes))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
+    buckets = max(LEAST_BUCKETS, -(-size // bucket_bytes))
+    # rows that repeat id and text are dealt by the part of the input they are read in as well
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(buckets)).cast("int"))
     dealt = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     each = dealt.mapInPandas(_count_words, "word binary, bucket int, c long")
     # one row for each bucket that has the word
-    words = materialise(each.withColumn("c", F.sum("c").over(Window.partitionBy("word"))))
+    words = materialise(with_totals(each, buckets))
     fitted = fit(rows, words, rounds)
     schema = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored = rows.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInPandas(_scorer(fitted), schema)
     return scored.withColumn("doc_id", F.col("doc_id").cast("long"))  # ids are text on the way: pandas has no null integers
 
 
+def with_totals(each: DataFrame, buckets: int, run_buckets: int = RUN_BUCKETS) -> DataFrame:
+    """each (word, bucket, c) with c summed over all buckets of the word. No task holds more than run_buckets rows of a word, or one row
+    for each run of so many buckets."""
+    if buckets <= run_buckets:
+        return each.withColumn("c", F.sum("c").over(Window.partitionBy("word")))
+    each = materialise(each.withColumn("run", F.expr(f"bucket div {run_buckets}")))
+    runs = each.groupBy("word", "run").agg(F.sum("c").alias("c"))
+    totals = runs.select(F.col("word").alias("w"), F.col("run").alias("r"), F.sum("c").over(Window.partitionBy("word")).alias("total"))
+    return each.join(totals, F.expr("word = w AND run = r")).select("word", "bucket", F.col("total").alias("c"))
+
+
 def fit(rows: DataFrame, words: DataFrame, rounds: int) -> Fitted:
     """words: (word, bucket, c). Each word once: in its least bucket."""
     once = words.groupBy("word").agg(F.max("c").alias("c")).where("c > 0")
@@ -273,17 +338,8 @@ def fit(rows: DataFrame, words: DataFrame, rounds: int) -> Fitted:
         total[k] += c + d
     model = initial(singles)
     train = rows.where(~F.col("held_out"))
-    # where the rounds start from: at most WARM_ROWS texts of at most WARM_BYTES, in hash order
-    short = train.where(F.octet_length("text") <= WARM_BYTES).withColumn("h", F.xxhash64("text", "doc_id"))
-    least = [r[0] for r in short.select("h").orderBy("h").limit(WARM_ROWS).collect()]
-    sample = short.where(F.col("h") <= max(least)).select("h", "text").limit(WARM_ROWS).collect() if least else []
-    warm = [Classes(singles).of(tokens(r[1])) for r in sorted(sample)]
     if n:
-        for _ in range(WARM_ROUNDS if warm else 0):
-            model = reestimate(model, *expected_counts(model, warm))
-        coded = class_sequences(train, singles)
-        for _ in range(rounds):
-            model = baum_welch_round(coded, model)
+        model = train_model(class_sequences(train, singles), model, rounds=rounds)
     return Fitted(model, int(n or 0), int(v or 0), np.log10(total))
 
 
@@ -307,7 +363,7 @@ def _scorer(fitted: Fitted):
                 out["base_score"][i] = log_c[r].sum() - len(r) * base
                 out["score"][i] = inside[r].sum()
             for which, length, grid in _batches([kind[r] for r in rows]):
-                out["score"][at + which] += forward(model, length, grid)[0]
+                out["score"][at + which] += log_likelihood(model, length, grid)
         return pd.DataFrame({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": n, "n_known": known, "train_tokens": fitted.n_tokens, **out})
 
     return run

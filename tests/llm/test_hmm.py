@@ -37,11 +37,12 @@ def test_likelihood_and_counts(monkeypatch):
     model = small_model(rng)
     sequences = [rng.integers(0, 4, n) for n in (1, 6, 3, 2, 6)]
     want = [brute(model, x) for x in sequences]
-    for cells, every in ((1 << 18, 16), (8, 2)):
+    for cells, every in ((1 << 18, 16), (8, 2), (12, 3), (1, 1)):
         monkeypatch.setattr(H, "SCALE_STEPS", every)
+        monkeypatch.setattr(H, "BATCH_CELLS", cells)  # texts are trained on in blocks of few steps
         got = np.zeros(len(sequences))
         for which, length, grid in H._batches(sequences, cells):
-            got[which] = H.forward(model, length, grid)[0]
+            got[which] = H.log_likelihood(model, length, grid)
         assert np.allclose(got, [math.log10(w[0]) for w in want])
         counts = H.expected_counts(model, sequences)
         for k in range(3):
@@ -52,7 +53,7 @@ def test_long_sequences_do_not_vanish():
     model = small_model(np.random.default_rng(1))
     x = np.random.default_rng(2).integers(0, 4, 30_000)
     ((_, length, grid),) = H._batches([x])
-    log = H.forward(model, length, grid)[0][0]
+    log = H.log_likelihood(model, length, grid)[0]
     assert -math.inf < log < -1000
     alpha, total = model.start * model.emit[x[0]], 0.0
     for c in x[1:]:
@@ -60,13 +61,55 @@ def test_long_sequences_do_not_vanish():
     assert abs(log - total - math.log10(alpha.sum())) < 1e-6
 
 
+def test_blocks_do_not_change_the_counts(monkeypatch):
+    rng = np.random.default_rng(6)
+    model = small_model(rng)
+    sequences = [rng.integers(0, 4, n) for n in (1, 70, 33, 70, 64, 5, 16)]
+    whole = H.expected_counts(model, sequences)
+    for cells in (1, 30, 50, 200):
+        ((_, length, grid),) = H._batches(sequences, 1 << 18)
+        monkeypatch.setattr(H, "BATCH_CELLS", cells)
+        counts = np.zeros(3), np.zeros((3, 3)), np.zeros_like(model.emit)
+        H._add_counts(model, length, grid, *counts)
+        assert all(np.allclose(a, b) for a, b in zip(counts, whole, strict=True))
+
+
+def test_a_long_text_takes_little_memory():
+    import resource
+
+    model, x = small_model(np.random.default_rng(1)), np.random.default_rng(2).integers(0, 4, 400_000)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    H.expected_counts(model, [x])
+    ((_, length, grid),) = H._batches([x])
+    H.log_likelihood(model, length, grid)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 150_000  # kilobytes
+
+
+def test_totals_by_runs(spark):
+    rng = random.Random(7)
+    rows = [(w, b, rng.randrange(5)) for b in range(40) for w in ["the", *rng.sample([f"w{k}" for k in range(60)], 10)]]
+    each = spark.createDataFrame(rows, "word string, bucket int, c long")
+    total = Counter()
+    for w, _, c in rows:
+        total[w] += c
+    for run in (7, 1000):
+        got = H.with_totals(each, 40, run_buckets=run).select("word", "bucket", "c").collect()
+        assert sorted(map(tuple, got)) == sorted((w, b, total[w]) for w, b, _ in rows)
+
+
+def test_copies_without_ids_are_dealt_out(spark):
+    docs = spark.createDataFrame([(None, "the same text")] * 400 + [(1, "another")], "doc_id long, text string").repartition(16)
+    got = H.score_texts(docs, F.lit(False)).collect()
+    assert len(got) == 401 and len({(r["n_tokens"], round(r["score"], 9)) for r in got if r["doc_id"] is None}) == 1
+
+
 def test_rounds_raise_the_likelihood():
     rng = np.random.default_rng(3)
     model = small_model(rng)
     data = [rng.permutation(np.repeat([0, 1], 5)) for _ in range(20)] + [rng.permutation(np.repeat([2, 3], 5)) for _ in range(20)]
     logs = []
     for _ in range(15):
-        logs.append(sum(H.forward(model, n, g)[0].sum() for _, n, g in H._batches(data)))
+        logs.append(sum(H.log_likelihood(model, n, g).sum() for _, n, g in H._batches(data)))
         model = H.reestimate(model, *H.expected_counts(model, data))
     assert logs[-1] > logs[0] and logs[-1] > sum(math.log10(0.25) * len(x) for x in data)
 
