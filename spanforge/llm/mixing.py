@@ -107,13 +107,13 @@ def mix(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, cap: float = 2.
     """(documents, slots, sources). The documents keep all rows and columns and gain size,
     source_size, target and taken: how many of the document's words the mix reads, repeats counted.
 
-    A null text has no words, a null source is a source of its own, the last. Documents without
+    Documents are shuffled by the MD5 of id and text. A null text has no words, a null source is a source of its own, the last. Documents without
     words are taken 0 times. Rows with the same id, text and source may stand in for one another.
     Input columns named like a result column are replaced. Empty tables give empty results.
     """
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce(docs[text], F.lit("")), F.lit(WORD)).cast("long")
-    key = F.xxhash64(docs[id_col], docs[text])
+    key = F.md5(F.concat(F.coalesce(docs[id_col].cast("string"), F.lit("")), F.lit(":"), F.coalesce(docs[text], F.lit(""))))
     if keep_columns:
         cols = [docs[f"`{c}`"] for c in docs.columns if c.lower() not in own_names or c in (text, source, id_col)]
     else:
@@ -131,11 +131,13 @@ def mix(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, cap: float = 2.
         "__name string, __src int, __source_size long, __target double, __block long, __n long",
     )
     # one row a source, as many as the driver has seen
-    rows = rows.join(F.broadcast(params), F.col(source).cast("string").eqNullSafe(F.col("__name")), "left").withColumn("__b", F.expr("pmod(__key, __n)"))
+    rows = rows.join(F.broadcast(params), F.col(source).cast("string").eqNullSafe(F.col("__name")), "left").withColumn("__b", F.expr("(cast(conv(substring(__key, 1, 8), 16, 10) as bigint) * __n) div 4294967296"))
     sums = rows.groupBy("__src", "__b").agg(F.sum("__size").alias("__in"))
     base = sums.select("__src", "__b", (F.sum("__in").over(Window.partitionBy("__src").orderBy("__b")) - F.col("__in")).alias("__base"))
     order = Window.partitionBy("__src", "__b").orderBy("__key", id_col).rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.join(base, ["__src", "__b"]).withColumn("__start", F.col("__base") + F.sum("__size").over(order) - F.col("__size"))
+    if not keep_columns:
+        placed = materialise(placed)
     spans = placed.where("__size > 0").select("__src", "__start", "__block", "__size", F.explode(F.expr("sequence(__start div __block, (__start + __size - 1) div __block)")).alias("block"))
     spans = spans.select(F.col("__src").alias("src"), "__start", "block", F.expr("greatest(__start - block * __block, 0L)").alias("a"), F.expr("least(__start + __size - block * __block, __block)").alias("b"))
     taken = spans.join(slots.select("src", "block", "words"), ["src", "block"]).groupBy("src", "__start").agg(F.sum(F.expr("greatest(least(b, words) - a, 0L)")).alias("__sum"))
@@ -150,3 +152,19 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
     out, _, _ = mix(docs, text=text, source=source, id_col=id_col, own_names=("__size", "__source_size", "__target", "__taken"), **options)
     times = F.expr("cast(floor(__taken / __size + 0.5) as int)")
     return out.where("__size > 0").withColumn("__times", times).where("__times > 0").select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.expr("sequence(1, __times)")).alias("__copy")).drop("__copy")
+
+
+# Whole passes of a source take each of its documents as often; the last pass takes them in shuffled order, up to what is still missing.
+ORACLE = r"""
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key FROM documents),
+src AS (SELECT source, n, [3.0, 1.0, 2.0][i % 3 + 1]::DOUBLE AS w, 2.0::DOUBLE * n AS cap, 1.5::DOUBLE * sum(n) OVER () AS budget
+        FROM (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM s GROUP BY source)),
+placed AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
+           sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM src),
+free AS (SELECT min_by((budget - full_before, open_weight, cap / w), cap / w) AS x FROM placed WHERE (budget - full_before) * w / open_weight <= cap),
+aims AS (SELECT source, n, CASE WHEN x IS NULL OR cap / w < x[3] THEN cap ELSE x[1] * w / x[2] END AS target, cap FROM placed, free),
+takes AS (SELECT source, n, target, CAST(least(floor(target + 0.5), floor(cap)) AS BIGINT) AS take FROM aims),
+starts AS (SELECT doc_id, size, source, CAST(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS BIGINT) AS start FROM s)
+SELECT doc_id, size, n AS source_size, target, CASE WHEN n = 0 THEN 0 ELSE take // n * size + greatest(0, least(size, take % n - start)) END AS taken
+FROM starts JOIN takes ON takes.source IS NOT DISTINCT FROM starts.source
+"""
