@@ -8,6 +8,9 @@ with the longest common prefixes between neighbours; a stack scan over it enumer
 `length` bytes, and those whose occurrences are preceded by different bytes, or begin their stretch,
 are maximal repeats, given out with all their occurrences. A stretch that stands n times counts as n occurrences.
 
+Texts can be read as words instead of bytes (unit="words"): each word becomes CODE bytes by its hash, and the same trees
+find the strings of `length` words. Two words that differ agree by chance once in 65,536.
+
 Bins meet by key after one count and one content per stretch; texts with equal content travel once. A bin
 of more than bin_limit different stretches, as a passage in a large part of all documents has, is not
 given to one task: its strings are dealt by their digests instead, each with all that agree in its first `length` bytes,
@@ -25,9 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Bounded, discard, give_memory_back, materialise
 
 LENGTH, GRAM = 400, 32
+#: The same for strings of words.
+WORDS, WORD_GRAM, CODE = 50, 8, 2
+CACHE_BYTES = 48 << 20
 BIN_LIMIT = 8192
 TURN_BYTES = 1_500_000
 SLOTS = 1 << 25
@@ -243,6 +249,31 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
             yield batch.slice(at, rows)
 
 
+def _raw(text: str | bytes) -> bytes:
+    return text if isinstance(text, bytes) else text.encode()
+
+
+def _word_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, tk, text) -> (doc_id, tk, text) with CODE bytes for each word of the text, cut at ASCII white space."""
+    import xxhash
+
+    known = Bounded(CACHE_BYTES)
+    for part in _slices(batches, 1000):
+        rows = []
+        for text in part.column(2).to_pylist():
+            words = text.encode().split()
+            try:
+                rows.append(b"".join(map(known.__getitem__, words)))
+            except KeyError:
+                known.make_room()
+                for w in words:
+                    if w not in known:
+                        known.put(w, xxhash.xxh3_64_digest(w)[:CODE], len(w))
+                rows.append(b"".join(map(known.__getitem__, words)))
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["doc_id", "tk", "text"])
+    give_memory_back()
+
+
 def _bins(length: int, gram: int):
     """(tk, text) -> (tk, bin, strings): the bins of a text; strings is 2 where one stretch alone may hold a repeat."""
 
@@ -250,7 +281,7 @@ def _bins(length: int, gram: int):
         for part in _slices(batches, 500):
             rows, value, strings = [], [], []
             for i, text in enumerate(part.column(1).to_pylist()):
-                v, _, _, twice = stretches(text.encode(), length, gram)
+                v, _, _, twice = stretches(_raw(text), length, gram)
                 u, inverse = np.unique(v, return_inverse=True)
                 n = np.bincount(inverse, weights=1 + twice, minlength=len(u)) if len(u) else np.empty(0)
                 rows.append(np.full(len(u), i))
@@ -270,7 +301,7 @@ def _contents(length: int, gram: int):
         for part in _slices(batches, 200):
             out: list[list] = [[] for _ in names]
             for tk, text, n, bins in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
-                raw = text.encode()
+                raw = _raw(text)
                 v, first, last, twice = stretches(raw, length, gram)
                 for i in np.flatnonzero(np.isin(v, np.array(bins, dtype=np.int64))).tolist():
                     content = raw[first[i] : last[i] + length]
@@ -370,22 +401,27 @@ def _stretch_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=["bin", "digest", "s", "e"])
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tk, text, spans) -> (tk, spans, n_removed, n_spans, kept_sha256), spans joined."""
-    for batch in _slices(batches, 200):
-        out: list[list] = [[], [], [], [], []]
-        for tk, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            raw, cover = text.encode(), merged([(x["s"], x["e"]) for x in spans])
-            digest, at = hashlib.sha256(), 0
-            for s, e in cover:
-                digest.update(raw[at:s])
-                at = e
-            digest.update(raw[at:])
-            for column, x in zip(out, (tk, [{"s": s, "e": e} for s, e in cover], sum(e - s for s, e in cover), len(cover), digest.hexdigest()), strict=True):
-                column.append(x)
-        span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-        types = (pa.binary(), span, pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["tk", "spans", "n_removed", "n_spans", "kept_sha256"])
+def _removed(length: int, code: int):
+    """(tk, text, spans) -> (tk, n_removed, n_spans, kept), spans joined; kept: the digest of what stays. code: bytes of a unit, to which spans are drawn in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, 200):
+            out: list[list] = [[], [], [], []]
+            for tk, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                raw, cover = _raw(text), merged([(x["s"], x["e"]) for x in spans])
+                if code > 1:
+                    cover = [(s, e) for s, e in ((-(-s // code) * code, e // code * code) for s, e in cover) if e - s >= length]
+                digest, at = hashlib.sha256(), 0
+                for s, e in cover:
+                    digest.update(raw[at:s])
+                    at = e
+                digest.update(raw[at:])
+                for column, x in zip(out, (tk, sum(e - s for s, e in cover) // code, len(cover), digest.hexdigest()), strict=True):
+                    column.append(x)
+            types = (pa.binary(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["tk", "n_removed", "n_spans", "kept"])
+
+    return run
 
 
 # ---- the operator ----
@@ -396,28 +432,46 @@ class Repeats:
 
     tk is the digest of a text. A null text is empty; matches never cross texts; texts shorter than length have none. Rows that
     repeat a text are documents of their own, so all of a text of length bytes or more that occurs twice is repeated.
-    Extra columns are ignored; an empty table gives empty results.
+    Very long texts give as many stretches as their length asks for. Extra columns are ignored; an empty table gives empty results.
+
+    unit: "bytes", or "words", where length, gram and n_removed count words; places count CODE bytes a word.
     """
 
-    def __init__(self, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", id_col: str = "doc_id", bin_limit: int = BIN_LIMIT):
-        self.length, self.bin_limit = length, bin_limit
+    def __init__(self, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", id_col: str = "doc_id", bin_limit: int = BIN_LIMIT, unit: str = "bytes"):
+        self.code = CODE if unit == "words" else 1
+        length, gram = length * self.code, gram * self.code
+        self.length, self.bin_limit, self.written = length, bin_limit, []
         col = F.coalesce(docs[text], F.lit(""))
-        self.docs = docs.select(docs[id_col].alias("doc_id"), col.alias("text"), F.unhex(F.md5(F.encode(col, "UTF-8"))).alias("tk"))
+        tk = F.unhex(F.sha2(F.encode(col, "UTF-8"), 256))
+        self.docs = docs.select(docs[id_col].alias("doc_id"), tk.alias("tk"), col.alias("text"))
+        if unit == "words":
+            some = self.docs.where(F.octet_length("text") >= 2 * (length // CODE) - 1)  # a word and what parts it from the next
+            self.docs = self._write(some.mapInArrow(_word_bytes, self.docs.select("doc_id", "tk").schema.add("text", "binary")))
         long = self.docs.where(F.octet_length("text") >= length)
         seen = long.select("tk", "text").mapInArrow(_bins(length, gram), "tk binary, bin long, strings long")
-        seen = materialise(seen)
+        seen = self._write(seen)
         open_ = seen.groupBy("bin").agg(F.sum("strings").alias("strings")).where("strings > 1").select("bin")
-        wanted = materialise(seen.join(open_, "bin").select("tk", "bin").distinct().groupBy("tk").agg(F.collect_list("bin").alias("bins")))  # of one text: as long as it at most
+        wanted = self._write(seen.join(open_, "bin").select("tk", "bin").distinct().groupBy("tk").agg(F.collect_list("bin").alias("bins")))  # of one text: as long as it at most
         # each distinct text once, with the number of documents that have it
         texts = self._only(long, wanted).groupBy("tk").agg(F.first("text").alias("text"), F.count("*").alias("n"))
-        self.texts = materialise(texts.join(wanted, "tk"))
+        self.texts = self._write(texts.join(wanted, "tk"))
         found = self.texts.select("tk", "text", "n", "bins").mapInArrow(_contents(length, gram), "bin long, digest binary, tk binary, first long, n long, twice boolean, content binary")
-        self.found = materialise(found)
+        self.found = self._write(found)
         stretch = self.found.groupBy("bin", "digest").agg(F.sum("n").alias("n"), F.max("twice").alias("twice"), F.first("content").alias("content"))
-        self.stretch = materialise(stretch)
+        self.stretch = self._write(stretch)
         bins = self.stretch.groupBy("bin").agg(F.count("*").alias("different"), F.max("twice").alias("own"), F.max("n").alias("most"))
         self.bins = bins.where("different > 1 OR own OR most > 1")
 
+    def _write(self, df: DataFrame) -> DataFrame:
+        self.written.append(materialise(df))
+        return self.written[-1]
+
+    def discard(self) -> None:
+        """Takes the intermediate tables away; what was made of them must have been written."""
+        for df in self.written:
+            discard(df)
+        self.written = []
+
     @staticmethod
     def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
         """The rows whose tk is in keys and a few others: a Bloom filter of bounded size spares the rest the shuffle."""
@@ -468,12 +522,51 @@ class Repeats:
         shifted = placed.select("tk", F.transform("spans", lambda x: F.struct((x["s"] + F.col("first")).alias("s"), (x["e"] + F.col("first")).alias("e"))).alias("spans"))
         return shifted.groupBy("tk").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # within one text
 
+    def _cut(self) -> DataFrame:
+        """(tk, n_removed, n_spans, kept): of each distinct text with repeats what goes and the digest of what stays."""
+        cut = self.texts.select("tk", "text").join(self.spans(), "tk").select("tk", "text", "spans")
+        done = cut.mapInArrow(_removed(self.length, self.code), "tk binary, n_removed long, n_spans long, kept string")
+        return materialise(done)
+
     def removal(self) -> DataFrame:
         """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): each document without its repeated bytes."""
-        cut = self.texts.select("tk", "text").join(self.spans(), "tk").select("tk", "text", "spans")
-        done = cut.mapInArrow(_removed, "tk binary, spans array<struct<s:long,e:long>>, n_removed long, n_spans long, kept_sha256 string")
-        done = materialise(done.select(F.col("tk").alias("__tk"), "n_removed", "n_spans", F.col("kept_sha256").alias("kept")))
-        zero = F.lit(0).cast("long")
-        plain = self.docs.select("doc_id", "tk", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"))
-        out = plain.join(done, F.col("tk") == F.col("__tk"), "left")
-        return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
+        return _removal(self.docs, self._cut()).drop("tk")
+
+
+def _removal(docs: DataFrame, done: DataFrame) -> DataFrame:
+    zero = F.lit(0).cast("long")
+    plain = docs.select("doc_id", "tk", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"))
+    out = plain.join(done.withColumnRenamed("tk", "__tk"), F.col("tk") == F.col("__tk"), "left")
+    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"), "tk")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int = WORDS, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Repeats.removal(), and behind it n_repeated_words: how many words of a document lie in strings of `words` words that also start
+    elsewhere. Passages of many short words are shorter than `length` bytes, so they count there and stay. Both passes discard their tables."""
+    by_words = Repeats(docs, words, WORD_GRAM, text, id_col, unit="words")
+    passages = by_words._cut().select(F.col("tk").alias("__at"), F.col("n_removed").alias("n_repeated_words"))
+    by_words.discard()
+    by_bytes = Repeats(docs, length, GRAM, text, id_col)
+    out = _removal(by_bytes.docs, by_bytes._cut())
+    by_bytes.discard()
+    out = out.join(passages, F.col("tk") == F.col("__at"), "left")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("n_repeated_words", F.lit(0).cast("long")).alias("n_repeated_words"))
+
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+strings AS (SELECT r, b, unnest(range(0, octet_length(b) - {LENGTH - 1})) AS i FROM d),
+hit AS (SELECT r, i FROM (SELECT r, i, md5(b[i + 1:i + {LENGTH}]) AS k FROM strings) QUALIFY count(*) OVER (PARTITION BY k) > 1),
+cut AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS new FROM hit),
+spans AS (SELECT r, min(i) AS s, max(i) + {LENGTH} AS e FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM cut) GROUP BY r, g),
+kept AS (SELECT r, s, d.b[lag(e, 1, 0) OVER (PARTITION BY r ORDER BY s) + 1:s] AS part FROM spans JOIN d USING (r)
+         UNION ALL SELECT r, octet_length(b), b[e + 1:octet_length(b)] FROM (SELECT r, coalesce(max(e), 0) AS e FROM d LEFT JOIN spans USING (r) GROUP BY r) JOIN d USING (r)),
+whole AS (SELECT r, sha256(unhex(string_agg(hex(part), '' ORDER BY s))) AS kept_sha256 FROM kept GROUP BY r),
+totals AS (SELECT r, sum(e - s) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r),
+wat AS (SELECT r, ws, unnest(range(1, len(ws) - {WORDS - 2})) AS i FROM d),
+whit AS (SELECT r, i FROM (SELECT r, i, md5(array_to_string(ws[i:i + {WORDS - 1}], ' ')) AS k FROM wat) QUALIFY count(*) OVER (PARTITION BY k) > 1),
+words AS (SELECT r, sum(least({WORDS}, coalesce(next - i, {WORDS}))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS next FROM whit) GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       kept_sha256, CAST(coalesce(n, 0) AS BIGINT) AS n_repeated_words
+FROM d JOIN whole USING (r) LEFT JOIN totals USING (r) LEFT JOIN words USING (r)
+"""

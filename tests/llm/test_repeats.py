@@ -44,6 +44,45 @@ def test_removal(spark, limit):
     assert sorted(map(tuple, got.collect()), key=repr) == removal_brute(rows, 40)
 
 
+def words_brute(rows, words):
+    """{row: words in strings of so many words that start elsewhere too}"""
+    data = [(t or "").encode().split() for _, t in rows]
+    seen = Counter(tuple(d[k : k + words]) for d in data for k in range(len(d) - words + 1))
+    out = []
+    for (i, _), d in zip(rows, data, strict=True):
+        mark = bytearray(len(d))
+        for k in range(len(d) - words + 1):
+            if seen[tuple(d[k : k + words])] > 1:
+                mark[k : k + words] = b"\1" * words
+        out.append((i, sum(mark)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("limit", [8192, 2])
+def test_words(spark, limit):
+    rng = random.Random(limit)
+    text = lambda n: " ".join(rng.choice(["a", "der", "l\n\n", "é", "xyz"]) + str(rng.randrange(40)) for _ in range(n))
+    passage = text(25)
+    rows = [text(rng.randrange(0, 90)) for _ in range(30)] + [text(rng.randrange(9)) + "\t" + passage + "  " + text(rng.randrange(9)) for _ in range(20)]
+    rows += [rows[3], rows[4].replace(" ", "\n"), " ".join(passage.split()[:20]), " ".join(passage.split()[:19]), "a " * 60, None, ""]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    repeats = R.Repeats(docs, length=20, gram=4, bin_limit=limit, unit="words")
+    got = {bytes(r["tk"]): r["n_removed"] for r in repeats._cut().collect()}
+    assert sorted(((i, got.get(hashlib.sha256((t or "").encode()).digest(), 0)) for i, t in rows), key=repr) == words_brute(rows, 20)
+
+
+def test_query_on_words_and_bytes(spark, awkward, nothing):
+    rows = corpus(random.Random(8)) + [(900 + k, f"{k} " * 3 + "it is so " * 20 + f"end{k}") for k in range(3)]
+    got = R.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=40, words=10).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=repr) == removal_brute(rows, 40)
+    assert sorted(((r["doc_id"], r["n_repeated_words"]) for r in got), key=repr) == words_brute(rows, 10)
+    rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
+    got = R.remove_repeats(awkward).collect()
+    assert sorted(((r["doc_id"], r["n_repeated_words"]) for r in got), key=repr) == words_brute(rows, 50)
+    assert R.remove_repeats(nothing).collect() == []
+
+
 def test_awkward(awkward, nothing):
     rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
     got = R.Repeats(awkward).removal().collect()
