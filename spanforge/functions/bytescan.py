@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..model import as_byte, as_parts, as_pattern
 
+#: Bytes that a search from a given place looks at first, before it takes the rest of the value.
+SEARCH_BLOCK = 4096
 #: Up to so many parts each aim is searched for; a search costs about as much as a look at a thousandth of the records.
 FEW_PARTS = 256
 RANGES = "array<struct<start:bigint,end_exclusive:bigint>>"
@@ -45,6 +47,18 @@ def find_first(data: Column, pattern, start: int | Column = 0) -> Column:
     return F.when(found > 0, (found - 1).cast("long"))
 
 
+def find_from(data: Column, byte: int, at: Column) -> Column:
+    """Offset behind the first such byte at or after `at`, or 0: it looks from there on, in a block and then in the rest."""
+    mark = F.lit(chr(byte))
+
+    def inside(start: Column, length) -> Column:
+        return F.call_function("locate", mark, latin1(F.substring(data, (start + 1).cast("int"), F.lit(length)))).cast("long")
+
+    near = inside(at, SEARCH_BLOCK)
+    far = F.when(at + SEARCH_BLOCK < byte_length(data), inside(at + SEARCH_BLOCK, (1 << 31) - 1)).otherwise(F.lit(0).cast("long"))
+    return F.when(near > 0, at + near).when(far > 0, at + SEARCH_BLOCK + far).otherwise(F.lit(0).cast("long"))
+
+
 def count_of(data: Column, pattern) -> Column:
     """How many times the pattern occurs, without overlaps."""
     return (F.size(F.split(latin1(data), _quoted(as_pattern(pattern)), -1)) - 1).cast("long")
@@ -131,17 +145,17 @@ def partition_ranges(data: Column, parts: int, delimiter=0x0A) -> Column:
     n = F.least(F.lit(min(parts, 1 << 31)).cast("long"), F.greatest(size, F.lit(1).cast("long")))
     zero = F.lit(0).cast("long")
     if parts <= FEW_PARTS:
-        first = F.struct(zero.alias("start"), F.array().cast(RANGES).alias("out"), size.alias("size"), n.alias("n"), latin1(data).alias("text"))
+        first = F.struct(zero.alias("start"), F.array().cast(RANGES).alias("out"), size.alias("size"), n.alias("n"))
 
         def search(state: Column, i: Column) -> Column:
             aim = _div(state["size"] * i, state["n"])
             due = (i < state["n"]) & (aim > state["start"])
-            end = F.when(due, F.call_function("locate", F.lit(chr(byte)), state["text"], (aim + 1).cast("int")).cast("long")).otherwise(zero)
+            end = F.when(due, find_from(data, byte, aim)).otherwise(zero)
             cut = due & (end > 0) & (end < state["size"])
             return F.struct(
                 F.when(cut, end).otherwise(state["start"]).alias("start"),
                 F.when(cut, F.array_append(state["out"], _range(state["start"], end))).otherwise(state["out"]).alias("out"),
-                state["size"].alias("size"), state["n"].alias("n"), state["text"].alias("text"),
+                state["size"].alias("size"), state["n"].alias("n"),
             )
 
         aims = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")), lambda i: i > 0)
@@ -171,10 +185,12 @@ def payload(data: Column, start: Column, length: Column) -> Column:
     return F.substring(data, (start + 1).cast("int"), length.cast("int"))
 
 
-def records(data: Column, delimiter=0x0A) -> Column:
-    """array<binary>: the data cut at the delimiter, without it; one empty record at the end is dropped, inner ones stay."""
+def records(data: Column, delimiter=0x0A, strict: bool = False) -> Column:
+    """array<binary>: the data cut at the delimiter, without it; one empty record at the end is dropped. Inner empty ones stay, or fail if strict."""
     cut = F.split(latin1(data), _quoted(bytes([as_byte(delimiter)])), -1)
     full = F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut)
+    if strict:
+        full = F.when(F.array_contains(full, ""), F.raise_error(F.lit("the range holds an empty record"))).otherwise(full)
     return F.transform(full, lambda r: F.encode(r, "ISO-8859-1"))
 
 

@@ -33,7 +33,7 @@ class Range:
     end: int
 
     def __post_init__(self) -> None:
-        if self.index < 0 or self.start < 0 or self.end <= self.start:
+        if self.index < 0 or self.start < 0 or self.end < self.start:
             raise ValueError(f"not a range: index {self.index}, [{self.start}, {self.end})")
 
     @property

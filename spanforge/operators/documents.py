@@ -64,14 +64,17 @@ def json_documents(
 
 
 def document_stats(docs: DataFrame) -> DataFrame:
-    """(source_index, documents, doc_len): additive over ranges."""
-    return docs.groupBy("source_index").agg(F.count("*").alias("documents"), F.sum(F.length("text")).cast("long").alias("doc_len"))
+    """(source_index, input_files, documents, doc_len): each source is one input file, however many ranges it is read in."""
+    return docs.groupBy("source_index").agg(F.lit(1).cast("long").alias("input_files"), F.count("*").alias("documents"), F.sum(F.length("text")).cast("long").alias("doc_len"))
 
 
 def record_sums(records: DataFrame) -> DataFrame:
-    """(record_count, value_sum, bytes) of JSON records that must have an integer id and an integer value; others fail."""
-    parsed = records.select(F.from_json(F.col("record").cast("string"), "id bigint, value bigint", {"mode": "FAILFAST"}).alias("r"), F.octet_length("record").alias("n"))
-    sure = F.when(F.col("r.id").isNull() | F.col("r.value").isNull(), F.raise_error(F.lit("record without integer id and value"))).otherwise(F.col("r.value"))
+    """(record_count, value_sum, bytes) of JSON records that must have an integer id and an integer value; another one fails with its
+    worker, source and line."""
+    where = [c for c in ("range_index", "source_index", "local_line", "offset") if c in records.columns]
+    parsed = records.select(F.from_json(F.col("record").cast("string"), "id bigint, value bigint").alias("r"), F.octet_length("record").alias("n"), *where)
+    place = F.concat_ws(", ", *[F.concat(F.lit(f"{'worker' if c == 'range_index' else c} "), F.col(c).cast("string")) for c in where])
+    sure = F.when(F.col("r.id").isNull() | F.col("r.value").isNull(), F.raise_error(F.concat(F.lit("record without integer id and value: "), place))).otherwise(F.col("r.value"))
     return parsed.select(sure.cast("long").alias("value"), "n").agg(F.count("*").alias("record_count"), F.sum("value").cast("long").alias("value_sum"), F.sum("n").cast("long").alias("bytes"))
 
 

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import bytescan as B
 from ..model import WORKER_RANGE_SCHEMA, as_byte, as_parts
 
 SOURCES_PER_RUN = 10_000
+#: Up to so many parts the aims, one row a part, are sent to the sources; more parts meet them by key.
+BROADCAST_PARTS = 200_000
 
 
 def explode_ranges(sources: DataFrame, ranges: Column, *keep: str) -> DataFrame:
@@ -67,10 +74,11 @@ def multi_source(sources: DataFrame, data: str, parts: int, delimiter=0x0A, orde
     # decimal quotients are rounded: put the aim right by one where the product says so
     aims = aims.withColumn("aim", F.expr(f"aim + CASE WHEN cast(aim + 1 as decimal(38,0)) * {n} <= cast(i as decimal(38,0)) * {total} THEN 1 WHEN cast(aim as decimal(38,0)) * {n} > cast(i as decimal(38,0)) * {total} THEN -1 ELSE 0 END"))
     aims = aims.where("aim >= prefix AND aim < prefix + size")
-    found = aims.join(sized.select(F.col("source_index").alias("__s"), "data"), F.col("source_index") == F.col("__s"))
-    text = B.latin1(F.col("data"))
-    at = F.call_function("locate", F.lit(chr(byte)), text, (F.col("aim") - F.col("prefix") + 1).cast("int"))
-    end = F.when(F.col("aim") == F.col("prefix"), F.col("aim")).when(at > 0, F.col("prefix") + at).otherwise(F.col("prefix") + F.col("size"))
+    # a row a part at most; only sources with an aim in them are looked into, where they lie
+    small = F.broadcast(aims) if n <= BROADCAST_PARTS else aims
+    found = sized.select(F.col("source_index").alias("__s"), "data").join(small, F.col("source_index") == F.col("__s"))
+    behind = B.find_from(F.col("data"), byte, F.col("aim") - F.col("prefix"))
+    end = F.when(F.col("aim") == F.col("prefix"), F.col("aim")).when(behind > 0, F.col("prefix") + behind).otherwise(F.col("prefix") + F.col("size"))
     cuts, last = [], 0
     for aim, moved in found.select("aim", end.alias("moved")).orderBy("aim").toLocalIterator():
         if aim <= last or moved <= last:
@@ -80,19 +88,61 @@ def multi_source(sources: DataFrame, data: str, parts: int, delimiter=0x0A, orde
         cuts.append(moved)
         last = moved
     edges = [0, *cuts, total]
+    width = -(-total // n)  # sources and workers meet in stretches of so many bytes: a row for each stretch that they reach into
     spans = spark.createDataFrame([(w, s, e) for w, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True))], "worker_index long, s long, e long")
-    # one row a worker, which the request bounds
-    met = placed.where("size > 0").join(F.broadcast(spans), F.expr("s < prefix + size AND prefix < e"))
+    spans = spans.select("*", F.explode(F.expr(f"sequence(s div {width}, (e - 1) div {width})")).alias("at"))
+    reach = placed.where("size > 0").select("source_index", "prefix", "size", F.explode(F.expr(f"sequence(prefix div {width}, (prefix + size - 1) div {width})")).alias("__at"))
+    met = reach.join(F.broadcast(spans) if n <= BROADCAST_PARTS else spans, F.expr(f"__at = at AND s < prefix + size AND prefix < e AND at = greatest(s, prefix) div {width}"))
     out = met.select("worker_index", "source_index", F.expr("greatest(s, prefix) - prefix").alias("start"), F.expr("least(e, prefix + size) - prefix").alias("end_exclusive"))
     return out.select("worker_index", "source_index", "start", "end_exclusive", (F.col("end_exclusive") - F.col("start")).alias("length"))
 
 
 def framed(sources: DataFrame, data: str, delimiter=0x0A, *keep: str) -> DataFrame:
-    """One row a record, without its delimiter: kept columns, line_index, offset, record."""
-    each = sources.select(*keep, F.posexplode(B.records(F.col(data), delimiter)).alias("line_index", "record"))
-    order = Window.partitionBy(*keep).orderBy("line_index").rowsBetween(Window.unboundedPreceding, 0)
-    width = F.octet_length("record").cast("long") + 1
-    return each.select(*keep, F.col("line_index").cast("long").alias("line_index"), (F.sum(width).over(order) - width).alias("offset"), "record")
+    """One row a record, without its delimiter: kept columns, line_index, offset, record.
+
+    Arrow batches: the records are slices of the source's bytes, their offsets a running sum in its task, so nothing is shuffled.
+    """
+    byte = as_byte(delimiter)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                value = batch.column(batch.num_columns - 1)[row]
+                if not value.is_valid or not len(value.as_buffer()):
+                    continue
+                buffer = value.as_buffer()
+                ends = np.flatnonzero(np.frombuffer(buffer, dtype=np.uint8) == byte)
+                begins = np.concatenate(([0], ends + 1))
+                ends = np.append(ends, len(buffer))
+                if begins[-1] == len(buffer):  # the last record ends with a delimiter
+                    begins, ends = begins[:-1], ends[:-1]
+                yield from _frames(batch, row, buffer, begins, ends)
+
+    out = T.StructType([*sources.select(*keep).schema.fields, T.StructField("line_index", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("record", T.BinaryType())])
+    return sources.select(*keep, data).mapInArrow(run, out)
+
+
+def _frames(batch: pa.RecordBatch, row: int, buffer: pa.Buffer, begins: np.ndarray, ends: np.ndarray, most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """The records [begins, ends) of a buffer, which lie a byte apart, with the row's other columns."""
+    raw = np.frombuffer(buffer, dtype=np.uint8)
+    for at in range(0, len(begins), most):
+        b, e = begins[at : at + most], ends[at : at + most]
+        inside = np.ones(int(e[-1] - b[0]), dtype=bool)
+        inside[e[:-1] - b[0]] = False
+        size = e - b
+        offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+        record = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(offsets), pa.py_buffer(raw[b[0] : e[-1]][inside])])
+        same = pa.array(np.full(len(b), row))
+        kept = [c.take(same) for c in batch.columns[:-1]]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(np.arange(at, at + len(b))), pa.array(b.astype(np.int64)), record], names=[*batch.schema.names[:-1], "line_index", "offset", "record"])
+
+
+def framed_by_range(sources: DataFrame, data: str, parts: int, delimiter=0x0A, *keep: str) -> DataFrame:
+    """framed(), and range_index: the range of a plan of each source in `parts` that the record lies in."""
+    planned = sources.select(*keep, B.partition_ranges(F.col(data), parts, delimiter).alias("__ranges"), data)
+    rows = framed(planned, data, delimiter, *keep, "__ranges")
+    number = F.size(F.filter("__ranges", lambda r: r["start"] <= F.col("offset"))) - 1
+    return rows.withColumn("range_index", number.cast("long")).drop("__ranges")
 
 
 def payloads(ranges: DataFrame, data: str) -> DataFrame:
@@ -100,11 +150,19 @@ def payloads(ranges: DataFrame, data: str) -> DataFrame:
     return ranges.withColumn("payload", B.payload(F.col(data), F.col("start"), F.col("length")))
 
 
-def record_offsets(ranges: DataFrame, data: str, key: str, delimiter=0x0A) -> DataFrame:
-    """(key, index, record_offset): the number of the first record of each range among the source's records."""
-    held = payloads(ranges, data).select(key, "index", B.count_of(F.col("payload"), bytes([as_byte(delimiter)])).alias("n"))
-    order = Window.partitionBy(key).orderBy("index").rowsBetween(Window.unboundedPreceding, 0)
-    return held.select(key, "index", (F.sum("n").over(order) - F.col("n")).alias("record_offset"))
+def record_offsets(sources: DataFrame, data: str, parts: int, key: str, delimiter=0x0A) -> DataFrame:
+    """(key, index, record_offset): the number of the first record of each range of a plan among the source's records. One fold over the ranges
+    of a source, in its row."""
+    mark = bytes([as_byte(delimiter)])
+    zero = F.lit(0).cast("long")
+    begin = F.struct(zero.alias("n"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(state: Column, r: Column) -> Column:
+        inside = B.count_of(B.payload(F.col(data), r["start"], r["end_exclusive"] - r["start"]), mark)
+        return F.struct((state["n"] + inside).alias("n"), F.array_append(state["out"], state["n"]).alias("out"))
+
+    firsts = F.aggregate(B.partition_ranges(F.col(data), parts, delimiter), begin, step, lambda s: s["out"])
+    return sources.select(key, F.posexplode(firsts).alias("index", "record_offset")).select(key, F.col("index").cast("long").alias("index"), "record_offset")
 
 
 def worker_rows(plan: DataFrame) -> DataFrame:

@@ -40,6 +40,48 @@ def workers_in_order(plan: DataFrame) -> DataFrame:
     return each.groupBy("source_index").agg((F.bool_and("on") & F.bool_and("up")).alias("fine")).crossJoin(F.broadcast(numbers)).select("source_index", (F.col("fine") & F.col("dense")).alias("in_order"))
 
 
+def worker_plan_faults(plan: DataFrame, sources: DataFrame, data: str, key: str = "source_index", delimiter=0x0A) -> DataFrame:
+    """(fault, source_index, worker_index, start) of a plan over several sources: empty if it holds.
+
+    Looked at: known sources, bounds, lengths, no empty ranges, record edges; in each source no gap or overlap, whole cover and workers that don't
+    fall; workers numbered from 0 without gaps, each behind the one before in source and place; bytes of all workers against bytes of all sources.
+    """
+    mark = F.lit(bytearray([as_byte(delimiter)]))
+    at = lambda c: F.substring(F.col("__data"), F.col(c).cast("int"), F.lit(1))
+    size = B.byte_length(F.col("__data"))
+    held = sources.select(F.col(key).cast("long").alias("__key"), F.col(data).alias("__data"))
+    rows = plan.join(held, F.col("source_index") == F.col("__key"), "full_outer")
+    order = Window.partitionBy("__source").orderBy("start")
+    rows = rows.withColumn("__source", F.coalesce("source_index", "__key"))
+    # the bytes stay behind: windows see numbers only
+    rows = rows.select(
+        "__source", "worker_index", "start", "end_exclusive", "length", size.alias("size"),
+        F.col("__key").isNull().alias("unknown"),
+        ((F.col("start") > 0) & (F.col("start") < size) & (at("start") != mark)).alias("head"),
+        ((F.col("end_exclusive") > 0) & (F.col("end_exclusive") < size) & (at("end_exclusive") != mark)).alias("tail"),
+    )
+    before, last = F.lag("end_exclusive", 1, 0).over(order), F.lead("start").over(order).isNull()
+    rows = rows.select("*", before.alias("before"), last.alias("last"), F.lag("worker_index").over(order).alias("worker_before"))
+    checks = {
+        "unknown source": F.col("unknown") | (F.col("__source") < 0), "worker below 0": F.col("worker_index") < 0,
+        "out of bounds": (F.col("start") < 0) | (F.col("start") > F.col("end_exclusive")) | (F.col("end_exclusive") > F.col("size")),
+        "length": F.col("end_exclusive") - F.col("start") != F.col("length"), "empty range": F.col("length") <= 0,
+        "start splits a record": F.col("head"), "end splits a record": F.col("tail"),
+        "gap or overlap": F.col("start") != F.col("before"), "worker falls": F.col("worker_index") < F.col("worker_before"),
+        "source not covered": F.when(F.col("start").isNull(), F.col("size") > 0).otherwise(F.col("last") & (F.col("end_exclusive") != F.col("size"))),
+    }
+    found = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull())
+    each = rows.select(F.explode(found).alias("fault"), F.col("__source").alias("source_index"), "worker_index", "start")
+    # a row a worker from here on
+    place = F.struct("source_index", "start")
+    workers = plan.groupBy("worker_index").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
+    line = Window.orderBy("worker_index")
+    workers = workers.select("*", F.lag("worker_index", 1, -1).over(line).alias("prior"), F.lag("hi").over(line).alias("prior_hi"))
+    gaps = {"workers not compact": F.col("worker_index") != F.col("prior") + 1, "workers out of order": F.col("lo") <= F.col("prior_hi")}
+    found = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in gaps.items()]), lambda x: x.isNotNull())
+    return each.unionByName(workers.select(F.explode(found).alias("fault"), F.col("lo.source_index").alias("source_index"), "worker_index", F.col("lo.start").alias("start")))
+
+
 def exactly_once(seen: DataFrame, expected: DataFrame, *key: str) -> DataFrame:
     """Keys that were not read as often as expected: (*key, seen, expected). Empty if all is well."""
     counted = [df.groupBy(*key).agg(F.count("*").alias(n)) for df, n in ((seen, "seen"), (expected, "expected"))]

@@ -13,7 +13,7 @@ from .operators import ranges as R
 from .operators import verify as V
 from .plans.files import list_files
 from .scratch import scratch_dir
-from .sources import register
+from .sources import read_documents, register
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -294,7 +294,7 @@ def frame_records(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_partition_ctes(_d(), NL, 4)} SELECT r.key AS doc_id, index, CAST(count(b) AS BIGINT) AS record_offset FROM ranges r LEFT JOIN ends x ON x.key = r.key AND x.b <= r.start GROUP BY 1, 2")
 def record_offsets(spark, sf_dir):
-    return R.record_offsets(R.partitioned(_sources(spark, sf_dir), "data", 4, 10, "doc_id", "data"), "data", "doc_id")
+    return R.record_offsets(_sources(spark, sf_dir), "data", 4, "doc_id")
 
 
 @query("SELECT CAST(item_id AS BIGINT) AS item_id, text AS line FROM benchmark")
@@ -310,9 +310,8 @@ def _talks(spark, sf_dir, record) -> DataFrame:
     lines = _table(spark, sf_dir, "conversations").select("conv_id", "turn", record.alias("line"))
     src = lines.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))), "").alias("t"))
     src = src.select(F.col("conv_id").alias("source_index"), B.utf8(F.col("t")).alias("data"))
-    held = R.payloads(R.partitioned(src, "data", 3, 10, "source_index", "data"), "data")
-    each = held.select("source_index", F.col("index").alias("range_index"), F.posexplode(B.records(F.col("payload"))).alias("local_line", "record"))
-    return D.global_lines(each).withColumn("name", F.concat(F.lit("talk-"), F.col("source_index").cast("string"), F.lit(".jsonl")))
+    each = R.framed_by_range(src, "data", 3, 10, "source_index")
+    return each.withColumn("name", F.concat(F.lit("talk-"), F.col("source_index").cast("string"), F.lit(".jsonl")))
 
 
 _LINES = "l AS (SELECT conv_id, turn, role, text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS line_index FROM conversations)"
@@ -345,7 +344,7 @@ def media_base64(spark, sf_dir):
     return docs.select(F.col("id").cast("long").alias("doc_id"), F.octet_length(F.col("media")[0]).cast("long").alias("n_bytes"), F.md5(F.col("media")[0]).alias("media_md5"))
 
 
-@query(f"WITH {_LINES} SELECT CAST(conv_id AS BIGINT) AS source_index, CAST(count(*) AS BIGINT) AS documents, CAST(sum(length(text)) AS BIGINT) AS doc_len FROM l WHERE text <> '' GROUP BY 1")
+@query(f"WITH {_LINES} SELECT CAST(conv_id AS BIGINT) AS source_index, CAST(1 AS BIGINT) AS input_files, CAST(count(*) AS BIGINT) AS documents, CAST(sum(length(text)) AS BIGINT) AS doc_len FROM l WHERE text <> '' GROUP BY 1")
 def document_stats(spark, sf_dir):
     return D.document_stats(D.json_documents(_talks(spark, sf_dir, F.to_json(F.struct("role", "text"))), name_col="name"))
 
@@ -361,6 +360,22 @@ def _written(spark, lines: DataFrame, parts: int) -> DataFrame:
     return spark.read.format("record_ranges").option("parts", parts).option("path", json.dumps(list_files(path))).load()
 
 
+@query("SELECT role, CAST(count(*) AS BIGINT) AS documents, CAST(sum(length(text)) AS BIGINT) AS doc_len, CAST(count(DISTINCT conv_id || '/' || turn) AS BIGINT) AS ids FROM conversations WHERE text <> '' GROUP BY 1")
+def documents_by_format(spark, sf_dir):
+    talks = _table(spark, sf_dir, "conversations").select(F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("value"))
+    path = scratch_dir(spark)
+    talks.write.text(path)
+    docs = read_documents(spark, list_files(path), 8)
+    own = lambda k: F.element_at("metadata", k)
+    return docs.groupBy(own("role").alias("role")).agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("doc_len"), F.count_distinct("id").alias("ids"))
+
+
+@query(_multi_sql(_d(), NL, 8, "SELECT CAST(count(*) AS BIGINT) AS faults FROM plan WHERE end_exclusive <= start"))
+def worker_plan_faults(spark, sf_dir):
+    src = _indexed(_sources(spark, sf_dir), "doc_id")
+    return V.worker_plan_faults(R.multi_source(src, "data", 8), src, "data").agg(F.count("*").alias("faults"))
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS record_count, CAST(sum(o_custkey) AS BIGINT) AS value_sum, CAST(sum(strlen('{\"id\":' || o_orderkey || ',\"value\":' || o_custkey || '}') + 1) AS BIGINT) AS bytes FROM orders")
 def jsonl_count_sum(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders").select(F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("value"))).alias("value"))

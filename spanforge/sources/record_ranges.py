@@ -16,7 +16,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..model import RECORD_SCHEMA, as_byte, as_parts, as_path
@@ -52,6 +51,8 @@ def _blocks(path: str, start: int, end: int, size: int, delimiter: int) -> Itera
             cut = last + 1 if at < end else len(data)
             whole = b"".join([*held, data[:cut]])
             held = [data[cut:]]
+            if len(whole) >= 1 << 31:
+                raise OSError(f"a record of {path} near {at} has 2 GiB or more")
             ends = np.flatnonzero(np.frombuffer(whole, dtype=np.uint8) == delimiter) + 1
             if not len(ends) or ends[-1] != len(whole):
                 if at < size:
@@ -86,10 +87,17 @@ class RecordReader(DataSourceReader):
                 out[w.worker_index].append((w.worker_index, w.source_index, p, w.start, w.end, sizes[p]))
         return [RangePartition(tuple(r)) for i, r in enumerate(out) if self.worker in (None, i)]
 
+    def blocks(self, index: int, source: int, path: str, start: int, end: int, size: int) -> Iterator[tuple[int, np.ndarray, bytes]]:
+        """_blocks(), whose failures name worker, source and range."""
+        try:
+            yield from _blocks(path, start, end, size, self.delimiter)
+        except OSError as error:
+            raise OSError(f"worker {index}, source {source} ({path}), range [{start}, {end}): {error}") from error
+
     def read(self, partition: RangePartition) -> Iterator[pa.RecordBatch]:
         for index, source, path, start, end, size in partition.ranges:
             line = 0
-            for offset, ends, data in _blocks(path, start, end, size, self.delimiter):
+            for offset, ends, data in self.blocks(index, source, path, start, end, size):
                 n = len(ends)
                 begins = np.concatenate(([0], ends[:-1]))
                 record = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(data)])
@@ -110,5 +118,3 @@ class RecordRanges(DataSource):
         return RecordReader(self.options)
 
 
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(RecordRanges)

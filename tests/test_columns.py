@@ -23,15 +23,15 @@ def got(df, expression):
 
 DELIMITED = [
     (b"", 1024, b"\n", []),
-    (b"hello\nworld\n", 1024, b"\n", [(0, 12)]),
-    (b"aaa\nbbb\nccc\nddd\neee\n", 6, b"\n", [(0, 8), (8, 16), (16, 20)]),
-    (b"aaa\nbbb\ncccccccccccccccc", 4, b"\n", [(0, 8), (8, 24)]),
-    (b"no_newlines_here", 5, b"\n", [(0, 16)]),
-    (b"prefix\0suffix\n", 100, b"\n", [(0, 14)]),
+    (b"first\nother\n", 1024, b"\n", [(0, 12)]),
+    (b"one\ntwo\nsix\nten\nsum\n", 6, b"\n", [(0, 8), (8, 16), (16, 20)]),
+    (b"one\ntwo\nand a long rest.", 4, b"\n", [(0, 8), (8, 24)]),
+    (b"one long record.", 5, b"\n", [(0, 16)]),
+    (b"before\0behind\n", 100, b"\n", [(0, 14)]),
     (b"xxxx\n", 5, b"\n", [(0, 5)]),
     (b"a\r\nb\r\nc\r\n", 4, b"\r\n", [(0, 6), (6, 9)]),
     (b"\r\n\r\n\r\n", 1, b"\r\n", [(0, 4), (4, 6)]),
-    (b"Header: val\r\n\r\nbody", 1024, b"\r\n\r\n", [(0, 19)]),
+    (b"Subject: x1\r\n\r\ntext", 1024, b"\r\n\r\n", [(0, 19)]),
     (b"a||b||c||d", 4, b"||", [(0, 6), (6, 10)]),
     (bytes.fromhex("AB00FF00CD00FF00EF"), 4, bytes.fromhex("00FF00"), None),
     (b"hi", 1024, b"\r\n\r\n\r\n", [(0, 2)]),
@@ -48,8 +48,8 @@ def test_delimited_golden(spark, data, size, pattern, want):
 PARTITION = [
     (b"", 4, 10, []),
     (b"a\nb\nc\n", 1 << 40, 10, [(0, 2), (2, 4), (4, 6)]),
-    (b"hello\nworld\n", 1, 10, [(0, 12)]),
-    (b"no_newlines_here", 8, 10, [(0, 16)]),
+    (b"first\nother\n", 1, 10, [(0, 12)]),
+    (b"one long record.", 8, 10, [(0, 16)]),
     (b"a" * 20 + b"\nb\n", 8, 10, [(0, 21), (21, 23)]),
     (b"a\n\n\nb\n", 8, 10, [(0, 2), (2, 4), (4, 6)]),
     (b"aa\nbbbb\ncccccccccccc\ndd\n", 4, 10, [(0, 8), (8, 21), (21, 24)]),
@@ -126,6 +126,69 @@ def test_binary_framing(spark):
     assert [(r["k"], r["offset"], bytes(r["record"])) for r in rows] == [(0, 0, b"ab"), (0, 3, b"cd"), (0, 6, b""), (0, 7, b"\x80e"), (2, 0, b"")]
 
 
+def test_search_beyond_the_first_block(spark, monkeypatch):
+    monkeypatch.setattr(B, "SEARCH_BLOCK", 4)
+    rng = random.Random(8)
+    data = random_data(rng, 200) + [b"x" * 50 + b"\n" + b"y" * 3]
+    df = frame(spark, data)
+    for parts in (2, 5, 100):
+        assert got(df, B.partition_ranges(F.col("data"), parts, 10)) == [S.partition(d, parts, 10) for d in data]
+    rows = R.multi_source(df.withColumnRenamed("k", "source_index"), "data", 7).orderBy("worker_index", "source_index").collect()
+    assert [tuple(r)[:4] for r in rows] == S.multi(data, 7, 10)
+
+
+def test_many_parts_meet_by_key(spark, monkeypatch):
+    monkeypatch.setattr(R, "BROADCAST_PARTS", 2)
+    data = random_data(random.Random(5), 12)
+    rows = R.multi_source(frame(spark, data).withColumnRenamed("k", "source_index"), "data", 9).orderBy("worker_index", "source_index").collect()
+    assert [tuple(r)[:4] for r in rows] == S.multi(data, 9, 10)
+
+
+def test_records_by_range_and_offsets(spark):
+    data = [d for d in random_data(random.Random(9), 60) if d]
+    df = frame(spark, data)
+    rows = R.framed_by_range(df, "data", 4, 10, "k").orderBy("k", "line_index").collect()
+    firsts = {(r["k"], r["index"]): r["record_offset"] for r in R.record_offsets(df, "data", 4, "k").collect()}
+    for k, d in enumerate(data):
+        lines = d.split(b"\n")[: None if d[-1:] != b"\n" else -1]
+        mine = [r for r in rows if r["k"] == k]
+        assert [bytes(r["record"]) for r in mine] == lines and [r["line_index"] for r in mine] == list(range(len(lines)))
+        plan = S.partition(d, 4, 10)
+        assert [next(i for i, (a, b) in enumerate(plan) if a <= r["offset"] < b or a <= r["offset"] == b == len(d)) for r in mine] == [r["range_index"] for r in mine]
+        assert [firsts[k, i] for i in range(len(plan))] == [d[:a].count(b"\n") for a, _ in plan]
+
+
+def test_strict_records(spark):
+    df = frame(spark, [b"a\nb\n", b"", b"a"])
+    assert [len(r["r"]) for r in df.select("k", B.records(F.col("data"), 10, strict=True).alias("r")).orderBy("k").collect()] == [2, 0, 1]
+    assert [bytes(x) for x in frame(spark, [b"a\n\nb"]).select(B.records(F.col("data")).alias("r")).first()["r"]] == [b"a", b"", b"b"]
+    with pytest.raises(Exception, match="empty record"):
+        frame(spark, [b"a\n\nb"]).select(B.records(F.col("data"), 10, strict=True)).collect()
+
+
+def test_worker_plan_faults(spark):
+    data = [b"ab\ncd\nef\n", b"", b"x\ny\nz"]
+    df = frame(spark, data).withColumnRenamed("k", "source_index")
+    schema = "worker_index long, source_index long, start long, end_exclusive long, length long"
+
+    def faults(rows):
+        return {r["fault"] for r in V.worker_plan_faults(spark.createDataFrame(rows, schema), df, "data").collect()}
+
+    for parts in (1, 2, 3, 50):
+        assert V.worker_plan_faults(R.multi_source(df, "data", parts), df, "data").collect() == []
+    good = [(0, 0, 0, 6, 6), (1, 0, 6, 9, 3), (1, 2, 0, 5, 5)]
+    assert faults(good) == set()
+    assert faults(good[:2]) == {"source not covered"}
+    assert faults([(0, 0, 0, 5, 5), (1, 0, 5, 9, 4), (1, 2, 0, 5, 5)]) == {"start splits a record", "end splits a record"}
+    assert faults([(0, 0, 0, 6, 7), *good[1:]]) == {"length"}
+    assert faults([(0, 0, 0, 3, 3), (1, 0, 6, 9, 3), (1, 2, 0, 5, 5)]) == {"gap or overlap"}
+    assert faults([*good, (2, 7, 0, 1, 1)]) == {"unknown source"}
+    assert faults([*good[:2], (3, 2, 0, 5, 5)]) == {"workers not compact"}
+    assert faults([(1, 0, 0, 6, 6), (0, 0, 6, 9, 3), (1, 2, 0, 5, 5)]) >= {"worker falls"}
+    assert faults([(0, 0, 0, 9, 9), (1, 2, 0, 2, 2), (1, 2, 2, 2, 0), (1, 2, 2, 8, 6)]) >= {"empty range", "out of bounds"}
+    assert faults([(1, 0, 0, 9, 9), (0, 2, 0, 5, 5)]) == {"workers out of order"}
+
+
 def test_worker_outside_the_request(spark):
     ranges = R.partitioned(frame(spark, [b"a\nb\n"]), "data", 4, 10, "k")
     assert R.worker(ranges, 3, 4).count() == 0

@@ -86,7 +86,8 @@ def test_errors(tmp_path):
     with pytest.raises(TypeError):
         as_path(3)
     with pytest.raises(ValueError):
-        Range(0, 4, 4)
+        Range(0, 4, 3)
+    assert Range(0, 4, 4).length == 0
     broken = Plan(path, 2, 1, 10, (Range(0, 0, 1),))
     with open(path, "rb") as f, pytest.raises(PlanError):
         files.check_plan(broken, f)
