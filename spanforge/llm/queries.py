@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, topk
+from . import dedup, jaccard, mixing, repeats, topk
 from .common import scratch_dir, table
 
 
@@ -41,9 +41,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .repeats import Repeats
+    from .repeats import remove_repeats
 
-    return Repeats(table(spark, sf_dir, "documents")).removal()
+    return remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,7 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup.exact_dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return dedup.exact_dedup(table(spark, sf_dir, "documents"), keep_columns=False)
 
 
 def op9_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +79,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_top_k": topk.ORACLE, "op8_exact_dedup": dedup.ORACLE}
+    return {"op4_jaccard": jaccard.ORACLE, "op5_mixing": mixing.ORACLE, "op6_repeats": repeats.ORACLE, "op7_top_k": topk.ORACLE, "op8_exact_dedup": dedup.ORACLE}

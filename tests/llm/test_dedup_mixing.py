@@ -45,9 +45,20 @@ def test_dedup_awkward(awkward, nothing):
 
 
 def test_dedup_filter_spares_single_rows(spark):
-    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
-    bitmap = dedup.repeat_bitmap(docs, "text", 1 << 16)
-    assert bitmap.agg(F.sum(F.bit_count("bits"))).first()[0] < 1000  # of 5000 rows in 65536 slots few share one
+    hashed = spark.range(5000).select(F.unhex(F.sha2(F.col("id").cast("string").cast("binary"), 256)).alias("__sha"))
+    bitmap = dedup.repeat_bitmap(hashed, 1 << 16)
+    bits = bitmap.select(F.explode("words").alias("w")).agg(F.sum(F.bit_count("w"))).first()[0]
+    assert 0 < bits < 1000  # of 5000 rows in 65536 slots few share one
+    assert dedup._tested(hashed, bitmap, 1 << 16).where("__maybe").count() < 100
+    twice = hashed.unionByName(hashed.limit(700))
+    assert dedup._tested(twice, dedup.repeat_bitmap(twice, 1 << 16), 1 << 16).where("__maybe").count() >= 1400
+
+
+def test_dedup_without_columns(awkward):
+    got = dedup.exact_dedup(awkward, keep_columns=False)
+    rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
+    assert got.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    assert sorted(map(tuple, got.collect()), key=repr) == dedup_brute(rows)
 
 
 def words(t):
