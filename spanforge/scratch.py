@@ -11,12 +11,15 @@ from pyspark.sql import SparkSession
 def scratch_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in tests, a local folder is taken and set.
+    Only where that setting is absent and all runs in one process, as in tests, a local folder is taken and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if not base:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="spanforge-")
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/spanforge-{uuid.uuid4().hex}"
