@@ -21,12 +21,22 @@ from spanforge.llm.common import materialise, one_of_each, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the classifier, fitted on the labelled ones among docs, doesn't reject.
+
+    A null text counts as empty, a very long one is read whole; rows that repeat text fare alike, whatever their ids; any column
+    names will do. Without labels all rows score the share of good ones. An empty table gives an empty one.
+    """
     weights = quality.train(docs, table(spark, sf_dir, "labels"))
     scored = quality.add_scores(docs, weights, score_col="__score")
     return scored.where(F.col("__score") >= quality.THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts: that of the largest id.
+
+    A null text equals an empty one; a null id is less than any. Of rows that tie, as with repeated ids or null ids only, the one of the least
+    digest of all columns stays. Very long texts meet by their digests. An empty table gives an empty one.
+    """
     found = dedup.exact_dedup(docs, own_names=("__keep_id", "__group_size", "__kept", "__sha256")).where("__kept")
     # of rows that share the largest id, or have none, one stays
     groups = one_of_each(found.where("__group_size > 1"), [F.col("__sha256")], docs.columns)
@@ -34,14 +44,29 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of similar texts: that of the least id, and of the least text digest where ids repeat.
+
+    Null and empty texts have no shingles and all stay; a null id is greater than any; very long texts count whole. An empty
+    table gives an empty one.
+    """
     return jaccard.one_of_each_class(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows as often as the sources' targets ask for.
+
+    Null and empty texts have no words and go; a null source is one of its own; a very long text counts with all its words; rows that tie may stand in
+    for one another. An empty table gives an empty one.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row of digests for each row: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    A null or empty text has no ids; a very long one is encoded whole; repeated rows give repeated results; a null id stays null;
+    other columns are left behind. An empty table gives an empty one.
+    """
     return bpe.bpe_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
