@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, worker_keeps
+from .common import Bounded, give_memory_back, materialise, small_batches, worker_keeps
 
 END_ID = 1
 PART_BYTES = 32 << 20
-CACHE_WORDS = 700_000
+CACHE_BYTES = 160 << 20
 CHUNK_WORDS = 4096
 
 ORC_OPTIONS = {
@@ -49,7 +49,7 @@ def byte_letters() -> dict[int, str]:
 
 class WordEncoder:
     """Encodes the space-separated words of texts with a tokenizers file that drops white space and lower-cases, so that
-    a text's ids are those of its words in turn. Words are encoded once and kept, up to CACHE_WORDS.
+    a text's ids are those of its words in turn. Words are encoded once and kept, up to CACHE_BYTES.
 
     A word of letters is one piece and goes straight to the library's merges, in the byte letters that its pre-tokenizer would make;
     with signs at its end it is two pieces; any other word, and every word of a file of another make, takes the library's whole way.
@@ -69,7 +69,7 @@ class WordEncoder:
         if self.direct:
             self.tok.model._resize_cache(0)  # words come once
         self.letters = byte_letters()
-        self.known: dict[bytes, bytes] = {}
+        self.known = Bounded(CACHE_BYTES)
 
     def _letters(self, word: bytes) -> str | None:
         """The word in byte letters if it is one piece, else None."""
@@ -91,7 +91,7 @@ class WordEncoder:
             if letters is None:
                 return False
             ids = [t.id for t in merge(letters)]
-            known[word] = pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, dtype="<u4").tobytes()
+            known.put(word, pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, dtype="<u4").tobytes(), len(word) + 4 * len(ids))
             return True
 
         for w in words:
@@ -109,9 +109,9 @@ class WordEncoder:
             ids, word = np.array(got.ids, dtype="<u4"), np.array(got.word_ids, dtype=np.int64)
             cut = np.searchsorted(word, np.arange(len(part) + 1))
             for k, w in enumerate(part):
-                known[w] = ids[cut[k] : cut[k + 1]].tobytes()
+                known.put(w, ids[cut[k] : cut[k + 1]].tobytes(), len(w) + 4 * int(cut[k + 1] - cut[k]))
         for w, stem, tail in tails:
-            known[w] = known[stem] + known[tail]
+            known.put(w, known[stem] + known[tail], len(w) + len(known[stem]) + len(known[tail]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -126,8 +126,7 @@ class WordEncoder:
                 rows.append(raw.split())  # bytes.split() takes the ASCII white space only
                 chars += len(raw)
                 at += 1
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
+            self.known.make_room()
             get = self.known.get
             found = [list(map(get, r)) for r in rows]
             gaps = [[i for i, x in enumerate(f) if x is None] for f in found]
@@ -150,26 +149,29 @@ def _encode(path: str, end_id: int):
                 rows = [r + end for r in encoder.encode([x or "" for x in part.column(2).to_pylist()])]
                 offsets = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int32)
                 values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(rows))])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "part", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "part", "h", "ids"])
+        give_memory_back()
 
     return run
 
 
 def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, text: str = "text", id_col: str = "doc_id", part_bytes: int = PART_BYTES) -> None:
-    """Writes (doc_id, part, ids) in ascending doc_id order; part numbers the ranges of ids.
+    """Writes (doc_id, part, h, ids) in ascending doc_id order, equal ids by h, a hash of the text; part numbers the ranges of both.
 
-    A null text is empty and has the end id only. A null id comes first. Rows with the same id all
-    stay. Extra columns are ignored. An empty table gives files without rows.
+    A null text is empty and has the end id only; a very long one is encoded whole. A null id comes first. Rows with the same id all
+    stay, and many of them, or many null ids, fill several files. Extra columns are ignored. An empty table gives files without rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text].alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
-    dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    dealt.select("doc_id", F.spark_partition_id().alias("part"), "text").mapInArrow(_encode(tokenizer, end_id), "doc_id long, part int, ids array<int>").write.options(**ORC_OPTIONS).orc(path)
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    dealt.select("doc_id", F.spark_partition_id().alias("part"), "text", "h").mapInArrow(_encode(tokenizer, end_id), "doc_id long, part int, h long, ids array<int>").write.options(**ORC_OPTIONS).orc(path)
 
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("doc_id long, part int, ids array<int>").orc(path)
+    return spark.read.schema("doc_id long, part int, h long, ids array<int>").orc(path)
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
@@ -182,18 +184,18 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(2)
+            ids = batch.column(3)
             values, offs = ids.values.to_numpy().astype("<u4", copy=False), ids.offsets.to_numpy()
             crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offs[:-1], offs[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offs).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "part", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(offs).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "part", "h", "n_tokens", "ids_crc32"])
 
-    each = materialise(read_token_ids(spark, path).mapInArrow(run, "doc_id long, part int, n_tokens long, ids_crc32 long"))
+    each = materialise(read_token_ids(spark, path).mapInArrow(run, "doc_id long, part int, h long, n_tokens long, ids_crc32 long"))
     totals = sorted(each.groupBy("part").agg(F.sum("n_tokens")).collect())  # one row a range of ids
     before, rows = 0, []
     for part, n in totals:
         rows.append((part, before))
         before += n
     base = spark.createDataFrame(rows, "__part int, __base long")
-    order = Window.partitionBy("part").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("part").orderBy("doc_id", "h", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, 0)
     out = each.join(F.broadcast(base), F.expr("part = __part"))
     return out.select("doc_id", (F.col("__base") + F.sum("n_tokens").over(order) - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -38,6 +40,7 @@ LINE_END = re.compile(r"([A-Za-z0-9+/_-]++)(?:[ \t]*+(?:\r\n|[\r\n]|\\r\\n|\\n)[
 #: Bytes in URL form; those that need no quoting may stand plainly.
 QUOTED = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/!*'()@+^-])++")
 UNIT = re.compile(r"%..|.")
+VISIBLE = re.compile(rb"[\x20-\x7e\t\r\n]{12}")
 MAGIC = re.compile(rb"\x1f\x8b|x[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00")
 #: A decompressed layer above this many bytes is scanned in blocks that overlap by a quarter, and counted in n_unopened, as what is
 #: encoded in it is opened only where it lies within a block.
@@ -45,7 +48,7 @@ MAX_LAYER_BYTES = 64 << 20
 BLOCK_BYTES = 4 << 20
 
 END = object()
-Layer = tuple[str, "np.ndarray | None", "np.ndarray | None", frozenset]
+Layer = tuple[str, "np.ndarray | None", "np.ndarray | None"]
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -153,8 +156,22 @@ def _as_text(raw: bytes) -> str | None:
 
 
 def _start_as_text(raw: bytes) -> str | None:
-    """As _as_text, of bytes that may end within a character."""
-    return next((t for k in range(4) if (t := _as_text(raw[: len(raw) - k])) is not None), None)
+    """As _as_text, of bytes that may end within a character; a character a byte if they are no text."""
+    if VISIBLE.search(raw) is None:
+        return None
+    return next((t for k in range(4) if (t := _as_text(raw[: len(raw) - k])) is not None), None) or raw.decode("latin-1")
+
+
+def _view(raw: bytes) -> tuple[str, np.ndarray] | None:
+    """(raw as text, offset of each character's bytes): as UTF-8, or else a character a byte. None if no secret and no form of one
+    can stand in it, as all take a dozen visible characters in a row."""
+    if VISIBLE.search(raw) is None:
+        return None
+    try:
+        text = raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode("latin-1"), np.arange(len(raw) + 1)
+    return text, _char_bytes(text)
 
 
 def _base64_bytes(token: str) -> bytes | None:
@@ -201,7 +218,7 @@ def _char_bytes(text: str) -> np.ndarray:
 
 def _replaced(layer: Layer, pieces: list[tuple[int, int, str, list[int]]]) -> tuple[str, np.ndarray, np.ndarray]:
     """The layer with pieces (start, end, decoded, source offset of each decoded character, end last) put in."""
-    text, starts, ends, _ = layer
+    text, starts, ends = layer
     parts, first, last, at = [], [], [], 0
     for s, e, new, offs in [*pieces, (len(text), len(text), "", [len(text)])]:
         keep = np.arange(at, s)
@@ -217,7 +234,7 @@ def _replaced(layer: Layer, pieces: list[tuple[int, int, str, list[int]]]) -> tu
 
 def _unwrap(layer: Layer, limit: int) -> Iterator[tuple[str, np.ndarray, np.ndarray] | None]:
     """The layers directly inside; None for one that is too large to open or cut off."""
-    text, starts, ends, _ = layer
+    text, starts, ends = layer
 
     opened: list[tuple[int, int]] = []
     shut: dict[int, int] = {}
@@ -249,7 +266,7 @@ def _unwrap(layer: Layer, limit: int) -> Iterator[tuple[str, np.ndarray, np.ndar
             opened.append((s, e))
         elif _as_text(inner) is None:
             shut[s] = e
-        if (plain := _as_text(out) if fine else _start_as_text(out)) is not None:
+        if (plain := _start_as_text(out)) is not None:
             yield all_of(plain, s, e)
 
     if "%" in text:
@@ -292,25 +309,25 @@ def _unwrap(layer: Layer, limit: int) -> Iterator[tuple[str, np.ndarray, np.ndar
             token = "".join(text[a:b] for a, b in lines)
             if (raw := _base64_bytes(token)) is None:
                 continue
-            before, plain = len(opened), _as_text(raw)
-            if plain is None and MAGIC.match(raw) is None:
+            before, view = len(opened), _view(raw)
+            if view is None and MAGIC.match(raw) is None:
                 continue
             place = np.concatenate([np.arange(a, b) for a, b in lines])
             yield from whole(raw, lines[0][0], lambda n, place=place: int(place[min((n * 4 + 2) // 3, len(place)) - 1]) + 1)
-            if plain is not None:
-                at = _char_bytes(plain)
+            if view is not None:
+                plain, at = view
                 first, last = place[at[:-1] * 4 // 3], place[np.minimum((at[1:] * 4 + 2) // 3, len(token)) - 1]
                 yield (plain, first, last + 1) if starts is None else (plain, starts[first], ends[last])
-            if plain is not None or len(opened) > before:
+            if (view is not None and _as_text(raw) is not None) or len(opened) > before:
                 break
     for m in BASE64.finditer(text):
         token = m[0].rstrip("=")
         if (raw := _base64_bytes(token)) is None:
             continue
         yield from whole(raw, m.start(), lambda n, m=m: m.end())
-        if (plain := _as_text(raw)) is None:
+        if (view := _view(raw)) is None:
             continue
-        at = _char_bytes(plain)
+        plain, at = view
         first, last = m.start() + at[:-1] * 4 // 3, m.start() + np.minimum((at[1:] * 4 + 2) // 3, len(token)) - 1
         yield (plain, first, last + 1) if starts is None else (plain, starts[first], ends[last])
     yield from (None for s, e in shut.items() if not any(a <= s and e <= b for a, b in opened))
@@ -323,28 +340,28 @@ def find_secrets(text: str | None, limit: int = MAX_LAYER_BYTES) -> tuple[list,
     found, layers, closed = set(base), 1, 0
     digest = lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
     seen: set = set()
-    top: Layer = (text, None, None, frozenset())
-    work = [(top, _unwrap(top, limit))]  # depth first: of a large layer one block at a time is held
+    path = {digest(text)}  # of the layers around the present one
+    work = [(digest(text), _unwrap((text, None, None), limit))]  # depth first: of a large layer one block at a time is held
     while work:
-        layer, inside = work[-1]
+        own, inside = work[-1]
         inner = next(inside, END)
         if inner is END:
             work.pop()
+            path.discard(own)
             continue
         if inner is None:
             closed += 1
             continue
-        mine = layer[3] | {digest(layer[0])}
         new, starts, ends = inner
         key = digest(new)
         # a layer that contains itself is a cycle; the same content at the same place was seen
-        if key in mine or (key, int(starts[0]), int(ends[-1])) in seen:
+        if key in path or (key, int(starts[0]), int(ends[-1])) in seen:
             continue
         seen.add((key, int(starts[0]), int(ends[-1])))
         layers += 1
         found.update((int(starts[s]), k, int(ends[e - 1])) for s, k, e in scan(new))
-        below: Layer = (new, starts, ends, mine)
-        work.append((below, _unwrap(below, limit)))
+        path.add(key)
+        work.append((key, _unwrap((new, starts, ends), limit)))
     return base, sorted(found), layers, closed
 
 
@@ -360,8 +377,8 @@ def _joined(spans: list) -> str:
 
 
 def secret_scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per document with its secrets. A null or empty text has none; extra columns are ignored;
-    repeated rows give repeated results; a null id stays null."""
+    """One row per document with its secrets. A null or empty text has none, a very long one is scanned whole; extra columns are ignored;
+    repeated rows give repeated results; a null id stays null; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,4 +394,5 @@ def secret_scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
                 out["n_unopened"].append(closed)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.int64()) for f in RESULT]))
 
+    small_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long"), docs[text]).mapInArrow(run, RESULT)

@@ -79,6 +79,21 @@ def test_cycles_and_limits_end():
     assert S.find_secrets(nested)[2] == 9 and S.find_secrets(nested)[1]
 
 
+def test_layers_that_are_hardly_text():
+    """A secret among control characters, or in bytes that are no UTF-8."""
+    for raw in (bytes(range(1, 32)) * 3 + KEY.encode() + bytes(range(1, 32)), b"\xff\xfe\x00\x81" * 9 + KEY.encode() + b"\xc3\x28" * 9):
+        for coded in (base64.b64encode(raw).decode(), base64.b64encode(gzip.compress(raw, mtime=0)).decode(), lines_of(raw, 64)):
+            assert "assign" in [k for k, _ in spans_of(f"<{coded}>")], coded
+
+
+def test_many_escapes_of_one_sign():
+    import time
+
+    began = time.process_time()
+    _, _, layers, _ = S.find_secrets("%" + "25" * 4000 + "41" + " " + KEY)
+    assert layers == 4002 and time.process_time() - began < 20
+
+
 def test_scan_awkward(awkward, nothing):
     assert S.secret_scan(awkward).count() == 10
     assert S.secret_scan(awkward).where("spans <> ''").count() == 0

@@ -38,16 +38,20 @@ def test_word_ids_of_another_make():
     assert [np.frombuffer(r, dtype="<u4").tolist() for r in ours.encode(TEXTS)] == [tok.encode(t, add_special_tokens=False).ids for t in TEXTS]
 
 
-def expected(rows):
+def check_files(rows, got):
+    """rows (id, text); got (id, start, n, crc) in any order: ids ascend, starts add up, and every row has its ids."""
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(WORDS)
-    out, at = [], 0
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, len(tok.encode(r[1] or "", add_special_tokens=False).ids))):
+    tok, want = Tokenizer.from_file(WORDS), []
+    for i, t in rows:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
-        out.append((i, at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
-        at += len(ids)
-    return out
+        want.append((i, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+    got, at = sorted(got, key=lambda r: r[1]), 0
+    for _, start, n, _ in got:
+        assert start == at
+        at += n
+    order = [(r[0] is not None, r[0] or 0) for r in got]
+    assert order == sorted(order) and sorted(((r[0], r[2], r[3]) for r in got), key=repr) == sorted(want, key=repr)
 
 
 @pytest.mark.parametrize("part_bytes", [1 << 30, 500])
@@ -57,23 +61,48 @@ def test_files(spark, part_bytes):
     rng.shuffle(rows)
     path = scratch_dir(spark)
     orc_tokens.write_token_ids(spark.createDataFrame(rows, "doc_id long, text string"), path, WORDS, part_bytes=part_bytes)
-    assert sorted(map(tuple, orc_tokens.token_digests(spark, path).collect())) == expected(rows)
+    check_files(rows, map(tuple, orc_tokens.token_digests(spark, path).collect()))
     found = orc_tokens.lookup(spark, path, [30, 33, 31])
     assert sorted(r["doc_id"] for r in found.collect()) == [30, 33]
-    assert "PushedFilters: [In(doc_id" in found._jdf.queryExecution().toString() or "In(doc_id" in found._jdf.queryExecution().toString()
+    assert "In(doc_id" in found._jdf.queryExecution().toString()
 
 
-def test_files_have_bloom_filters_and_stripes(spark):
-    import glob
+def rows_scanned(df):
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return leaves.head().metrics().apply("numOutputRows").value()
 
-    import pyarrow.orc as orc
+
+def test_files_have_bloom_filters_run_lengths_and_stripes(spark, monkeypatch):
+    import glob
 
     path = scratch_dir(spark)
-    orc_tokens.write_token_ids(spark.range(3000).selectExpr("id as doc_id", "concat('word', id, ' some text') as text"), path, WORDS)
+    monkeypatch.setitem(orc_tokens.ORC_OPTIONS, "orc.stripe.size", str(1 << 18))
+    docs = spark.range(60_000).selectExpr("id * 2 as doc_id", "concat('word', id, ' some text ', sha2(cast(id as string), 256)) as text")
+    orc_tokens.write_token_ids(docs, path, WORDS)
     (name,) = glob.glob(path.removeprefix("file://") + "/*.orc")
-    f = orc.ORCFile(name)
-    assert f.nrows == 3000 and f.compression == "SNAPPY" and f.row_index_stride == 1000 and f.nstripes >= 1
-    assert b"doc_id" in open(name, "rb").read()
+    java = spark._jvm.org.apache
+    reader = java.orc.OrcFile.createReader(java.hadoop.fs.Path(name), java.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+    assert reader.getNumberOfRows() == 60_000 and reader.getRowIndexStride() == 1000 and reader.getStripes().size() > 1
+    footer = reader.rows().readStripeFooter(reader.getStripes().get(0))
+    doc_id = list(reader.getSchema().getFieldNames()).index("doc_id") + 1
+    kinds = {(x.getColumn(), str(x.getKind())) for x in footer.getStreamsList()}
+    assert {(doc_id, "ROW_INDEX"), (doc_id, "BLOOM_FILTER_UTF8"), (doc_id, "DATA")} <= kinds
+    assert str(footer.getColumns(doc_id).getKind()) == "DIRECT_V2" == str(footer.getColumns(reader.getSchema().getMaximumId()).getKind())  # run lengths
+    assert rows_scanned(orc_tokens.read_token_ids(spark, path)) == 60_000
+    found = orc_tokens.lookup(spark, path, [30_000])
+    assert rows_scanned(found) <= 1024 and [r["doc_id"] for r in found.collect()] == [30_000]  # a row group
+    assert rows_scanned(orc_tokens.lookup(spark, path, [30_001])) <= 1024  # between two ids: Bloom filter and statistics
+    assert rows_scanned(orc_tokens.lookup(spark, path, [500_000])) == 0
+
+
+def test_many_rows_without_ids_fill_several_parts(spark):
+    path = scratch_dir(spark)
+    rows = [(None if k % 3 else k, f"text {k} of many words") for k in range(600)]
+    orc_tokens.write_token_ids(spark.createDataFrame(rows, "doc_id long, text string"), path, WORDS, part_bytes=2000)
+    got = orc_tokens.token_digests(spark, path)
+    check_files(rows, map(tuple, got.collect()))
+    assert orc_tokens.read_token_ids(spark, path).where("doc_id is null").select("part").distinct().count() > 2
 
 
 def test_files_awkward(spark, awkward, nothing):
@@ -81,9 +110,7 @@ def test_files_awkward(spark, awkward, nothing):
         path = scratch_dir(spark)
         orc_tokens.write_token_ids(df, path, WORDS)
         rows = [(r["doc_id"], r["text"]) for r in df.collect()]
-        got = sorted(map(tuple, orc_tokens.token_digests(spark, path).collect()), key=lambda r: r[1])
-        want = expected(rows)
-        assert [(r[0], r[1], r[2]) for r in got] == [(r[0], r[1], r[2]) for r in want]
+        check_files(rows, map(tuple, orc_tokens.token_digests(spark, path).collect()))
 
 
 def reference_encoding():
@@ -100,18 +127,36 @@ def test_bpe():
         assert csv.decode() == ",".join(map(str, enc.encode_ordinary(t))) and decoded == t.encode()
 
 
-def test_long_pieces_by_query_and_by_heap_agree(monkeypatch):
+def test_long_pieces_in_windows(monkeypatch):
+    """Windows that join, windows that don't, and both queries, against the library's whole-piece encoding."""
     enc, ours = reference_encoding(), bpe.Encoder(RANKS, P.PATTERN)
     rng = random.Random(2)
-    for _ in range(20):
-        p = bytes(rng.choice(b"abcaab\xc3\xa9") for _ in range(rng.randrange(2, 200)))
-        by_query = ours._query([p])[0]
-        assert [int(x) for x in by_query[0].split(b",")] == ours._heap(p) and by_query[1] == p
-    assert ours._heap(b"ab" * 2000) == enc.encode_single_piece(b"ab" * 2000) if hasattr(enc, "encode_single_piece") else True
+    pieces = [bytes(rng.choice(b"abcaab\xc3\xa9") for _ in range(rng.randrange(2, 200))) for _ in range(30)]
+    pieces += [bytes(rng.choice(b"etaoinshrdlu") for _ in range(rng.randrange(200, 1200))) for _ in range(4)]
+    pieces += [unit * (n // len(unit)) for unit in (b"a", b"ab", b"abc", b"haha-", b"=", b"\xe6\x97\xa5", b"lalol", b"x" * 7 + b"y") for n in (193, 1001)]
+    pieces += [b"q" * 700 + bytes(rng.choice(b"etaoinshrdlu") for _ in range(900)) + b"ab" * 400 + b"q" * 333]
+    for p in pieces:
+        want = enc._core_bpe.encode_single_piece(p)
+        for step in (bpe.LONG_PIECE, 40):
+            monkeypatch.setattr(bpe, "LONG_PIECE", step)
+            if len(p) > step:
+                assert list(map(int, ours._long(p)[0].split(b","))) == want, p[:60]
+            monkeypatch.undo()
+        assert [int(x) for x in ours._query([p], bpe.MERGE_ALL)[0][0].split(b",")] == want
+        if len(p) < 600:
+            assert [int(x) for x in ours._query([p])[0][0].split(b",")] == want
+
+
+def test_one_very_long_piece():
+    rng = random.Random(3)
+    text = "".join(rng.choice("etaoinshrdlucmfw") for _ in range(60_000))
+    ours = bpe.Encoder(RANKS, P.PATTERN)
+    ((csv, decoded),) = ours.encode([text])
+    assert csv.decode() == ",".join(map(str, reference_encoding().encode_ordinary(text))) and decoded == text.encode()
 
 
 def test_small_cache(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_PIECES", 3)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1000)
     monkeypatch.setattr(bpe, "SLICE_CHARS", 10)
     monkeypatch.setattr(bpe, "POSITIONS", 5)
     enc, ours = reference_encoding(), bpe.Encoder(RANKS, P.PATTERN)
