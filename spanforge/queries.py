@@ -401,3 +401,11 @@ def exactly_once(spark, sf_dir):
 @query("SELECT sha256(string_agg(line, '' ORDER BY n_regionkey, n_nationkey)) AS checksum FROM (SELECT n_regionkey, n_nationkey, n_regionkey || ':' || n_nationkey || ':' || count(*) || chr(10) AS line FROM nation GROUP BY 1, 2)")
 def sorted_checksum(spark, sf_dir):
     return V.sorted_checksum(_table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey")
+
+
+_HALF = "CAST(sum(CAST('0x' || substr(md5(o_orderkey || ':' || o_custkey), {}, 15) AS HUGEINT)) AS VARCHAR)"
+
+
+@query(f"SELECT CAST(count(*) AS BIGINT) AS n, {_HALF.format(1)} AS high, {_HALF.format(16)} AS low FROM orders")
+def additive_checksum(spark, sf_dir):
+    return V.additive_checksum(_table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey")
