@@ -5,16 +5,19 @@ joins neighbouring rows with the merge table, contracts each piece's leftmost pa
 rank and goes on with the pieces that changed until none does. Ordered aggregation over
 position gives each piece's ids, and, joined with the vocabulary, its decoded bytes.
 
-Pieces are encoded once per worker and kept in a table of bounded size. The recursion takes as
-many rounds as a piece has merges, so a single piece above LONG_PIECE bytes, which ordinary text
-doesn't have, is merged with a heap instead.
+Pieces are encoded once per worker and kept in a table of at most CACHE_BYTES.
+
+The recursion takes as many rounds as a piece has merges, so a piece of more than LONG_PIECE bytes, which ordinary text seldom has,
+is encoded in windows that overlap by half. Two windows join at a token that both have at the same place: then any two neighbours of the result
+are neighbours in the encoding of one window, so no merge crosses an edge between them, and each token is made of its own bytes alone; that is
+the encoding of the whole. Windows without such a token, as texts of one repeated sign can have, become one window, whose query
+contracts all pairs of least rank in a round where that comes to the same (MERGE_ALL).
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,33 +25,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import worker_keeps
+from .common import Bounded, give_memory_back, small_batches, worker_keeps
+
+CACHE_BYTES = 96 << 20
+SLICE_CHARS = 1_000_000
+POSITIONS = 100_000
+#: Bytes of a window, twice the step from one to the next.
+LONG_PIECE = 192
 
-CACHE_PIECES = 450_000
-SLICE_CHARS = 2_000_000
-POSITIONS = 400_000
-LONG_PIECE = 1024
+_OUT = """
+SELECT s.w, array_to_string(list(s.t ORDER BY p), ',') AS ids, unhex(string_agg(v.hex, '' ORDER BY p)) AS decoded
+FROM s JOIN vocab v ON v.id = s.t WHERE done GROUP BY s.w
+"""
 
-# The rows of a step are put in order of piece and position at its end, so that lead() and lag() over ()
-# see neighbours without sorting again; a row only pairs with one that starts where it ends, and
-# encode() checks that what comes out covers every piece.
-MERGE = """
+# A row is a token of piece w at [p, e). Its neighbour is the row that begins where it ends.
+MERGE = f"""
 WITH RECURSIVE s(done, w, p, e, t) AS (
   SELECT false, w, p, p + 1, t FROM start
   UNION ALL
   SELECT * FROM (
-    WITH pair AS MATERIALIZED (
-      SELECT w, p, e, t, lead(t) OVER () AS nt, lead(w) OVER () AS nw, lead(p) OVER () AS np, lead(e) OVER () AS ne,
-             CASE WHEN lag(w) OVER () = w THEN lag(p) OVER () END AS pp FROM s WHERE NOT done),
+    WITH live AS MATERIALIZED (SELECT (w::BIGINT << 32) | p::BIGINT AS at, w, p, e, t FROM s WHERE NOT done),
     ranked AS MATERIALIZED (
-      SELECT pair.*, m.id FROM pair LEFT JOIN merges m ON m.pair = CASE WHEN nw = w AND np = e THEN (t::BIGINT << 32) | nt::BIGINT END),
+      SELECT a.w, a.p, b.e, b.at AS gone, m.id FROM live a JOIN live b ON b.at = ((a.w::BIGINT << 32) | a.e::BIGINT)
+      JOIN merges m ON m.pair = ((a.t::BIGINT << 32) | b.t::BIGINT)),
     least_of AS MATERIALIZED (SELECT w, min((id::BIGINT << 32) | p::BIGINT) AS best FROM ranked GROUP BY w),
-    marked AS (SELECT r.*, best, p = (best & 4294967295) AS hit, pp = (best & 4294967295) AS gone FROM ranked r JOIN least_of USING (w))
-    SELECT best IS NULL, w, p, CASE WHEN hit THEN ne ELSE e END, CASE WHEN hit THEN id ELSE t END
-    FROM marked WHERE gone IS NOT TRUE ORDER BY w, p))
-SELECT s.w, array_to_string(list(s.t ORDER BY p), ',') AS ids, unhex(string_agg(v.hex, '' ORDER BY p)) AS decoded
-FROM s JOIN vocab v ON v.id = s.t WHERE done GROUP BY s.w
-"""
+    hits AS MATERIALIZED (SELECT r.* FROM ranked r JOIN least_of l ON l.w = r.w AND l.best & 4294967295 = r.p)
+    SELECT f.w IS NULL, a.w, a.p, coalesce(h.e, a.e), coalesce(h.id, a.t)
+    FROM live a LEFT JOIN least_of f ON f.w = a.w LEFT JOIN hits h ON h.w = a.w AND h.p = a.p
+    WHERE a.at NOT IN (SELECT gone FROM hits)))
+{_OUT}"""
+
+# After a merge the next pair of the same rank is next in turn, unless the new token makes a pair of lower rank (solo: a
+# token that some merge of lower rank has as a part). So all pairs of the least rank go in one round, of those that overlap every other one.
+MERGE_ALL = f"""
+WITH RECURSIVE s(done, w, p, e, t) AS (
+  SELECT false, w, p, p + 1, t FROM start
+  UNION ALL
+  SELECT * FROM (
+    WITH pair AS MATERIALIZED (
+      SELECT w, p, e, t, lead(t) OVER o AS nt, lead(e) OVER o AS ne, row_number() OVER o AS n FROM s WHERE NOT done WINDOW o AS (PARTITION BY w ORDER BY p)),
+    ranked AS MATERIALIZED (SELECT pair.*, m.id, m.solo FROM pair LEFT JOIN merges m ON m.pair = ((t::BIGINT << 32) | nt::BIGINT)),
+    least_of AS MATERIALIZED (SELECT w, min((id::BIGINT << 32) | p::BIGINT) AS best FROM ranked GROUP BY w),
+    marked AS MATERIALIZED (SELECT r.*, best, coalesce(id = best >> 32 AND (NOT solo OR p = best & 4294967295), false) AS hit FROM ranked r JOIN least_of USING (w)),
+    runs AS (SELECT *, n - 1 - coalesce(max(CASE WHEN NOT hit THEN n END) OVER (PARTITION BY w ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM marked)
+    SELECT best IS NULL, w, p, CASE WHEN hit THEN ne ELSE e END, CASE WHEN hit THEN id ELSE t END FROM runs WHERE before % 2 = 0))
+{_OUT}"""
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -63,31 +84,32 @@ class Encoder:
         import regex
 
         self.ranks, self.split = load_ranks(path), regex.compile(pattern).findall
-        pairs, ids = [], []
+        pairs, ids, solo = [], [], set()
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
                 left, right = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if left is not None and right is not None:
                     pairs.append(left << 32 | right)
                     ids.append(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": "", "preserve_insertion_order": True})
+                    solo.update(x for x in (left, right) if x > rank)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
-        merges = pa.table({"pair": pa.array(pairs, pa.int64()), "id": pa.array(ids, pa.int32())})  # noqa: F841
+        merges = pa.table({"pair": pa.array(pairs, pa.int64()), "id": pa.array(ids, pa.int32()), "solo": [i in solo for i in ids]})  # noqa: F841
         vocab = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab")
         #: piece -> (ids joined by commas, decoded bytes)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known = Bounded(CACHE_BYTES)
 
-    def _query(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
+    def _query(self, pieces: list[bytes], sql: str = MERGE) -> list[tuple[bytes, bytes]]:
         """(ids, decoded) of pieces, by the recursive query."""
         length = np.array([len(p) for p in pieces])
         w = np.repeat(np.arange(len(pieces), dtype=np.int32), length)
         at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
         start = pa.table({"w": w, "p": at.astype(np.int32), "t": self.byte_ids[np.frombuffer(b"".join(pieces), dtype=np.uint8)]})
         self.db.register("start", start)
-        found = self.db.sql(MERGE).to_arrow_table()
+        found = self.db.sql(sql).to_arrow_table()
         self.db.unregister("start")
         out: list = [None] * len(pieces)
         for i, ids, decoded in zip(found["w"].to_pylist(), found["ids"].cast(pa.binary()).to_pylist(), found["decoded"].to_pylist(), strict=True):
@@ -96,54 +118,80 @@ class Encoder:
             raise RuntimeError("the recursive query lost rows")
         return out
 
-    def _heap(self, piece: bytes) -> list[int]:
-        """Merges of one very long piece: the same order, leftmost pair of least rank first."""
-        n = len(piece)
-        end, nxt, prev, rank = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1)), self.ranks.get
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        alive = bytearray(b"\1" * n)
-        while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = nxt[i]
-            if not alive[i] or j >= n or end[j] != stop:
-                continue
-            alive[j], end[i], nxt[i] = 0, stop, nxt[j]
-            if nxt[i] < n:
-                prev[nxt[i]] = i
-                if (r := rank(piece[i : end[nxt[i]]])) is not None:
-                    heapq.heappush(heap, (r, i, end[nxt[i]]))
-            if prev[i] >= 0 and (r := rank(piece[prev[i] : stop])) is not None:
-                heapq.heappush(heap, (r, prev[i], stop))
-        out, i = [], 0
-        while i < n:
-            out.append(self.ranks[piece[i : end[i]]])
-            i = nxt[i]
-        return out
+    def _queries(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """As _query(), about POSITIONS bytes at a time."""
+        part, size = [], 0
+        for raw in pieces:
+            part.append(raw)
+            size += len(raw)
+            if size >= POSITIONS:
+                yield from self._query(part)
+                part, size = [], 0
+        if part:
+            yield from self._query(part)
 
-    def learn(self, pieces: list[str]) -> None:
-        todo, size, known = [], 0, self.known
+    def _tokens(self, at: int, coded: tuple[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each token begins and the last one ends) of a window that begins at `at`."""
+        ids = np.array(coded[0].split(b","), dtype=np.int64)
+        return ids, at + np.concatenate(([0], np.cumsum([len(self.tokens[i]) for i in ids.tolist()])))
+
+    def _long(self, raw: bytes) -> tuple[bytes, bytes]:
+        """(ids, decoded) of one piece of more than LONG_PIECE bytes."""
+        step = LONG_PIECE // 2
+        spans = [(at, min(at + LONG_PIECE, len(raw))) for at in range(0, len(raw) - step, step)]
+        texts = list(dict.fromkeys(raw[a:b] for a, b in spans))
+        coded = dict(zip(texts, self._queries(texts), strict=True))
+        windows = [self._tokens(a, coded[raw[a:b]]) for a, b in spans]
+        while True:
+            joins = [self._join(x, y) for x, y in zip(windows[:-1], windows[1:], strict=True)]
+            if None not in joins:
+                break
+            merged, k = [], 0
+            while k < len(windows):
+                first = k
+                while k < len(joins) and joins[k] is None:
+                    k += 1
+                if k > first:
+                    a, b = int(windows[first][1][0]), int(windows[k][1][-1])
+                    merged.append(self._tokens(a, self._query([raw[a:b]], MERGE_ALL)[0]))
+                else:
+                    merged.append(windows[k])
+                k += 1
+            windows = merged
+        out, begin = [], 0
+        for (ids, at), end in zip(windows, [*joins, len(raw)], strict=True):
+            lo, hi = np.searchsorted(at, (begin, end))
+            out.append(ids[lo:hi])
+            begin = end
+        ids = np.concatenate(out).tolist()
+        decoded = b"".join(map(self.tokens.__getitem__, ids))
+        if decoded != raw:
+            raise RuntimeError("windows do not join")
+        return ",".join(map(str, ids)).encode(), decoded
 
-        def flush() -> None:
-            for (p, _), got in zip(todo, self._query([raw for _, raw in todo]), strict=True):
-                known[p] = got
-            todo.clear()
+    @staticmethod
+    def _join(x: tuple, y: tuple) -> int | None:
+        """Where a token ends that two windows have in common, or None."""
+        (a_ids, a), (b_ids, b) = x, y
+        _, i, j = np.intersect1d(a[:-1], b[:-1], assume_unique=True, return_indices=True)
+        same = np.flatnonzero(a_ids[i] == b_ids[j])
+        return int(a[i[same[len(same) // 2]] + 1]) if len(same) else None
 
+    def _keep(self, piece: str, got: tuple[bytes, bytes]) -> None:
+        self.known.put(piece, got, 60 + 2 * len(piece) + len(got[0]) + len(got[1]))
+
+    def learn(self, pieces: list[str]) -> None:
+        todo = []
         for p in pieces:
             raw = p.encode()
             if (whole := self.ranks.get(raw)) is not None:  # a piece that is a token needs no merges
-                known[p] = (b"%d" % whole, self.tokens[whole])
+                self._keep(p, (b"%d" % whole, self.tokens[whole]))
             elif len(raw) > LONG_PIECE:
-                ids = self._heap(raw)
-                known[p] = (",".join(map(str, ids)).encode(), b"".join(map(self.tokens.__getitem__, ids)))
+                self._keep(p, self._long(raw))
             else:
                 todo.append((p, raw))
-                size += len(raw)
-                if size >= POSITIONS:
-                    flush()
-                    size = 0
-        if todo:
-            flush()
+        for (p, _), got in zip(todo, self._queries([raw for _, raw in todo]), strict=True):
+            self._keep(p, got)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """For each text (ids joined by commas, decoded bytes)."""
@@ -154,8 +202,7 @@ class Encoder:
                 chars += len(texts[at])
                 parts.append(self.split(texts[at]))
                 at += 1
-            if len(self.known) > CACHE_PIECES:
-                self.known.clear()
+            self.known.make_room()
             get = self.known.get
             found = [list(map(get, part)) for part in parts]
             gaps = [[i for i, x in enumerate(f) if x is None] for f in found]
@@ -172,16 +219,20 @@ IDS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids",
 
 
 def _texts(batches: Iterator[pa.RecordBatch], path: str, pattern: str):
+    encoder = None
     for batch in batches:
-        encoder = worker_keeps(("bpe", path, pattern), lambda: Encoder(path, pattern))
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
+        encoder = encoder or worker_keeps(("bpe", path, pattern), lambda: Encoder(path, pattern))
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
             yield part.column(0), encoder.encode([x or "" for x in part.column(1).to_pylist()])
+    if encoder:
+        encoder.known.empty()  # between tasks a worker keeps the merge table, not the pieces it has met
+    give_memory_back()
 
 
 def bpe_round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per document: its ids, and the bytes they decode to. A null text is empty: no ids.
-    Invalid ranks files fail. Extra columns are ignored; repeated rows give repeated results."""
+    """One row per document: its ids, and the bytes they decode to. A null or empty text has no ids; a very long one is encoded whole.
+    Invalid ranks files fail. Extra columns are ignored; repeated rows give repeated results; a null id stays null; an empty table gives an empty result."""
 
     def run(batches):
         for ids, coded in _texts(batches, path, pattern):
@@ -191,6 +242,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text",
                 raw.append(decoded)
             yield pa.RecordBatch.from_arrays([ids, pa.array(lists, pa.list_(pa.int32())), pa.array(raw, pa.binary())], names=IDS.names)
 
+    small_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long"), docs[text]).mapInArrow(run, IDS)
 
 
@@ -207,4 +259,5 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str, text: str = "text", id
                 b.append(sha(decoded))
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=RESULT.names)
 
+    small_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long"), docs[text]).mapInArrow(run, RESULT)

@@ -44,6 +44,19 @@ def replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in names], *[c.alias(n) for n, c in new.items()])
 
 
+BATCH_ROWS, BATCH_MB = 2000, 4
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts: few rows and megabytes each, or both sides of the pipe hold tens of megabytes a task. A
+    session that asks for less keeps its own."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_MB << 20)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def numbered(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns under the names c0, c1, ...: names with dots or signs don't reach what resolves names."""
     return df.select(*[df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(columns)])
@@ -94,8 +107,11 @@ class Bounded(dict):
 
     def make_room(self) -> None:
         if self.held > self.most:
-            self.clear()
-            self.held = 0
+            self.empty()
+
+    def empty(self) -> None:
+        self.clear()
+        self.held = 0
 
 
 def worker_keeps_nothing() -> None:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_memory_back, materialise
+from .common import give_memory_back, materialise, small_batches
 
 STATES, SINGLES, TAILS = 8, 1024, 96
 END = b"\n"  # no word holds white space
@@ -299,6 +299,7 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", id_col: str = "do
     """
     rows = docs.select(docs[id_col].cast("string").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    small_batches(docs.sparkSession)
     buckets = max(LEAST_BUCKETS, -(-size // bucket_bytes))
     # rows that repeat id and text are dealt by the part of the input they are read in as well
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(buckets)).cast("int"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, one_of_each, worker_keeps_nothing
+from .common import LOWER, UPPER, Bounded, give_memory_back, materialise, one_of_each, small_batches, worker_keeps_nothing
 from .graph import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity of 4/5 or more
@@ -30,7 +30,7 @@ ROWS, BANDS, BATCH = 4, 24, 16
 HASHES = ROWS * BANDS
 TOLERANCE = 1e-6
 BLOCK = 1024
-CACHE_WORDS = 500_000
+CACHE_BYTES = 64 << 20
 #: Below this many rows the table of texts to verify is broadcast as ids (8 bytes each).
 BROADCAST_IDS = 500_000
 
@@ -46,7 +46,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: str | None, cache: dict[bytes, int]) -> np.ndarray:
+def shingles(text: str | None, cache: Bounded) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's runs of five words; a shorter text is one run, an empty one none."""
     import xxhash
 
@@ -56,11 +56,10 @@ def shingles(text: str | None, cache: dict[bytes, int]) -> np.ndarray:
     try:
         h = np.array([cache[w] for w in words], dtype=np.uint64)
     except KeyError:
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
+        cache.make_room()
         for w in words:
             if w not in cache:
-                cache[w] = xxhash.xxh3_64_intdigest(w)
+                cache.put(w, xxhash.xxh3_64_intdigest(w), len(w))
         h = np.array([cache[w] for w in words], dtype=np.uint64)
     n = max(1, len(h) - SHINGLE + 1)
     total = np.zeros(n, dtype=np.uint64)
@@ -216,6 +215,7 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         ok = plausible(sig, a, b)
         a, b = np.concatenate([a[ok], *from_]), np.concatenate([b[ok], *to])
         yield pa.RecordBatch.from_arrays([nodes.take(pa.array(a)), nodes.take(pa.array(b))], names=["a", "b"])
+    give_memory_back()
 
 
 def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -270,6 +270,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             label_of.append(label[at] + s)
         if which:
             yield pa.RecordBatch.from_arrays([nodes.take(pa.array(np.concatenate(which))), pa.array(np.concatenate(links)), nodes.take(pa.array(np.concatenate(label_of)))], names=["node", "links", "label"])
+    give_memory_back()
 
 
 def _in_turns(rows: DataFrame, payload: list[str], block: int) -> DataFrame:
@@ -289,7 +290,7 @@ def signed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
         import xxhash
 
         worker_keeps_nothing()
-        cache: dict[bytes, int] = {}
+        cache = Bounded(CACHE_BYTES)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
@@ -304,6 +305,7 @@ def signed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
                     sig.append(m.tobytes())
                     bands.append([xxhash.xxh3_64_intdigest(m[k : k + ROWS].tobytes(), seed=k) - (1 << 63) for k in range(0, HASHES, ROWS)])
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(node, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "ref", "text_md5", "node", "sig", "bands"])
+        give_memory_back()
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), _ref(docs, text, id_col).alias("ref"), text_md5(docs[text]).alias("text_md5"), docs[text].alias("text"))
     return rows.mapInArrow(run, "doc_id long, ref long, text_md5 binary, node binary, sig binary, bands array<long>")
@@ -348,6 +350,7 @@ def similar(docs: DataFrame, text: str = "text", id_col: str = "doc_id", block:
 def _classes(docs: DataFrame, text: str, id_col: str, block: int, keep: bool = False) -> DataFrame:
     """similar(); with keep also whether a row has the least id and text digest of its class (null without shingles)."""
     top = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")
+    small_batches(docs.sparkSession)
     docs_signed = materialise(signed(docs, text, id_col))
     some = docs_signed.where(F.col("node").isNotNull())
     nodes = materialise(some.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("ref").alias("ref"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), *([F.min(top).alias("top")] if keep else [])))
@@ -370,11 +373,12 @@ def _classes(docs: DataFrame, text: str, id_col: str, block: int, keep: bool = F
     texts = rows.join(refs, F.col("__at") == F.col("__ref"), "left_semi").select("text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
+        cache = Bounded(CACHE_BYTES)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 s = [shingles(x, cache).tobytes() for x in batch.column(0).slice(at, 1000).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in s], pa.binary()), pa.array(s, pa.binary())], names=["node", "set"])
+        give_memory_back()
 
     found = texts.mapInArrow(sets, "node binary, set binary").groupBy("node").agg(F.first("set").alias("set"))
     turns = _in_turns(members.join(found, "node"), ["copies", "set"], block)
@@ -392,3 +396,19 @@ def _classes(docs: DataFrame, text: str, id_col: str, block: int, keep: bool = F
     out = docs_signed.select("doc_id", "text_md5", "node").join(about, F.col("node") == F.col("__node"), "left")
     one = F.lit(1).cast("long")
     return out.select("doc_id", "text_md5", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_least")).alias("class_id"), F.coalesce("copies", one).alias("copies"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", one) - 1).alias("n_links"), *([F.when(F.col("node").isNotNull(), top.eqNullSafe(F.col("top"))).alias("keep")] if keep else []))
+
+
+ORACLE = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, md5(unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {SHINGLE} THEN [array_to_string(ws, ' ')]
+      ELSE list_transform(range(1, len(ws) - {SHINGLE - 2}), lambda i: array_to_string(ws[i:i + {SHINGLE - 1}], ' ')) END)) AS s FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM g x JOIN g y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b, common = na AND common = nb AS same FROM pairs JOIN (SELECT doc_id AS a, n AS na FROM sizes) USING (a) JOIN (SELECT doc_id AS b, n AS nb FROM sizes) USING (b)
+          WHERE {DENOMINATOR} * common >= {NUMERATOR} * (na + nb - common)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+class AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY 1),
+linked AS (SELECT a AS doc_id, count(*) AS n_links, count(*) FILTER (same) AS others FROM links GROUP BY 1)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(class_id AS BIGINT) AS class_id, CAST(coalesce(others, 0) + 1 AS BIGINT) AS copies, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM w JOIN class USING (doc_id) LEFT JOIN linked USING (doc_id)
+"""

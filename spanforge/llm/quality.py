@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_memory_back, numbered, renamed, worker_keeps_nothing
+from .common import give_memory_back, numbered, renamed, small_batches, worker_keeps_nothing
 
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 6, 2, 8, 24, 16
 #: Positions in a block, blocks in a chunk and from one chunk to the next: 512 bytes, 64 of which overlap.
@@ -239,6 +239,7 @@ def _scored(weights: Weights, at: int):
 def add_scores(docs: DataFrame, weights: Weights, text: str = "text", score_col: str = "score") -> DataFrame:
     """All rows and columns of docs and the score of each whole text; a null text scores as an empty one, a very long one
     in slices, repeated rows alike. A column named like score_col is replaced; any other name will do. An empty table gives an empty result."""
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() != score_col.lower() or c == text]
     rows = numbered(docs, kept)
     scored = rows.mapInArrow(_scored(weights, kept.index(text)), T.StructType([*rows.schema.fields, T.StructField("__score", T.DoubleType())]))
@@ -250,6 +251,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, t
     one. Rows that repeat an id are scored each by their own text. With no labels every score is the share of label 1, or 0.5. Other columns
     are ignored. An empty table gives an empty result."""
     weights = train(docs, labels, text=text, id_col=id_col, **options)
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text].alias("text"))
     scored = rows.mapInArrow(_scored(weights, 1), T.StructType([*rows.schema.fields, T.StructField("__score", T.DoubleType())]))
     held_out = F.coalesce(~in_training(F.col("doc_id")), F.lit(False))

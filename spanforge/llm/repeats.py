@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, discard, give_memory_back, materialise
+from .common import Bounded, discard, give_memory_back, materialise, small_batches
 
 LENGTH, GRAM = 400, 32
 #: The same for strings of words.
@@ -438,6 +438,7 @@ class Repeats:
     """
 
     def __init__(self, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", id_col: str = "doc_id", bin_limit: int = BIN_LIMIT, unit: str = "bytes"):
+        small_batches(docs.sparkSession)
         self.code = CODE if unit == "words" else 1
         length, gram = length * self.code, gram * self.code
         self.length, self.bin_limit, self.written = length, bin_limit, []
