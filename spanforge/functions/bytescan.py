@@ -20,7 +20,7 @@ RANGES = "array<struct<start:bigint,end_exclusive:bigint>>"
 
 def utf8(text: Column) -> Column:
     """The bytes of a string column."""
-    return F.encode(text, "UTF-8")
+    return text.cast("binary")
 
 
 def latin1(data: Column) -> Column:
@@ -97,19 +97,20 @@ def delimited_ranges(data: Column, chunk_size: int, pattern=b"\n") -> Column:
     step = min(step, 1 << 40)
     pieces = _pieces(data, pattern)
     zero = F.lit(0).cast("long")
-    begin = F.struct(zero.alias("at"), zero.alias("start"), F.array().cast(RANGES).alias("out"))
+    begin = F.struct(zero.alias("at"), zero.alias("start"), F.array().cast(RANGES).alias("out"), byte_length(data).alias("size"))
 
     def fold(state: Column, piece: Column) -> Column:
-        found = state["at"] + piece  # where the delimiter begins
+        found = state["at"] + piece  # where the delimiter begins; behind the last piece there is none
         end = found + width
-        cut = found >= state["start"] + step
+        cut = (found >= state["start"] + step) & (end <= state["size"])
         return F.struct(
             (found if overlapping else end).alias("at"),
             F.when(cut, end).otherwise(state["start"]).alias("start"),
             F.when(cut, F.array_append(state["out"], _range(state["start"], end))).otherwise(state["out"]).alias("out"),
+            state["size"].alias("size"),
         )
 
-    return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), begin, fold, lambda s: _closed(s, byte_length(data)))
+    return F.aggregate(pieces, begin, fold, lambda s: _closed(s, s["size"]))
 
 
 def fixed_count(data: Column, chunk_size: int) -> Column:
@@ -145,28 +146,28 @@ def partition_ranges(data: Column, parts: int, delimiter=0x0A) -> Column:
     n = F.least(F.lit(min(parts, 1 << 31)).cast("long"), F.greatest(size, F.lit(1).cast("long")))
     zero = F.lit(0).cast("long")
     if parts <= FEW_PARTS:
-        first = F.struct(zero.alias("start"), F.array().cast(RANGES).alias("out"), size.alias("size"), n.alias("n"))
+        # size, n and the bytes travel in the state: as expressions over data they would be worked out anew for every aim
+        first = F.struct(zero.alias("start"), F.array().cast(RANGES).alias("out"), size.alias("size"), n.alias("n"), data.alias("data"))
 
         def search(state: Column, i: Column) -> Column:
             aim = _div(state["size"] * i, state["n"])
             due = (i < state["n"]) & (aim > state["start"])
-            end = F.when(due, find_from(data, byte, aim)).otherwise(zero)
+            end = F.when(due, find_from(state["data"], byte, aim)).otherwise(zero)
             cut = due & (end > 0) & (end < state["size"])
             return F.struct(
                 F.when(cut, end).otherwise(state["start"]).alias("start"),
                 F.when(cut, F.array_append(state["out"], _range(state["start"], end))).otherwise(state["out"]).alias("out"),
-                state["size"].alias("size"), state["n"].alias("n"),
+                state["size"].alias("size"), state["n"].alias("n"), state["data"].alias("data"),
             )
 
         aims = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")), lambda i: i > 0)
         return F.aggregate(aims, first, search, lambda s: _closed(s, s["size"]))
     pieces = _pieces(data, bytes([byte]))
-    # size and n travel in the state: as expressions over data they would be worked out anew for every piece
     begin = F.struct(zero.alias("at"), zero.alias("start"), F.array().cast(RANGES).alias("out"), size.alias("size"), n.alias("n"))
 
     def fold(state: Column, piece: Column) -> Column:
         end = state["at"] + piece + 1
-        i = F.least(_div(end * state["n"] - 1, state["size"]), state["n"] - 1)
+        i = F.least(_div(end * state["n"] - 1, F.greatest(state["size"], F.lit(1).cast("long"))), state["n"] - 1)
         aim = _div(state["size"] * i, state["n"])
         cut = (i >= 1) & (aim >= state["at"]) & (aim > state["start"]) & (end < state["size"])
         return F.struct(
@@ -177,7 +178,7 @@ def partition_ranges(data: Column, parts: int, delimiter=0x0A) -> Column:
             state["n"].alias("n"),
         )
 
-    return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), begin, fold, lambda s: _closed(s, s["size"]))
+    return F.aggregate(pieces, begin, fold, lambda s: _closed(s, s["size"]))
 
 
 def payload(data: Column, start: Column, length: Column) -> Column:

@@ -106,35 +106,41 @@ def framed(sources: DataFrame, data: str, delimiter=0x0A, *keep: str) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                value = batch.column(batch.num_columns - 1)[row]
-                if not value.is_valid or not len(value.as_buffer()):
-                    continue
-                buffer = value.as_buffer()
-                ends = np.flatnonzero(np.frombuffer(buffer, dtype=np.uint8) == byte)
-                begins = np.concatenate(([0], ends + 1))
-                ends = np.append(ends, len(buffer))
-                if begins[-1] == len(buffer):  # the last record ends with a delimiter
-                    begins, ends = begins[:-1], ends[:-1]
-                yield from _frames(batch, row, buffer, begins, ends)
+            whole = _frames(batch, byte)
+            for at in range(0, whole.num_rows, 100_000):
+                yield whole.slice(at, 100_000)
 
     out = T.StructType([*sources.select(*keep).schema.fields, T.StructField("line_index", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("record", T.BinaryType())])
     return sources.select(*keep, data).mapInArrow(run, out)
 
 
-def _frames(batch: pa.RecordBatch, row: int, buffer: pa.Buffer, begins: np.ndarray, ends: np.ndarray, most: int = 100_000) -> Iterator[pa.RecordBatch]:
-    """The records [begins, ends) of a buffer, which lie a byte apart, with the row's other columns."""
-    raw = np.frombuffer(buffer, dtype=np.uint8)
-    for at in range(0, len(begins), most):
-        b, e = begins[at : at + most], ends[at : at + most]
-        inside = np.ones(int(e[-1] - b[0]), dtype=bool)
-        inside[e[:-1] - b[0]] = False
-        size = e - b
-        offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-        record = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(offsets), pa.py_buffer(raw[b[0] : e[-1]][inside])])
-        same = pa.array(np.full(len(b), row))
-        kept = [c.take(same) for c in batch.columns[:-1]]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(np.arange(at, at + len(b))), pa.array(b.astype(np.int64)), record], names=[*batch.schema.names[:-1], "line_index", "offset", "record"])
+def _frames(batch: pa.RecordBatch, byte: int) -> pa.RecordBatch:
+    """The records of all values in the last column at once, with the other columns of their rows."""
+    data = batch.column(batch.num_columns - 1).cast(pa.binary())
+    _, offsets, values = data.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+    raw = np.frombuffer(values, dtype=np.uint8)[at[0] : at[-1]] if values is not None else np.empty(0, dtype=np.uint8)
+    at -= at[0]
+    marks = np.flatnonzero(raw == byte)
+    open_ = np.flatnonzero(at[1:] > at[:-1])
+    open_ = open_[raw[at[open_ + 1] - 1] != byte]  # rows whose last record has no delimiter
+    row = np.concatenate((open_, np.searchsorted(at, marks, side="right") - 1))
+    end = np.concatenate((at[open_ + 1], marks))
+    order = np.argsort(end, kind="stable")  # a row's end comes before a delimiter at the next one's start
+    row, end = row[order], end[order]
+    first = np.ones(len(row), dtype=bool)
+    first[1:] = row[1:] != row[:-1]
+    begin = at[row]
+    begin[~first] = end[np.flatnonzero(~first) - 1] + 1
+    inside = np.ones(len(raw), dtype=bool)
+    inside[marks] = False
+    sizes = np.concatenate(([0], np.cumsum(end - begin))).astype(np.int32)
+    record = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(sizes), pa.py_buffer(raw[inside])])
+    starts = np.flatnonzero(first)
+    line = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row))))
+    take = pa.array(row)
+    kept = [c.take(take) for c in batch.columns[:-1]]
+    return pa.RecordBatch.from_arrays([*kept, pa.array(line), pa.array(begin - at[row]), record], names=[*batch.schema.names[:-1], "line_index", "offset", "record"])
 
 
 def framed_by_range(sources: DataFrame, data: str, parts: int, delimiter=0x0A, *keep: str) -> DataFrame:
@@ -155,11 +161,11 @@ def record_offsets(sources: DataFrame, data: str, parts: int, key: str, delimite
     of a source, in its row."""
     mark = bytes([as_byte(delimiter)])
     zero = F.lit(0).cast("long")
-    begin = F.struct(zero.alias("n"), F.array().cast("array<bigint>").alias("out"))
+    begin = F.struct(zero.alias("n"), F.array().cast("array<bigint>").alias("out"), F.col(data).alias("data"))
 
     def step(state: Column, r: Column) -> Column:
-        inside = B.count_of(B.payload(F.col(data), r["start"], r["end_exclusive"] - r["start"]), mark)
-        return F.struct((state["n"] + inside).alias("n"), F.array_append(state["out"], state["n"]).alias("out"))
+        inside = B.count_of(B.payload(state["data"], r["start"], r["end_exclusive"] - r["start"]), mark)
+        return F.struct((state["n"] + inside).alias("n"), F.array_append(state["out"], state["n"]).alias("out"), state["data"].alias("data"))
 
     firsts = F.aggregate(B.partition_ranges(F.col(data), parts, delimiter), begin, step, lambda s: s["out"])
     return sources.select(key, F.posexplode(firsts).alias("index", "record_offset")).select(key, F.col("index").cast("long").alias("index"), "record_offset")
