@@ -101,13 +101,15 @@ def _active(length: np.ndarray, steps: int) -> list[int]:
     return np.searchsorted(-length, -np.arange(steps), side="left").tolist()
 
 
-def _advance(model: Model, before: np.ndarray, classes: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray | None]:
-    """(forward values of step t, what those of step t - 1 were divided by first, if so)."""
+def _advance(model: Model, before: np.ndarray, emitted: np.ndarray, t: int, out: np.ndarray) -> np.ndarray | None:
+    """Puts the forward values of step t into out; returns what those of step t - 1 were divided by first, if so."""
     total = None
     if t % SCALE_STEPS == 0:
         total = before.sum(axis=1)
-        before = before / total[:, None]
-    return before @ model.move * model.emit[classes], total
+        before /= total[:, None]
+    np.matmul(before, model.move, out=out)
+    out *= emitted
+    return total
 
 
 def log_likelihood(model: Model, length: np.ndarray, grid: np.ndarray) -> np.ndarray:
@@ -116,18 +118,24 @@ def log_likelihood(model: Model, length: np.ndarray, grid: np.ndarray) -> np.nda
     The forward values are scaled to a sum of 1 every SCALE_STEPS steps; the logarithms of the scales and of the last sum add up to the result.
     """
     steps, n = grid.shape
-    active = [*_active(length, steps), 0]
-    log = np.zeros(n)
-    alpha = model.start * model.emit[grid[0]]
-    for t in range(1, steps + 1):
-        k = active[t]
-        if k < len(alpha):  # these have ended
-            log[k : len(alpha)] += np.log10(alpha[k:].sum(axis=1))
-            alpha = alpha[:k]
-        if k:
-            alpha, total = _advance(model, alpha, grid[t, :k], t)
+    active, block = [*_active(length, steps), 0], max(1, BATCH_CELLS // n)
+    log, alpha, other = np.zeros(n), np.empty((n, len(model.start))), np.empty((n, len(model.start)))
+    k = n
+    for first in range(0, steps, block):
+        emitted = model.emit[grid[first : first + block, : active[first]]]
+        for i in range(len(emitted)):
+            t, m = first + i, active[first + i]
+            if not t:
+                np.multiply(model.start, emitted[0], out=alpha)
+                continue
+            if m < k:  # these have ended
+                log[m:k] += np.log10(alpha[m:k].sum(axis=1))
+                k = m
+            total = _advance(model, alpha[:m], emitted[i, :m], t, other[:m])
             if total is not None:
-                log[:k] += np.log10(total)
+                log[:m] += np.log10(total)
+            alpha, other = other, alpha
+    log[:k] += np.log10(alpha[:k].sum(axis=1))
     return log
 
 
@@ -146,21 +154,24 @@ def _add_counts(model: Model, length: np.ndarray, grid: np.ndarray, start: np.nd
     s, block = len(model.start), max(1, BATCH_CELLS // n)
     active = [*_active(length, steps), 0]
     back = np.ascontiguousarray(model.move.T)
-    firsts, alpha = [], model.start * model.emit[grid[0]]  # forward values of each block's first step
-    for t in range(steps):
-        if t:
-            alpha, _ = _advance(model, alpha[: active[t]], grid[t, : active[t]], t)
-        if t % block == 0:
-            firsts.append(alpha)
+    firsts = [model.start * model.emit[grid[0]]]  # forward values of each block's first step
+    for first in range(0, steps - block, block):
+        alpha, other = firsts[-1].copy(), np.empty_like(firsts[-1])
+        for t in range(first + 1, first + block + 1):
+            m = active[t]
+            _advance(model, alpha[:m], model.emit[grid[t, :m]], t, other[:m])
+            alpha, other = other, alpha
+        firsts.append(alpha[: active[first + block]].copy())
     later = None  # beta of the step behind the block
     for first in range((len(firsts) - 1) * block, -1, -block):
         size, k = min(block, steps - first), active[first]
         part, live = grid[first : first + size, :k], np.arange(first, first + size)[:, None] < length[None, :k]
+        emitted = model.emit[part]
         alpha = np.zeros((size, k, s))
         alpha[0] = firsts[first // block]
         for i in range(1, size):
             m = active[first + i]
-            alpha[i, :m] = _advance(model, alpha[i - 1, :m], part[i, :m], first + i)[0]
+            _advance(model, alpha[i - 1, :m], emitted[i, :m], first + i, alpha[i, :m])
         beta = np.ones_like(alpha)
         onward = np.zeros_like(alpha)  # emission * beta of step t + 1, for the moves out of step t; scaled like beta of step t
         for i in range(size - 1, -1, -1):
@@ -169,7 +180,10 @@ def _add_counts(model: Model, length: np.ndarray, grid: np.ndarray, start: np.nd
             if not m:
                 continue
             nxt, now = onward[i, :m], beta[i, :m]
-            np.multiply(model.emit[grid[t + 1, :m]], beta[i + 1, :m] if i + 1 < size else later[:m], out=nxt)
+            if i + 1 < size:
+                np.multiply(emitted[i + 1, :m], beta[i + 1, :m], out=nxt)
+            else:
+                np.multiply(model.emit[grid[t + 1, :m]], later[:m], out=nxt)
             np.matmul(nxt, back, out=now)
             if t % SCALE_STEPS == 0:
                 factor = 1 / now.sum(axis=1)[:, None]
