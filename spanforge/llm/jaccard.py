@@ -57,7 +57,7 @@ def shingles(text: str | None, cache: Bounded) -> np.ndarray:
         h = np.array([cache[w] for w in words], dtype=np.uint64)
     except KeyError:
         cache.make_room()
-        for w in set(words).difference(cache):
+        for w in [w for w in set(words) if w not in cache]:
             cache.put(w, xxhash.xxh3_64_intdigest(w), len(w))
         h = np.array([cache[w] for w in words], dtype=np.uint64)
     n = max(1, len(h) - SHINGLE + 1)

@@ -266,7 +266,7 @@ def _word_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append(b"".join(map(known.__getitem__, words)))
             except KeyError:
                 known.make_room()
-                for w in set(words).difference(known):
+                for w in [w for w in set(words) if w not in known]:
                     known.put(w, xxhash.xxh3_64_digest(w)[:CODE], len(w))
                 rows.append(b"".join(map(known.__getitem__, words)))
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["doc_id", "tk", "text"])
