@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 from .common import Bounded, give_memory_back, small_batches, worker_keeps
 
-CACHE_BYTES = 96 << 20
-SLICE_CHARS = 1_000_000
+CACHE_BYTES = 64 << 20
+SLICE_CHARS = 300_000
 POSITIONS = 100_000
 #: Bytes of a window, twice the step from one to the next.
 LONG_PIECE = 192

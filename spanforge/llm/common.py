@@ -57,6 +57,13 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Before a stage whose memory lies in Python workers: the executors collect their heaps and give back what earlier stages made them grow
+    by. A few short tasks for each core, so that every executor has some."""
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def numbered(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns under the names c0, c1, ...: names with dots or signs don't reach what resolves names."""
     return df.select(*[df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(columns)])
