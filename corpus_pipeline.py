@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm import bpe, dedup, jaccard, mixing, quality
-from spanforge.llm.common import materialise, one_of_each, table
+from spanforge.llm.common import materialise, one_of_each, shrink_heaps, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +65,10 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """A row of digests for each row: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     A null or empty text has no ids; a very long one is encoded whole; repeated rows give repeated results; a null id stays null;
-    other columns are left behind. An empty table gives an empty one.
+    other columns are left behind. An empty table gives an empty one. The work is Python's, so the executors first give back heap that
+    earlier stages made them grow by.
     """
+    shrink_heaps(spark)
     return bpe.bpe_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
