@@ -56,8 +56,9 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows as often as the sources' targets ask for.
 
     Null and empty texts have no words and go; a null source is one of its own; a very long text counts with all its words; rows that tie may stand in
-    for one another. An empty table gives an empty one.
+    for one another. An empty table gives an empty one. Texts aren't shuffled; the executors first give back heap that earlier stages made them grow by.
     """
+    shrink_heaps(spark)
     return mixing.mixed_documents(docs)
 
 

@@ -103,17 +103,22 @@ def schedule(spark, sources: list[Source]) -> DataFrame:
     return out.selectExpr("t", "src", "rank", "epoch", "block", "least(b, size - block * b, take - epoch * size - block * b) as words")
 
 
-def mix(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, cap: float = 2.0, block_words: int = 4096, text: str = "text", source: str = "source", id_col: str = "doc_id", keep_columns: bool = True, own_names: tuple[str, str, str, str] = ("size", "source_size", "target", "taken")) -> tuple[DataFrame, DataFrame, list[Source]]:
+def _shuffle_key(docs: DataFrame, id_col: str, text: str) -> Column:
+    return F.md5(F.concat(F.coalesce(docs[id_col].cast("string"), F.lit("")), F.lit(":"), F.coalesce(docs[text], F.lit(""))))
+
+
+def mix(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, cap: float = 2.0, block_words: int = 4096, text: str = "text", source: str = "source", id_col: str = "doc_id", keep_columns: bool = True, own_names: tuple[str, str, str, str] = ("size", "source_size", "target", "taken"), key_name: str | None = None) -> tuple[DataFrame, DataFrame, list[Source]]:
     """(documents, slots, sources). The documents keep all rows and columns and gain size,
     source_size, target and taken: how many of the document's words the mix reads, repeats counted.
 
     Documents are shuffled by the MD5 of id and text. A null text has no words, a null source is a source of its own, the last. Documents without
     words are taken 0 times. Rows with the same id, text and source may stand in for one another.
-    Input columns named like a result column are replaced. Empty tables give empty results.
+    Input columns named like a result column are replaced. Empty tables give empty results. Without keep_columns the documents have id and source
+    only; key_name: a column with the MD5 in whose order a source's documents lie.
     """
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce(docs[text], F.lit("")), F.lit(WORD)).cast("long")
-    key = F.md5(F.concat(F.coalesce(docs[id_col].cast("string"), F.lit("")), F.lit(":"), F.coalesce(docs[text], F.lit(""))))
+    key = _shuffle_key(docs, id_col, text)
     if keep_columns:
         cols = [docs[f"`{c}`"] for c in docs.columns if c.lower() not in own_names or c in (text, source, id_col)]
     else:
@@ -143,15 +148,31 @@ def mix(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, cap: float = 2.
     taken = spans.join(slots.select("src", "block", "words"), ["src", "block"]).groupBy("src", "__start").agg(F.sum(F.expr("greatest(least(b, words) - a, 0L)")).alias("__sum"))
     placed = placed.join(taken.select(F.col("src").alias("__s"), F.col("__start").alias("__at"), "__sum"), F.expr("__src = __s and __size > 0 and __start = __at"), "left")
     values = (F.col("__size"), F.col("__source_size"), F.col("__target"), F.coalesce("__sum", F.lit(0)).cast("long"))
-    return placed.select(*[F.col(f"`{c}`") for c in own], *[v.alias(n) for v, n in zip(values, own_names, strict=True)]), slots, sources
+    key_col = [F.col("__key").alias(key_name)] if key_name else []
+    return placed.select(*[F.col(f"`{c}`") for c in own], *[v.alias(n) for v, n in zip(values, own_names, strict=True)], *key_col), slots, sources
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
     """The documents as the mix reads them, with the columns of docs: each as many times as its taken words fill it, to
     the nearest whole number, so that one at the edge of what its source gives is in or out. Documents without words are out."""
-    out, _, _ = mix(docs, text=text, source=source, id_col=id_col, own_names=("__size", "__source_size", "__target", "__taken"), **options)
+    names = {"text": text, "source": source, "id_col": id_col, "own_names": ("__size", "__source_size", "__target", "__taken")}
     times = F.expr("cast(floor(__taken / __size + 0.5) as int)")
-    return out.where("__size > 0").withColumn("__times", times).where("__times > 0").select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.expr("sequence(1, __times)")).alias("__copy")).drop("__copy")
+    copies = F.explode(F.expr("sequence(1, __times)")).alias("__copy")
+    # Only ids, sizes and keys are shuffled: a pass takes a source's documents in order of their keys, so each number of times has a range of
+    # keys, and a document finds its own by its key. One row for each source and number of times.
+    out, _, _ = mix(docs, keep_columns=False, key_name="__key", **names, **options)
+    ranges = out.where("__size > 0").withColumn("__times", times).groupBy(F.col(source).cast("string").alias("__name"), "__times")
+    ranges = ranges.agg(F.min("__key").alias("__lo"), F.max("__key").alias("__hi")).collect()
+    ranges.sort(key=lambda r: (r["__name"] is not None, r["__name"] or "", r["__lo"], r["__hi"]))
+    if any(a["__name"] == b["__name"] and b["__lo"] <= a["__hi"] for a, b in zip(ranges[:-1], ranges[1:], strict=True)):
+        # rows that repeat id and text, and the mix takes some of them more often than others: each row keeps its own number
+        out, _, _ = mix(docs, **names, **options)
+        out = out.where("__size > 0").withColumn("__times", times).where("__times > 0")
+    else:
+        ranges = docs.sparkSession.createDataFrame([tuple(r) for r in ranges if r["__times"]], "__name string, __times int, __lo string, __hi string")
+        keyed = docs.where(docs[text].rlike(WORD)).withColumn("__key", _shuffle_key(docs, id_col, text))
+        out = keyed.join(F.broadcast(ranges), docs[source].cast("string").eqNullSafe(F.col("__name")) & F.col("__key").between(F.col("__lo"), F.col("__hi")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], copies).drop("__copy")
 
 
 # Whole passes of a source take each of its documents as often; the last pass takes them in shuffled order, up to what is still missing.

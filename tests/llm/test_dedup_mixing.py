@@ -2,7 +2,7 @@
 
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +126,25 @@ def test_dedup_of_one_large_group(spark):
     rows = [(i, "same text" if i % 3 == 0 else f"text {i // 2}") for i in range(6000)] + [(None, "same text")] * 5
     got = dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
     assert sorted(map(tuple, got.drop("text").collect()), key=repr) == dedup_brute(rows)
+
+
+def test_mixed_documents_shuffle_no_texts(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{i}" for _ in range(rng.choice([0, 1, 5, 60, 300]))), rng.choice(["a", "a", "a", "b", "é", None])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mixed_documents(docs)
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {r["doc_id"]: int(r["taken"] / r["size"] + 0.5) for r in mixing.mix(docs)[0].collect() if r["size"]}
+    got = [tuple(r) for r in out.collect()]
+    assert Counter(i for i, _, _ in got) == Counter({i: n for i, n in want.items() if n}) and set(got) <= set(rows)
+    assert len(set(want.values())) > 1
+
+
+def test_mixed_documents_of_repeated_rows(spark):
+    rows = [(7, "a few words that repeat", "a")] * 90 + [(i, f"other words {i}", "b") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = [r for r in mixing.mix(docs)[0].collect()]
+    want = Counter()
+    for r in taken:
+        want[r["doc_id"]] += int(r["taken"] / r["size"] + 0.5)
+    assert Counter(r["doc_id"] for r in mixing.mixed_documents(docs).collect()) == Counter({i: n for i, n in want.items() if n})
