@@ -5,7 +5,8 @@ joins neighbouring rows with the merge table, contracts each piece's leftmost pa
 rank and goes on with the pieces that changed until none does. Ordered aggregation over
 position gives each piece's ids, and, joined with the vocabulary, its decoded bytes.
 
-Pieces are encoded once per worker and kept in a table of at most CACHE_BYTES.
+Pieces are encoded once per worker and kept, from task to task, in a table of at most CACHE_BYTES; when it is full, those go that have
+not been met since it was last half full.
 
 The recursion takes as many rounds as a piece has merges, so a piece of more than LONG_PIECE bytes, which ordinary text seldom has,
 is encoded in windows that overlap by half. Two windows join at a token that both have at the same place: then any two neighbours of the result
@@ -19,19 +20,22 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Bounded, give_memory_back, small_batches, worker_keeps
+from .common import Recent, give_memory_back, small_batches, worker_keeps
 
-CACHE_BYTES = 64 << 20
-SLICE_CHARS = 300_000
+CACHE_BYTES = 160 << 20
+SLICE_CHARS = 500_000
 POSITIONS = 100_000
 #: Bytes of a window, twice the step from one to the next.
 LONG_PIECE = 192
+IDS_OF, BYTES_OF = itemgetter(0), itemgetter(1)
 
 _OUT = """
 SELECT s.w, array_to_string(list(s.t ORDER BY p), ',') AS ids, unhex(string_agg(v.hex, '' ORDER BY p)) AS decoded
@@ -100,35 +104,30 @@ class Encoder:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab")
         #: piece -> (ids joined by commas, decoded bytes)
-        self.known = Bounded(CACHE_BYTES)
+        self.known = Recent(CACHE_BYTES)
 
     def _query(self, pieces: list[bytes], sql: str = MERGE) -> list[tuple[bytes, bytes]]:
         """(ids, decoded) of pieces, by the recursive query."""
-        length = np.array([len(p) for p in pieces])
+        length = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
         w = np.repeat(np.arange(len(pieces), dtype=np.int32), length)
         at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
         start = pa.table({"w": w, "p": at.astype(np.int32), "t": self.byte_ids[np.frombuffer(b"".join(pieces), dtype=np.uint8)]})
         self.db.register("start", start)
         found = self.db.sql(sql).to_arrow_table()
         self.db.unregister("start")
-        out: list = [None] * len(pieces)
-        for i, ids, decoded in zip(found["w"].to_pylist(), found["ids"].cast(pa.binary()).to_pylist(), found["decoded"].to_pylist(), strict=True):
-            out[i] = (ids, decoded)
-        if len(found) != len(pieces) or sum(len(x[1]) for x in out) != len(at):
+        found = found.take(np.argsort(found["w"].to_numpy()))
+        ids, decoded = found["ids"].cast(pa.binary()).to_pylist(), found["decoded"].to_pylist()
+        if not np.array_equal(found["w"].to_numpy(), np.arange(len(pieces))) or sum(map(len, decoded)) != len(at):
             raise RuntimeError("the recursive query lost rows")
-        return out
+        return list(zip(ids, decoded, strict=True))
 
     def _queries(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """As _query(), about POSITIONS bytes at a time."""
-        part, size = [], 0
-        for raw in pieces:
-            part.append(raw)
-            size += len(raw)
-            if size >= POSITIONS:
-                yield from self._query(part)
-                part, size = [], 0
-        if part:
-            yield from self._query(part)
+        turn = np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))) // POSITIONS
+        edges = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(pieces)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if hi > lo:
+                yield from self._query(pieces[lo:hi])
 
     def _tokens(self, at: int, coded: tuple[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, where each token begins and the last one ends) of a window that begins at `at`."""
@@ -177,21 +176,22 @@ class Encoder:
         same = np.flatnonzero(a_ids[i] == b_ids[j])
         return int(a[i[same[len(same) // 2]] + 1]) if len(same) else None
 
-    def _keep(self, piece: str, got: tuple[bytes, bytes]) -> None:
-        self.known.put(piece, got, 60 + 2 * len(piece) + len(got[0]) + len(got[1]))
+    def _keep(self, pieces: list[str], got: list[tuple[bytes, bytes]]) -> None:
+        for part, coded in zip(pieces, got, strict=True):
+            self.known[part] = coded
+        sizes = 3 * sum(map(len, map(BYTES_OF, got))) + sum(map(len, map(IDS_OF, got)))
+        self.known.held += sizes + 260 * len(pieces)
 
     def learn(self, pieces: list[str]) -> None:
-        todo = []
-        for p in pieces:
-            raw = p.encode()
-            if (whole := self.ranks.get(raw)) is not None:  # a piece that is a token needs no merges
-                self._keep(p, (b"%d" % whole, self.tokens[whole]))
-            elif len(raw) > LONG_PIECE:
-                self._keep(p, self._long(raw))
-            else:
-                todo.append((p, raw))
-        for (p, _), got in zip(todo, self._queries([raw for _, raw in todo]), strict=True):
-            self._keep(p, got)
+        raw = list(map(str.encode, pieces))
+        whole = list(map(self.ranks.get, raw))
+        # a piece that is a token needs no merges
+        ready = [i for i, rank in enumerate(whole) if rank is not None]
+        self._keep([pieces[i] for i in ready], [(b"%d" % whole[i], self.tokens[whole[i]]) for i in ready])
+        long = [i for i, r in enumerate(raw) if len(r) > LONG_PIECE and whole[i] is None]
+        self._keep([pieces[i] for i in long], [self._long(raw[i]) for i in long])
+        todo = [i for i, r in enumerate(raw) if len(r) <= LONG_PIECE and whole[i] is None]
+        self._keep([pieces[i] for i in todo], list(self._queries([raw[i] for i in todo])))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """For each text (ids joined by commas, decoded bytes)."""
@@ -203,15 +203,10 @@ class Encoder:
                 parts.append(self.split(texts[at]))
                 at += 1
             self.known.make_room()
-            get = self.known.get
-            found = [list(map(get, part)) for part in parts]
-            gaps = [[i for i, x in enumerate(f) if x is None] for f in found]
-            self.learn(list(dict.fromkeys(part[i] for part, g in zip(parts, gaps, strict=True) for i in g)))
-            for part, f, g in zip(parts, found, gaps, strict=True):
-                for i in g:
-                    f[i] = get(part[i])
-                ids, decoded = zip(*f, strict=True) if f else ((), ())
-                yield b",".join(ids), b"".join(decoded)
+            self.learn(self.known.missing(set(chain.from_iterable(parts))))
+            for part in parts:
+                found = list(map(self.known.__getitem__, part))
+                yield b",".join(map(IDS_OF, found)), b"".join(map(BYTES_OF, found))
 
 
 RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
@@ -225,9 +220,7 @@ def _texts(batches: Iterator[pa.RecordBatch], path: str, pattern: str):
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             yield part.column(0), encoder.encode([x or "" for x in part.column(1).to_pylist()])
-    if encoder:
-        encoder.known.empty()  # between tasks a worker keeps the merge table, not the pieces it has met
-    give_memory_back()
+    give_memory_back(("bpe", path, pattern))  # the merge table and the pieces met stay for the worker's next task
 
 
 def bpe_round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -121,17 +121,45 @@ class Bounded(dict):
         self.held = 0
 
 
+class Recent(Bounded):
+    """A table of at most `most` bytes in two halves: when the newer one is full it becomes the older, whose keys come back as they are met."""
+
+    def __init__(self, most: int):
+        super().__init__(most // 2)
+        self.older, self.each = {}, 0.0
+
+    def missing(self, keys: set) -> list:
+        """Those of keys that neither half has; those of the older half come into the newer."""
+        out = []
+        for key in keys.difference(self):
+            got = self.older.pop(key, None)
+            if got is None:
+                out.append(key)
+            else:
+                self[key] = got
+                self.held += self.each
+        return out
+
+    def make_room(self) -> None:
+        if self.held > self.most:
+            self.older, self.each = dict(self), self.held / len(self)
+            self.empty()
+
+
 def worker_keeps_nothing() -> None:
     _kept.clear()
 
 
-def give_memory_back() -> None:
-    """At a task's end: what a Python worker has freed goes back to the system, as the worker stays for other tasks."""
+def give_memory_back(keep=None) -> None:
+    """At a task's end: what a Python worker has freed goes back to the system, as the worker stays for other tasks; so does what
+    worker_keeps() made for another key than `keep`."""
     import ctypes
     import gc
 
     import pyarrow as pa
 
+    for key in [k for k in _kept if k != keep]:
+        del _kept[key]
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

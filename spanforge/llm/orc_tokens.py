@@ -150,7 +150,7 @@ def _encode(path: str, end_id: int):
                 offsets = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int32)
                 values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(rows))])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "part", "h", "ids"])
-        give_memory_back()
+        give_memory_back(("words", path))
 
     return run
 

@@ -7,9 +7,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
-from spanforge.llm import bpe, orc_tokens
+from spanforge.llm import bpe, common, orc_tokens
 from spanforge.llm.common import scratch_dir
 
 WORDS, RANKS = P.path("word_bpe_49k.json"), P.path("byte_bpe_multi_50k.tiktoken")
@@ -174,3 +175,26 @@ def test_round_trip(spark, awkward, nothing):
     assert sorted(map(tuple, digests), key=repr) == sorted(want, key=repr)
     assert bpe.bpe_round_trip(nothing, RANKS, P.PATTERN).collect() == []
     assert base64.b64decode("") == b""
+
+
+def test_pieces_stay_from_task_to_task(monkeypatch):
+    met = []
+    learn = bpe.Encoder.learn
+    monkeypatch.setattr(bpe.Encoder, "learn", lambda self, pieces: (met.extend(pieces), learn(self, pieces))[1])
+    ids, texts = pa.array([1, 2]), pa.array(["qwzxj vbnmkq", "qwzxj plokmi"])
+    for _ in range(2):  # two tasks of one worker
+        got = [list(coded) for _, coded in bpe._texts(iter([pa.RecordBatch.from_arrays([ids, texts], names=["doc_id", "text"])]), RANKS, P.PATTERN)]
+        assert [d for part in got for _, d in part] == [t.encode() for t in texts.to_pylist()]
+    assert sorted(met) == sorted({"qwzxj", " vbnmkq", " plokmi"})
+    common.give_memory_back()  # at the end of a task of another operator
+    assert not common._kept
+
+
+def test_recent_keys_outlive_a_full_table():
+    known = common.Recent(3000)
+    for i in range(200):
+        known.make_room()
+        for key in known.missing({"often", f"once {i}"}):
+            assert key != "often" or not i
+            known.put(key, i, 20)
+        assert known["often"] == 0 and len(known) + len(known.older) <= 3000 // 200 + 2
