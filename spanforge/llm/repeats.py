@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, discard, give_memory_back, materialise, small_batches
+from .common import discard, give_memory_back, materialise, small_batches
 
 LENGTH, GRAM = 400, 32
 #: The same for strings of words.
 WORDS, WORD_GRAM, CODE = 50, 8, 2
-CACHE_BYTES = 48 << 20
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 BIN_LIMIT = 8192
 TURN_BYTES = 1_500_000
 SLOTS = 1 << 25
@@ -253,22 +253,26 @@ def _raw(text: str | bytes) -> bytes:
     return text if isinstance(text, bytes) else text.encode()
 
 
+def word_codes(raw: bytes) -> bytes:
+    """CODE bytes for each word of raw, cut at ASCII white space: of a hash of the word, by prefix sums as in window_hashes()."""
+    n = len(raw)
+    if not n:
+        return b""
+    b = np.frombuffer(raw, dtype=np.uint8)
+    inside = np.zeros(n + 2, dtype=np.int8)
+    inside[1:-1] = ~SPACE[b]
+    edge = np.flatnonzero(np.diff(inside))
+    first, end = edge[::2], edge[1::2]
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _power(BASE, n), out=total[1:])
+    h = _mix((total[end] - total[first]) * _power(INVERSE, n)[first])
+    return (h >> np.uint64(64 - 8 * CODE)).astype(f"<u{CODE}").tobytes()
+
+
 def _word_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, tk, text) -> (doc_id, tk, text) with CODE bytes for each word of the text, cut at ASCII white space."""
-    import xxhash
-
-    known = Bounded(CACHE_BYTES)
     for part in _slices(batches, 1000):
-        rows = []
-        for text in part.column(2).to_pylist():
-            words = text.encode().split()
-            try:
-                rows.append(b"".join(map(known.__getitem__, words)))
-            except KeyError:
-                known.make_room()
-                for w in [w for w in set(words) if w not in known]:
-                    known.put(w, xxhash.xxh3_64_digest(w)[:CODE], len(w))
-                rows.append(b"".join(map(known.__getitem__, words)))
+        rows = [word_codes(text.encode()) for text in part.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["doc_id", "tk", "text"])
     give_memory_back()
 

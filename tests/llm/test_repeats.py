@@ -196,3 +196,18 @@ def test_groups_do_not_depend_on_the_bin_limit(spark):
     df = spark.createDataFrame(corpus(random.Random(3)), "doc_id long, text string")
     few, many = repeats_of(df, 40, 1)[0], repeats_of(df, 40, 8192)[0]
     assert few == many and few
+
+
+def test_word_codes():
+    """Equal words have equal codes wherever they stand; words that differ seldom agree; white space is ASCII's, as in bytes.split()."""
+    rng = random.Random(8)
+    words = [str(k) for k in range(20_000)] + ["größe", "\x1c", "a\u00a0b", "日本", "x" * 5000, "\x00", "\x00\x00"]
+    code = {w: R.word_codes(w.encode()) for w in words}
+    assert {len(c) for c in code.values()} == {R.CODE} and len(set(code.values())) > 16_800  # 17,200 of 65,536 are expected
+    for _ in range(20):
+        some = [rng.choice(words) for _ in range(rng.randrange(400))]
+        text = "".join(rng.choice([" ", "\t\n ", "\x0b", "\r\x0c"]) + w for w in some) + rng.choice(["", " "])
+        assert R.word_codes(text.encode()) == b"".join(code[w] for w in some) and text.encode().split() == [w.encode() for w in some]
+    assert R.word_codes(b"") == R.word_codes(b" \n") == b""
+    words = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    assert len({R.word_codes(w) for w in words}) > 0.96 * len(set(words))
