@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import groupby
+from itertools import chain, groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,11 @@ WORDS, WORD_GRAM, CODE = 50, 8, 2
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 BIN_LIMIT = 8192
 TURN_BYTES = 1_500_000
+JOINED_BYTES = 64 << 10
 SLOTS = 1 << 25
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+FIRST = itemgetter(0)
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -81,30 +84,58 @@ def _sliding_least(h: np.ndarray, w: int) -> np.ndarray:
 
 def stretches(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bin, first, last, often): runs of starts of strings with one minimiser value; often: where the value occurs twice in the run."""
-    if len(text) < length:
-        return (np.empty(0, dtype=np.int64),) * 3 + (np.empty(0, dtype=bool),)
-    h = window_hashes(np.frombuffer(text, dtype=np.uint8), gram)
+    return stretches_of([text], length, gram)[1:]
+
+
+def stretches_of(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(which text, bin, first, last, often) of the stretches of all texts, in their order. The texts of a turn are hashed as one; strings over
+    an edge between two are left out."""
+    parts, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        if len(text) < length:
+            continue
+        if held and size + len(text) > JOINED_BYTES:
+            parts.append(_joined_stretches(texts, held, length, gram))
+            held, size = [], 0
+        held.append(i)
+        size += len(text)
+    if held:
+        parts.append(_joined_stretches(texts, held, length, gram))
+    if not parts:
+        return (np.empty(0, dtype=np.int64),) * 4 + (np.empty(0, dtype=bool),)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _joined_stretches(texts: list[bytes], which: list[int], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    size = np.array([len(texts[i]) for i in which], dtype=np.int64)
+    begin = np.cumsum(size) - size
+    h = window_hashes(np.frombuffer(b"".join([texts[i] for i in which]), dtype=np.uint8), gram)
     w = length - gram + 1
     least = _sliding_least(h, w)
-    cut = np.flatnonzero(least[1:] != least[:-1]) + 1
+    cut = np.empty(len(least) + 1, dtype=bool)
+    cut[0] = cut[-1] = True
+    np.not_equal(least[1:], least[:-1], out=cut[1:-1])
+    cut[begin] = cut[begin + size - length + 1] = True
+    run = np.flatnonzero(cut)
+    run, end = run[:-1], run[1:]
+    text = np.searchsorted(begin, run, side="right") - 1
+    own = run <= (begin + size - length)[text]
+    run, end, text = run[own], end[own], text[own]
     # runs over w strings, as periodic text has, are cut, so that no stretch is longer than length + w - 1 and most are copies
-    run = np.concatenate(([0], cut))
-    inside = -(-np.diff(np.append(run, len(least))) // w)
+    inside = -(-(end - run) // w)
     first = np.repeat(run, inside) + w * (np.arange(int(inside.sum())) - np.repeat(np.cumsum(inside) - inside, inside))
-    last = np.append(first[1:], len(least)) - 1
+    last = np.minimum(first + w, np.repeat(end, inside)) - 1
+    text = np.repeat(text, inside)
     value = least[first]
-    # a value that occurs at two places of its run can hold a repeat of its own; only the least of some window count
-    padded = np.zeros(len(least) + 2 * (w - 1), dtype=np.uint64)
-    padded[w - 1 : w - 1 + len(least)] = least
-    place = np.flatnonzero(h == ~_sliding_least(~padded, w))
-    order = place[np.argsort(h[place], kind="stable")]
-    ranked = h[order]
-    twice = np.zeros(len(value), dtype=bool)
-    lo, hi = np.searchsorted(ranked, value, side="left"), np.searchsorted(ranked, value, side="right")
-    for i in np.flatnonzero(hi - lo > 1):
-        at = order[lo[i] : hi[i]]
-        twice[i] = np.count_nonzero((at >= first[i]) & (at <= last[i] + w - 1)) > 1
-    return value.view(np.int64), first, last, twice
+    # a value that occurs at two places of its run can hold a repeat of its own
+    known = np.unique(value)
+    place = np.flatnonzero(h <= known[-1])
+    rank = np.minimum(np.searchsorted(known, h[place]), len(known) - 1)
+    hit = known[rank] == h[place]
+    at = np.sort(rank[hit] * len(h) + place[hit])
+    row = np.searchsorted(known, value) * len(h)
+    twice = np.searchsorted(at, row + last + w) - np.searchsorted(at, row + first) > 1
+    return np.array(which, dtype=np.int64)[text], value.view(np.int64), first - begin[text], last - begin[text], twice
 
 
 def _equal_runs(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
@@ -116,6 +147,17 @@ def _equal_runs(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np.
     return out
 
 
+def _all_equal(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> bool:
+    """Whether the size bytes at a[i] and b[i] are equal for every i. Where the pair a byte before is asked about too, the last byte settles it."""
+    if not len(a):
+        return True
+    key = np.sort((b - a) * len(buf) + a)
+    after = np.concatenate(([False], np.diff(key) == 1))
+    apart, at = np.divmod(key, len(buf))
+    end = at[after] + size - 1
+    return bool((buf[end] == buf[end + apart[after]]).all() and _equal_runs(buf, at[~after], (at + apart)[~after], size).all())
+
+
 class Family:
     """Strings that agree in their first `length` bytes, as a piece of a suffix array, with its prefix intervals.
 
@@ -145,11 +187,13 @@ def maximal_repeats(contents: list[bytes], length: int, copies: list[int] | None
     owner = np.repeat(np.arange(len(contents)), per)
     start = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per) + begin[owner]
     h = window_hashes(buf[:-8], length)[start]
-    order = np.argsort(h, kind="stable")
-    same = h[order[1:]] == h[order[:-1]]
+    order = np.argsort(h)
+    ranked = h[order]
+    same = ranked[1:] == ranked[:-1]
     near = np.flatnonzero(same)
-    fine = _equal_runs(buf, start[order[near]], start[order[near + 1]], length)
-    if not fine.all():  # two strings share a fingerprint: the order of the bytes parts them
+    meet = np.flatnonzero(np.concatenate(([False], same)) | np.concatenate((same, [False])))  # equal ones in order of their places
+    order[meet] = np.sort(np.cumsum(np.concatenate(([True], ~same)))[meet] * len(order) + order[meet]) % len(order)
+    if not _all_equal(buf, start[order[near]], start[order[near + 1]], length):  # two strings share a fingerprint: the order of the bytes parts them
         for lo, hi in _spans(same):
             order[lo:hi] = sorted(order[lo:hi], key=lambda i: buf[start[i] : start[i] + length].tobytes())
         same = _equal_runs(buf, start[order[1:]], start[order[:-1]], length)
@@ -157,14 +201,15 @@ def maximal_repeats(contents: list[bytes], length: int, copies: list[int] | None
     n = np.ones(len(contents), dtype=np.int64) if copies is None else np.array(copies, dtype=np.int64)
     alone = ~np.concatenate(([False], same)) & ~np.concatenate((same, [False]))
     alone &= (left[order] > 255) & (n[owner[order]] > 1)  # a copied content that shares its first string with no other
-    for lo, hi in sorted(_spans(same, left[order]) + [(i, i + 1) for i in np.flatnonzero(alone).tolist()]):
-        rows = order[lo:hi]
-        c = owner[rows]
-        places, before, often = list(zip(c.tolist(), (start[rows] - begin[c]).tolist(), strict=True)), left[rows].tolist(), n[c].tolist()
-        tails = [contents[k][at + length :] for k, at in places]
-        sort = sorted(range(len(tails)), key=tails.__getitem__)
-        family = Family([places[i] for i in sort])
-        _scan(family, ((tails[i], before[i], often[i]) for i in sort), length)
+    spans = sorted(_spans(same, left[order]) + [(i, i + 1) for i in np.flatnonzero(alone).tolist()])
+    rows = order[np.concatenate([np.arange(lo, hi) for lo, hi in spans])] if spans else order[:0]
+    c = owner[rows]
+    members = zip(c.tolist(), (start[rows] - begin[c]).tolist(), left[rows].tolist(), n[c].tolist(), strict=True)
+    for lo, hi in spans:
+        each = [(contents[k][at + length :], before, often, (k, at)) for k, at, before, often in islice(members, hi - lo)]
+        each.sort(key=FIRST)
+        family = Family([x[3] for x in each])
+        _scan(family, each, length)
         yield family
 
 
@@ -181,28 +226,32 @@ def _spans(same: np.ndarray, left: np.ndarray | None = None) -> list[tuple[int,
 
 
 def _common_prefix(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    low, top = 0, n
+    """Of a and b, which sorts behind it or equals it."""
+    if b.startswith(a):
+        return len(a)
+    low, top = 0, min(len(a), len(b))
     while top - low > 1:  # the common prefix's length lies in [low, top)
         mid = (low + top) // 2
         low, top = (mid, top) if a[low:mid] == b[low:mid] else (low, mid)
     return low
 
 
-def _scan(family: Family, rows: Iterable[tuple[bytes, int, int]], length: int) -> None:
-    """Stack scan of the common-prefix intervals of sorted (tail, byte before or a number above 255, copies): keeps those whose members are
+def _scan(family: Family, rows: Iterable[tuple], length: int) -> None:
+    """Stack scan of the common-prefix intervals of sorted (tail, byte before or a number above 255, copies, ...): keeps those whose members are
     preceded by different bytes. Copies of a content share a whole tail; where it begins they are preceded by different bytes.
     An interval closes before those around it, so the first to hold a member is the longest: each member is settled once."""
     stack: list[list] = []  # common length of the tails, first row, the byte before all rows or None
     unsettled: list[int] = []
-    rows = iter(rows)
-    here, k = next(rows, None), -1
-    while here is not None:
-        (tail, mark, n), here, k = here, next(rows, None), k + 1
-        common = _common_prefix(tail, here[0]) if here is not None else -1
-        family.reach.append(0)
+    reach, intervals, k, here = family.reach, family.intervals, -1, None
+    for row in chain(rows, (None,)):
+        if here is None:
+            here = row
+            continue
+        tail, mark, n = here[:3]
+        k += 1
+        common = _common_prefix(tail, row[0]) if row is not None else -1
+        here = row
+        reach.append(0)
         unsettled.append(k)
         first = k
         if n > 1:
@@ -213,13 +262,13 @@ def _scan(family: Family, rows: Iterable[tuple[bytes, int, int]], length: int) -
             else:
                 stack.append([len(tail), k, mark])
         while stack and stack[-1][0] > common:
-            depth, at, inner = stack.pop()
-            mark = mark if mark == inner else None
-            first = at
+            depth, first, inner = stack.pop()
+            if mark is not None and mark != inner:
+                mark = None
             if mark is None:
-                family.intervals.append((at, k + 1, length + depth))
-                while unsettled and unsettled[-1] >= at:
-                    family.reach[unsettled.pop()] = length + depth
+                intervals.append((first, k + 1, length + depth))
+                while unsettled and unsettled[-1] >= first:
+                    reach[unsettled.pop()] = length + depth
         if stack and stack[-1][0] == common:
             if stack[-1][2] != mark:
                 stack[-1][2] = None
@@ -282,16 +331,12 @@ def _bins(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches, 500):
-            rows, value, strings = [], [], []
-            for i, text in enumerate(part.column(1).to_pylist()):
-                v, _, _, twice = stretches(_raw(text), length, gram)
-                u, inverse = np.unique(v, return_inverse=True)
-                n = np.bincount(inverse, weights=1 + twice, minlength=len(u)) if len(u) else np.empty(0)
-                rows.append(np.full(len(u), i))
-                value.append(u)
-                strings.append(n)
-            take = pa.array(np.concatenate(rows).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(take), pa.array(np.concatenate(value).astype(np.int64)), pa.array(np.concatenate(strings).astype(np.int64))], names=["tk", "bin", "strings"])
+            which, value, _, _, twice = stretches_of([_raw(x) for x in part.column(1).to_pylist()], length, gram)
+            order = np.lexsort((value, which))
+            which, value = which[order], value[order]
+            new = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (value[1:] != value[:-1])))[: len(value)])
+            strings = np.add.reduceat(1 + twice[order].astype(np.int64), new) if len(new) else new
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which[new])), pa.array(value[new]), pa.array(strings)], names=["tk", "bin", "strings"])
 
     return run
 
@@ -303,12 +348,12 @@ def _contents(length: int, gram: int):
         names = ["bin", "digest", "tk", "first", "n", "twice", "content"]
         for part in _slices(batches, 200):
             out: list[list] = [[] for _ in names]
-            for tk, text, n, bins in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
-                raw = _raw(text)
-                v, first, last, twice = stretches(raw, length, gram)
-                for i in np.flatnonzero(np.isin(v, np.array(bins, dtype=np.int64))).tolist():
-                    content = raw[first[i] : last[i] + length]
-                    for column, x in zip(out, (int(v[i]), hashlib.blake2b(content, digest_size=16).digest(), tk, int(first[i]), n, bool(twice[i]), content), strict=True):
+            tks, texts, ns, bins = (part.column(k).to_pylist() for k in range(4))
+            raws, wanted = [_raw(x) for x in texts], [set(x) for x in bins]
+            for t, v, first, last, twice in zip(*(x.tolist() for x in stretches_of(raws, length, gram)), strict=True):
+                if v in wanted[t]:
+                    content = raws[t][first : last + length]
+                    for column, x in zip(out, (v, hashlib.blake2b(content, digest_size=16).digest(), tks[t], first, ns[t], twice, content), strict=True):
                         column.append(x)
             types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
@@ -340,8 +385,33 @@ def _family_rows(families: Iterator[tuple[int, list[bytes], Family]]) -> Iterato
     yield made()
 
 
-def _families(length: int, turn_bytes: int = TURN_BYTES):
-    """(bin, digest, n, content) sorted by bin -> FAMILIES: the maximal repeats of each bin.
+SPANS = "bin long, digest binary, s long, e long"
+
+
+def _span_rows(families: Iterator[tuple[int, list[bytes], Family]]) -> Iterator[pa.RecordBatch]:
+    """(bin, digest of each member, family) -> SPANS: the repeats' spans in the stretches, joined as far as one batch shows them."""
+    spans: dict = {}
+    members = 0
+
+    def made() -> pa.RecordBatch:
+        rows = [(b, d, s, e) for (b, d), x in spans.items() for s, e in merged(x)]
+        cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+        types = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=["bin", "digest", "s", "e"])
+
+    for key, digests, f in families:
+        for d, (_, s), n in zip(digests, f.members, f.reach, strict=True):
+            if n:
+                spans.setdefault((key, d), []).append((s, s + n))
+        members += len(f.members)
+        if members > 200_000:
+            yield made()
+            spans, members = {}, 0
+    yield made()
+
+
+def _families(length: int, rows_of=_family_rows, turn_bytes: int = TURN_BYTES):
+    """(bin, digest, n, content) sorted by bin -> FAMILIES, or what rows_of makes: the maximal repeats of each bin.
     As many whole bins as make up turn_bytes share a suffix array; strings of different bins are never equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,7 +420,7 @@ def _families(length: int, turn_bytes: int = TURN_BYTES):
 
         def flush(rows: list) -> Iterator[pa.RecordBatch]:
             found = maximal_repeats([c for *_, c in rows], length, [n for _, _, n, _ in rows])
-            yield from _family_rows((rows[f.members[0][0]][0], [rows[c][1] for c, _ in f.members], f) for f in found)
+            yield from rows_of((rows[f.members[0][0]][0], [rows[c][1] for c, _ in f.members], f) for f in found)
 
         for batch in _slices(batches, 1000):
             for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -365,8 +435,8 @@ def _families(length: int, turn_bytes: int = TURN_BYTES):
     return run
 
 
-def _dealt_families(length: int):
-    """(string, tail, bin, digest, s, n, before) sorted by string and tail -> FAMILIES: the maximal repeats that begin with each string."""
+def _dealt_families(length: int, rows_of=_family_rows):
+    """(string, tail, bin, digest, s, n, before) sorted by string and tail -> FAMILIES, or what rows_of makes: the maximal repeats that begin with each string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for part in _slices(batches, 1000) for row in zip(*(part.column(k).to_pylist() for k in range(7)), strict=True))
@@ -385,25 +455,11 @@ def _dealt_families(length: int):
                 if family.intervals:
                     yield bins[0], [d for d, _ in family.members], family
 
-        yield from _family_rows(families())
+        yield from rows_of(families())
 
     return run
 
 
-def _stretch_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """FAMILIES -> (bin, digest, s, e): the repeats' spans in the stretches, joined as far as one slice of a batch shows them."""
-    for batch in _slices(batches, 500):
-        spans: dict = {}
-        for b, digests, starts, reach in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            for d, s, n in zip(digests, starts, reach, strict=True):
-                if n:
-                    spans.setdefault((b, d), []).append((s, s + n))
-        rows = [(b, d, s, e) for (b, d), x in spans.items() for s, e in merged(x)]
-        cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-        types = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=["bin", "digest", "s", "e"])
-
-
 def _removed(length: int, code: int):
     """(tk, text, spans) -> (tk, n_removed, n_spans, kept), spans joined; kept: the digest of what stays. code: bytes of a unit, to which spans are drawn in."""
 
@@ -488,13 +544,13 @@ class Repeats:
         tested = docs.withColumn("__slot", slot).join(F.broadcast(words), F.expr("__slot div 64 = __word"))
         return tested.where("(shiftright(__bits, cast(__slot % 64 as int)) & 1L) = 1L").select(*docs.columns)
 
-    def families(self) -> DataFrame:
-        """FAMILIES rows: suffix-array pieces with their maximal repeats as intervals."""
+    def families(self, rows_of=_family_rows, schema: str = FAMILIES) -> DataFrame:
+        """FAMILIES rows: suffix-array pieces with their maximal repeats as intervals; or what rows_of makes of them."""
         rows = self.stretch.join(self.bins.where(F.col("different") <= self.bin_limit).select("bin"), "bin").select("bin", "digest", "n", "content")
-        out = rows.repartition("bin").sortWithinPartitions("bin", "digest").mapInArrow(_families(self.length), FAMILIES)
+        out = rows.repartition("bin").sortWithinPartitions("bin", "digest").mapInArrow(_families(self.length, rows_of), schema)
         if self.bins.where(F.col("different") > self.bin_limit).isEmpty():
             return out
-        return out.unionByName(self._large())
+        return out.unionByName(self._large(rows_of, schema))
 
     def groups(self) -> DataFrame:
         """(bin, length, digests, starts): each maximal repeat with all its occurrences; found maps a stretch's digest to its texts and places,
@@ -503,8 +559,8 @@ class Repeats:
         part = lambda c: F.slice(c, F.col("i.lo") + 1, F.col("i.hi") - F.col("i.lo"))
         return each.select("bin", F.col("i.length").cast("long").alias("length"), part("digests").alias("digests"), part("starts").alias("starts"))
 
-    def _large(self) -> DataFrame:
-        """FAMILIES rows of bins over bin_limit: strings are dealt by their digests. Only those preceded by different bytes, or that
+    def _large(self, rows_of, schema: str) -> DataFrame:
+        """families() of bins over bin_limit: strings are dealt by their digests. Only those preceded by different bytes, or that
         begin a stretch, go on with what follows them: all others are occurrences of a longer repeat that begins before them."""
         rows = self.stretch.join(self.bins.where(F.col("different") > self.bin_limit).select("bin"), "bin")
         before = F.conv(F.hex(F.expr("substring(content, s, 1)")), 16, 10).cast("int")
@@ -516,11 +572,11 @@ class Repeats:
         each = rows.join(hits, ["bin", "digest"]).select("bin", "digest", "n", "content", F.explode("hits").alias("h"))
         tail = F.expr(f"substring(content, cast(h.s AS int) + 1 + {self.length})")
         each = each.select("h.string", tail.alias("tail"), "bin", "digest", "h.s", "n", "h.before")
-        return each.repartition("string").sortWithinPartitions("string", "tail").mapInArrow(_dealt_families(self.length), FAMILIES)
+        return each.repartition("string").sortWithinPartitions("string", "tail").mapInArrow(_dealt_families(self.length, rows_of), schema)
 
     def spans(self) -> DataFrame:
         """(tk, spans): of each text with repeats the spans found, not yet joined."""
-        each = self.families().mapInArrow(_stretch_spans, "bin long, digest binary, s long, e long")
+        each = self.families(_span_rows, SPANS)
         of = each.groupBy("bin", "digest").agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # within one stretch
         placed = self.found.select("bin", "digest", "tk", "first").join(of, ["bin", "digest"])
         shifted = placed.select("tk", F.transform("spans", lambda x: F.struct((x["s"] + F.col("first")).alias("s"), (x["e"] + F.col("first")).alias("e"))).alias("spans"))

@@ -211,3 +211,32 @@ def test_word_codes():
     assert R.word_codes(b"") == R.word_codes(b" \n") == b""
     words = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
     assert len({R.word_codes(w) for w in words}) > 0.96 * len(set(words))
+
+
+def test_texts_hashed_as_one_keep_their_stretches(monkeypatch):
+    rng = random.Random(8)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(90))) for _ in range(60)] + [b"a" * 50, b"a" * 50, b"", b"a" * 11, b"ab" * 6]
+    each = [R.stretches(t, 12, 4) for t in texts]
+    whole = [list(zip(*(c.tolist() for c in x), strict=True)) for x in each]
+    for most in (1, 200, 1 << 20):
+        monkeypatch.setattr(R, "JOINED_BYTES", most)
+        got: list[list] = [[] for _ in texts]
+        for i, *row in zip(*(c.tolist() for c in R.stretches_of(texts, 12, 4)), strict=True):
+            got[i].append(tuple(row))
+        assert got == whole
+
+
+def test_spans_leave_the_worker_once(spark):
+    """Families become spans where they are found: their intervals take no way through the JVM."""
+    r = R.Repeats(spark.createDataFrame(corpus(random.Random(3)), "doc_id long, text string"), length=40, gram=8)
+    assert r.spans()._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_all_equal_sees_every_byte():
+    rng = random.Random(2)
+    line = bytes(rng.randrange(256) for _ in range(40))
+    a = R.np.arange(40 - 12 + 1)
+    for k in range(40):
+        other = line[:k] + bytes([line[k] ^ 1]) + line[k + 1 :]
+        for second, same in ((line, True), (other, False)):
+            assert R._all_equal(R.np.frombuffer(line + second + bytes(8), dtype="u1"), a, a + 40, 12) is same
