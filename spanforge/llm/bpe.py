@@ -20,7 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 from operator import itemgetter
 
 import numpy as np
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .common import Recent, give_memory_back, small_batches, worker_keeps
 
 CACHE_BYTES = 160 << 20
-SLICE_CHARS = 500_000
+SLICE_CHARS = 2_000_000
 POSITIONS = 100_000
 #: Bytes of a window, twice the step from one to the next.
 LONG_PIECE = 192
@@ -82,6 +82,18 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f) if token}
 
 
+def _values(column: pa.ChunkedArray) -> list[bytes]:
+    """The values of a column of strings or bytes without nulls, cut out of its buffer; to_pylist() makes an object of its own for each on the way."""
+    out: list[bytes] = []
+    for chunk in column.cast(pa.large_binary()).chunks:
+        if len(chunk):
+            _, offsets, data = chunk.buffers()
+            cuts = np.frombuffer(offsets, dtype=np.int64)[chunk.offset : chunk.offset + len(chunk) + 1].tolist()
+            raw = data.to_pybytes() if data is not None else b""
+            out += [raw[a:b] for a, b in pairwise(cuts)]
+    return out
+
+
 class Encoder:
     def __init__(self, path: str, pattern: str):
         import duckdb
@@ -116,7 +128,7 @@ class Encoder:
         found = self.db.sql(sql).to_arrow_table()
         self.db.unregister("start")
         found = found.take(np.argsort(found["w"].to_numpy()))
-        ids, decoded = found["ids"].cast(pa.binary()).to_pylist(), found["decoded"].to_pylist()
+        ids, decoded = _values(found["ids"]), _values(found["decoded"])
         if not np.array_equal(found["w"].to_numpy(), np.arange(len(pieces))) or sum(map(len, decoded)) != len(at):
             raise RuntimeError("the recursive query lost rows")
         return list(zip(ids, decoded, strict=True))
@@ -203,10 +215,13 @@ class Encoder:
                 parts.append(self.split(texts[at]))
                 at += 1
             self.known.make_room()
-            self.learn(self.known.missing(set(chain.from_iterable(parts))))
-            for part in parts:
-                found = list(map(self.known.__getitem__, part))
-                yield b",".join(map(IDS_OF, found)), b"".join(map(BYTES_OF, found))
+            rows = [list(map(self.known.get, part)) for part in parts]
+            gaps = [[i for i, x in enumerate(row) if x is None] for row in rows]
+            self.learn(self.known.missing({part[i] for part, gap in zip(parts, gaps, strict=True) for i in gap}))
+            for part, row, gap in zip(parts, rows, gaps, strict=True):
+                for i in gap:
+                    row[i] = self.known[part[i]]
+                yield b",".join(map(IDS_OF, row)), b"".join(map(BYTES_OF, row))
 
 
 RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])

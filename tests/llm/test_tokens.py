@@ -198,3 +198,16 @@ def test_recent_keys_outlive_a_full_table():
             assert key != "often" or not i
             known.put(key, i, 20)
         assert known["often"] == 0 and len(known) + len(known.older) <= 3000 // 200 + 2
+
+
+def test_values_are_cut_out_of_their_buffers(monkeypatch):
+    """The queries' answers are read without an object for each value, and a piece is looked up once for all texts of a slice."""
+    for kind in (pa.string(), pa.binary()):
+        rows = pa.chunked_array([pa.array(["a", "", "é1"], kind), pa.array([], kind), pa.array(["x", "yy", "z"], kind).slice(1)])
+        assert bpe._values(rows) == rows.cast(pa.binary()).to_pylist()
+    met = []
+    ours, missing = bpe.Encoder(RANKS, P.PATTERN), common.Recent.missing
+    monkeypatch.setattr(common.Recent, "missing", lambda self, keys: (met.extend(keys), missing(self, keys))[1])
+    for _ in range(2):
+        assert [d for _, d in ours.encode(["qwzxj vbnmkq"] * 3)] == [b"qwzxj vbnmkq"] * 3
+    assert sorted(met) == [" vbnmkq", "qwzxj"]
