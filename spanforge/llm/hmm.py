@@ -38,7 +38,7 @@ END = b"\n"  # no word holds white space
 SHARES, ROUNDS = (32, 32, 16, 16, 8, 8, 4, 4, 2), 2
 BUCKET_BYTES, LEAST_BUCKETS, RUN_BUCKETS = 12 << 20, 24, 1000
 BATCH_CELLS, SLICE_ROWS, SCALE_STEPS = 180_000, 3000, 16
-CACHE_BYTES = 64 << 20
+CACHE_TAILS = 300_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -53,23 +53,21 @@ def tail_class(word: bytes) -> int:
 
 
 class Classes(dict):
-    """word -> class, for the words that a task has met: singles first, then by the last bytes."""
+    """last bytes -> class, for those that a task has met; singles go first. Far fewer than the words, they stay in the processor's cache."""
 
     def __init__(self, singles: dict[bytes, int]):
-        super().__init__(singles)
-        self.singles, self.held = singles, 0
+        super().__init__()
+        self.singles = singles
 
-    def __missing__(self, word: bytes) -> int:
-        got = self[word] = tail_class(word)
-        self.held += len(word) + 200
+    def __missing__(self, last: bytes) -> int:
+        got = self[last] = tail_class(last)
         return got
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if self.held > CACHE_BYTES:
+        if len(self) > CACHE_TAILS:
             self.clear()
-            self.update(self.singles)
-            self.held = 0
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        single = self.singles.get
+        return np.array([self[w[-3:]] if (c := single(w)) is None else c for w in words], dtype=np.int64)
 
 
 @dataclass

@@ -166,3 +166,17 @@ def test_awkward(spark, awkward, nothing):
     assert H.score_texts(nothing, rule).collect() == []
     untrained = H.score_texts(awkward, F.lit(True)).collect()
     assert all(r["n_known"] == 0 and r["base_score"] == 0 and math.isfinite(r["score"]) for r in untrained)
+
+
+def test_classes_are_kept_by_last_bytes(monkeypatch):
+    """What a task keeps grows with the endings of its words, not with the words."""
+    rng = random.Random(6)
+    words = [bytes(rng.choice(b"abcd\xc3\xa9") for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    singles = {w: i for i, w in enumerate(sorted(set(words))[:20])}
+    want = [singles[w] if w in singles else H.tail_class(w) for w in words]
+    for most in (H.CACHE_TAILS, 5):
+        monkeypatch.setattr(H, "CACHE_TAILS", most)
+        classes = H.Classes(singles)
+        got = [x for at in range(0, 3000, 100) for x in classes.of(words[at : at + 100]).tolist()]
+        assert got == want and len(classes) <= len({w[-3:] for w in words}) < len(set(words))
+    assert H.Classes(singles).of([]).dtype == H.np.int64
