@@ -86,22 +86,32 @@ class WordEncoder:
         known, other, tails, merge = self.known, [], [], self.tok.model.tokenize
         pack = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
-        def put(word: bytes) -> bool:
-            letters = self._letters(word) if self.direct else None
-            if letters is None:
-                return False
+        direct, letters_of, held = self.direct, self._letters, 0
+
+        def coded(letters: str) -> bytes:
             ids = [t.id for t in merge(letters)]
-            known.put(word, pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, dtype="<u4").tobytes(), len(word) + 4 * len(ids))
-            return True
+            return pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, dtype="<u4").tobytes()
 
         for w in words:
-            if w in known or put(w):
+            if w in known:
+                continue
+            # most are ASCII letters, or those with signs behind them
+            letters = (w.decode().lower() if w.isalpha() else letters_of(w)) if direct else None
+            if letters is not None:
+                got = known[w] = coded(letters)
+                held += 200 + len(w) + len(got)
                 continue
-            stem = w.rstrip(SIGNS)
-            if stem and len(stem) < len(w) and (stem in known and self._letters(stem) is not None and self.direct or put(stem)):
-                tails.append((w, stem, w[len(stem) :]))
-            else:
-                other.append(w)
+            stem = w.rstrip(SIGNS) if direct else b""
+            if stem and len(stem) < len(w):
+                letters = stem.decode().lower() if stem.isalpha() else letters_of(stem)
+                if letters is not None:
+                    if stem not in known:
+                        got = known[stem] = coded(letters)
+                        held += 200 + len(stem) + len(got)
+                    tails.append((w, stem, w[len(stem) :]))
+                    continue
+            other.append(w)
+        known.held += held
         other += list({t for _, _, t in tails if t not in known})
         for i in range(0, len(other), CHUNK_WORDS):
             part = other[i : i + CHUNK_WORDS]
@@ -110,8 +120,11 @@ class WordEncoder:
             cut = np.searchsorted(word, np.arange(len(part) + 1))
             for k, w in enumerate(part):
                 known.put(w, ids[cut[k] : cut[k + 1]].tobytes(), len(w) + 4 * int(cut[k + 1] - cut[k]))
+        held = 0
         for w, stem, tail in tails:
-            known.put(w, known[stem] + known[tail], len(w) + len(known[stem]) + len(known[tail]))
+            got = known[w] = known[stem] + known[tail]
+            held += 200 + len(w) + len(got)
+        known.held += held
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -129,7 +142,7 @@ class WordEncoder:
             self.known.make_room()
             get = self.known.get
             found = [list(map(get, r)) for r in rows]
-            gaps = [[i for i, x in enumerate(f) if x is None] for f in found]
+            gaps = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
             self._learn(list(dict.fromkeys(r[i] for r, g in zip(rows, gaps, strict=True) for i in g)))
             for r, f, g in zip(rows, found, gaps, strict=True):
                 for i in g:

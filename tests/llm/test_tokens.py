@@ -211,3 +211,16 @@ def test_values_are_cut_out_of_their_buffers(monkeypatch):
     for _ in range(2):
         assert [d for _, d in ours.encode(["qwzxj vbnmkq"] * 3)] == [b"qwzxj vbnmkq"] * 3
     assert sorted(met) == [" vbnmkq", "qwzxj"]
+
+
+def test_ascii_words_are_not_normalised(monkeypatch):
+    met, letters = [], orc_tokens.WordEncoder._letters
+    monkeypatch.setattr(orc_tokens.WordEncoder, "_letters", lambda self, word: (met.append(word), letters(self, word))[1])
+    from tokenizers import Tokenizer
+
+    tok, ours = Tokenizer.from_file(WORDS), orc_tokens.WordEncoder(WORDS)
+    text = "Some words, some signs: words. words! 3rd été, don't été"
+    (raw,) = ours.encode([text])
+    assert np.frombuffer(raw, dtype="<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert met and not [w for w in met if w.isalpha()]
+    assert ours.known.held == sum(200 + len(k) + len(v) for k, v in ours.known.items())
